@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe
+from millrace.llm import bpe, flac, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_flac": flac.op1,
     "op3_byte_bpe": bpe.op3,
+    "op10_pii": pii.op10,
 }
 
 #: None of these has SQL over whole tables; tests/llm compares each with a brute-force version.
