@@ -1,15 +1,14 @@
 """Operator 3: byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
 Pre-tokens are taken with their positions. Those of a frequent-word table of bounded size are replaced in place by the
-word's rank; all others are exploded with their positions and shuffled by word, so that each distinct word meets in one
-place and is encoded once there. Its ids then go back by a shuffle on the document and are put in by position. The
+word's rank; all others are exploded once a block of texts and shuffled by word, so that each distinct word meets in one
+place and is encoded once there. Its ids then go back by a shuffle on the block and are put in by position. The
 frequent-word table only decides which way a word takes, never its ids; so it may come from a bounded sample, and it is
 what keeps a word that makes up a third of a corpus out of the shuffle.
 
 Decoding joins ids with the token-byte table (one row per id, so its size is that of the vocabulary).
 
-Null text: as empty. Empty text: no ids. Repeated rows, also of one doc_id: each row is encoded, rows are told apart by
-an internal row key. Columns besides doc_id and text are not read.
+Null text: as empty. Empty text: no ids. Repeated rows, also of one doc_id: each row is encoded. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -19,18 +18,22 @@ import hashlib
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import pretokens
-from millrace.llm.shared import flat, slices, span_hashes, text_of
+from millrace.llm.shared import bucketed, flat, slices, span_hashes, text_of
 
 #: Largest frequent-word table, and the documents of the sample that it is counted on.
 FREQUENT_WORDS = 1 << 18
 SAMPLE_DOCUMENTS = 20_000
+#: Bytes of the texts of a block.
+BLOCK_BYTES = 32 << 20
 
 _cache: dict = {}
 
@@ -90,11 +93,10 @@ def once(what: str, token: str, make):
     return _cache[what][1]
 
 
-def ids_of(words: list[str], path: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lengths and offsets of the ids of each word, and all ids."""
+def ids_of(words: list[str], path: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each word has, and all ids."""
     ids = [encoder(path).encode_ordinary(w) for w in words]
-    lengths = np.array([len(x) for x in ids], np.int64)
-    return lengths, np.cumsum(lengths) - lengths, np.array([i for x in ids for i in x], np.uint32)
+    return np.array([len(x) for x in ids], np.int64), np.array([i for x in ids for i in x], np.uint16)
 
 
 def frequent_words(docs: DataFrame, most: int = FREQUENT_WORDS, sample: int = SAMPLE_DOCUMENTS) -> list[str]:
@@ -143,31 +145,49 @@ def _from_varints(data: bytes) -> np.ndarray:
     return out
 
 
-def encode(docs: DataFrame, ranks_path: str | None = None, most: int = FREQUENT_WORDS, sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
-    """Rows (doc_id, ids) with ids as little-endian unsigned 32-bit integers, of all rows (doc_id, text)."""
+def id_rows(doc_ids: list, ids: list[np.ndarray], _: str | None) -> pa.Table:
+    return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())})
+
+
+def encode(docs: DataFrame, ranks_path: str | None = None, most: int = FREQUENT_WORDS, sample: int = SAMPLE_DOCUMENTS, finish=id_rows, schema: str = "doc_id long, ids binary") -> DataFrame:
+    """Rows (doc_id, ids) with ids as little-endian unsigned 32-bit integers, of all rows (doc_id, text).
+
+    The texts of one task make blocks of at most BLOCK_BYTES. A block's rows hold the word codes of a slice of texts, by
+    position; its rare words are numbered, and go to the shuffle once a block. finish gets doc_ids, id arrays and the
+    ranks' path and makes other columns of them.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     frequent = frequent_words(docs, most, sample)
     shared = spark.sparkContext.broadcast(frequent)  # at most `most` words of at most 64 characters
     token = uuid.uuid4().hex
-    rare = len(frequent)  # the code of a word that is not in the table
+    rare = len(frequent)  # rare word i of a block has the code rare + i
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each text one row with the codes of its words, rare words as `rare`, and its rare words in order."""
         known = once("frequent", token, lambda: {w: i for i, w in enumerate(shared.value)})
+        task, block, size, own = TaskContext.get().partitionId(), 0, 0, {}
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = flat(part.column("text"))
+                if size and size + len(data) > BLOCK_BYTES:
+                    block, size, own = block + 1, 0, {}
+                size += len(data)
                 text, points, bounds = pretokens.code_points(data.tobytes(), offsets)
                 starts, ends = pretokens.spans(points, bounds, "bytes")
                 of_word, first = distinct(span_hashes(points, starts, ends))
                 words = [text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-                codes = np.array([known.get(w, rare) for w in words], np.int64)[of_word] if words else np.zeros(0, np.int64)
-                at = np.searchsorted(starts, bounds)
-                missing = np.flatnonzero(codes == rare)
-                lost = np.searchsorted(missing, at)
-                lists = pa.ListArray.from_arrays(pa.array(lost, pa.int32()), pa.array([words[i] for i in of_word[missing].tolist()], pa.string()))
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "codes": pa.array([_varints(codes[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary()), "words": lists})
+                before = len(own)
+                codes = [known[w] if w in known else rare + own.setdefault(w, len(own)) for w in words]
+                new = list(islice(own, before, None)) if before else list(own)
+                codes = np.array(codes, np.int64)[of_word] if words else np.zeros(0, np.int64)
+                yield pa.record_batch({
+                    "block": pa.array([task * 4096 + block], pa.int64()),
+                    "first_word": pa.array([before], pa.int32()),
+                    "doc_ids": pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                    "counts": pa.array([_varints(np.diff(np.searchsorted(starts, bounds)))], pa.binary()),
+                    "codes": pa.array([_varints(codes)], pa.binary()),
+                    "words": pa.array([new], pa.list_(pa.string())),
+                })
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by word: each distinct word is encoded when it is first met."""
@@ -178,55 +198,30 @@ def encode(docs: DataFrame, ranks_path: str | None = None, most: int = FREQUENT_
                 if w != word:
                     word, ids = w, np.array(piece.encode_ordinary(w), np.uint16).tobytes()
                 found.append(ids)
-            yield pa.record_batch({"row_key": batch.column("row_key"), "place": batch.column("place"), "payload": pa.array(found, pa.binary())})
-
-    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by row key and place, the codes (place -1) before the rare words' ids of the same text."""
-        lengths, offsets, table = once("ids", token, lambda: ids_of(shared.value, ranks_path))
-        key = doc = None
-        codes: bytes = b""
-        own: list[bytes] = []
-
-        def whole() -> tuple[int | None, bytes]:
-            at = _from_varints(codes)
-            n = np.array([len(x) // 2 for x in own], np.int64)
-            all_lengths, all_offsets = np.concatenate([lengths, n]), np.concatenate([offsets, len(table) + np.cumsum(n) - n])
-            all_ids = np.concatenate([table, np.frombuffer(b"".join(own), np.uint16).astype(np.uint32)]) if own else table
-            lost = at == rare
-            if lost.sum() != len(own):
-                raise ValueError("a text's rare words are not all there")
-            at[lost] = rare + np.arange(len(own))
-            return doc, gather(at, all_lengths, all_offsets, all_ids).astype("<u4").tobytes()
-
-        for batch in batches:
-            done = []
-            rows = zip(batch.column("row_key").to_pylist(), batch.column("place").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("payload").to_pylist(), strict=True)
-            for k, place, d, payload in rows:
-                if place < 0:
-                    if key is not None:
-                        done.append(whole())
-                    key, doc, codes, own = k, d, payload, []
-                else:
-                    own.append(payload)
-            yield pa.record_batch({"doc_id": pa.array([x[0] for x in done], pa.int64()), "ids": pa.array([x[1] for x in done], pa.binary())})
-        if key is not None:
-            done = [whole()]
-            yield pa.record_batch({"doc_id": pa.array([x[0] for x in done], pa.int64()), "ids": pa.array([x[1] for x in done], pa.binary())})
-
-    # A row's key names its partition and place there; written out, so that no rerun can deal other keys.
-    return _joined(spark, docs, split, look_up, put_together)
-
-
-def _joined(spark: SparkSession, docs: DataFrame, split, look_up, put_together) -> DataFrame:
-    from millrace.llm.shared import stored
-
-    parted = docs.mapInArrow(split, "doc_id long, codes binary, words array<string>").withColumn("row_key", F.monotonically_increasing_id())
-    parted = stored(parted, "bpe-codes", compression="zstd")
-    rare = parted.select("row_key", F.posexplode("words").alias("place", "word"))
-    n = spark.conf.get("spark.sql.shuffle.partitions")
-    found = rare.repartition(int(n), "word").sortWithinPartitions("word").mapInArrow(look_up, "row_key long, place int, payload binary")
-    rows = parted.select("row_key", F.lit(-1).alias("place"), "doc_id", F.col("codes").alias("payload")).unionByName(found.select("row_key", "place", F.lit(None).cast("long").alias("doc_id"), "payload"))
-    return rows.repartition(int(n), "row_key").sortWithinPartitions("row_key", "place").mapInArrow(put_together, "doc_id long, ids binary")
+            yield pa.record_batch({"block": batch.column("block"), "number": batch.column("number"), "ids": pa.array(found, pa.binary())})
+
+    def put_together(rows: pa.Table, words: pa.Table) -> pa.Table:
+        """The rows of one block, and the ids of its rare words."""
+        lengths, table = once("ids", token, lambda: ids_of(shared.value, ranks_path))
+        words = words.sort_by("number")
+        if len(words) and words.column("number")[-1].as_py() != len(words) - 1:
+            raise ValueError("a block's rare words are not all there")
+        own = words.column("ids").to_pylist()
+        lengths = np.concatenate([lengths, np.array([len(x) // 2 for x in own], np.int64)])
+        table = np.concatenate([table, np.frombuffer(b"".join(own), np.uint16)])
+        offsets, done = np.cumsum(lengths) - lengths, []
+        for row in rows.select(["doc_ids", "counts", "codes"]).to_pylist():
+            codes = _from_varints(row["codes"])
+            ids, ends = gather(codes, lengths, offsets, table), np.concatenate([[0], np.cumsum(lengths[codes])])
+            edges = ends[np.concatenate([[0], np.cumsum(_from_varints(row["counts"]))])].tolist()
+            done.append(finish(row["doc_ids"], [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], ranks_path))
+        return pa.concat_tables(done)
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = bucketed(docs.mapInArrow(split, "block long, first_word int, doc_ids array<long>, counts binary, codes binary, words array<string>"), "block", n)
+    rare_words = blocks.select("block", "first_word", F.posexplode("words").alias("place", "word")).select("block", (F.col("first_word") + F.col("place")).alias("number"), "word")
+    found = rare_words.repartition(n, "word").sortWithinPartitions("word").mapInArrow(look_up, "block long, number int, ids binary")
+    return blocks.select("block", "doc_ids", "counts", "codes").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(put_together, schema)
 
 
 def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,25 +245,23 @@ def decode(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(join, "doc_id long, data binary")
 
 
-def digests(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
+def digest_rows(doc_ids: list, ids: list[np.ndarray], path: str | None) -> pa.Table:
     """doc_id, n_tokens, ids_sha256 and, of the bytes decoded from the ids, decoded_sha256."""
+    lengths, offsets, digits = once("digits", str(path), lambda: decimal_table(len(token_table(path)[0])))
+    return pa.table({
+        "doc_id": pa.array(doc_ids, pa.int64()),
+        "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+        "ids_sha256": pa.array([hashlib.sha256(gather(x, lengths, offsets, digits)[:-1]).hexdigest() for x in ids], pa.string()),
+        "decoded_sha256": pa.array([hashlib.sha256(decode_ids(x, path)).hexdigest() for x in ids], pa.string()),
+    })
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = len(token_table(ranks_path)[0])
-        names = [b"%d " % i for i in range(size)]
-        lengths = np.array([len(x) for x in names])
-        offsets, digits = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(names), np.uint8)
-        for batch in batches:
-            rows = [np.frombuffer(x.as_py(), "<u4") for x in batch.column("ids")]
-            yield pa.record_batch({
-                "doc_id": batch.column("doc_id"),
-                "n_tokens": pa.array([len(x) for x in rows], pa.int64()),
-                "ids_sha256": pa.array([hashlib.sha256(gather(x, lengths, offsets, digits)[:-1]).hexdigest() for x in rows], pa.string()),
-                "decoded_sha256": pa.array([hashlib.sha256(decode_ids(x, ranks_path)).hexdigest() for x in rows], pa.string()),
-            })
 
-    return encoded.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def decimal_table(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each id's decimal digits and a space: lengths, offsets and all bytes."""
+    names = [b"%d " % i for i in range(size)]
+    lengths = np.array([len(x) for x in names])
+    return lengths, np.cumsum(lengths) - lengths, np.frombuffer(b"".join(names), np.uint8)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), finish=digest_rows, schema="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

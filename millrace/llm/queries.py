@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, flac, pii
+from millrace.llm import bpe, flac, pfor, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flac": flac.op1,
     "op3_byte_bpe": bpe.op3,
+    "op6_pfor": pfor.op6,
     "op10_pii": pii.op10,
 }
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer single text is a step of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 U64 = np.uint64
 MULT = U64(0x9E3779B97F4A7C15)
@@ -44,6 +44,13 @@ def stored(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Write df as a table bucketed by key and read it again: a later join or grouping on the key moves no rows of it."""
+    name = f"millrace_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).format("parquet").option("compression", "zstd").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def text_of(name: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
