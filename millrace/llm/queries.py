@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, crf, flac, pfor, pii
+from millrace.llm import bagminhash, bpe, crf, flac, pfor, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flac": flac.op1,
+    "op2_bagminhash": bagminhash.op2,
     "op3_byte_bpe": bpe.op3,
     "op4_line_crf": crf.op4,
     "op6_pfor": pfor.op6,
