@@ -133,9 +133,12 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (bytes) of all words [^\\x20\\x09-\\x0D]+ and, for each text, where its words begin (n + 1)."""
-    inside = ~_SEPARATOR[data]
+def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (bytes) of all words [^\\x20\\x09-\\x0D]+ and, for each text, where its words begin (n + 1).
+
+    Another table of separating bytes gives other words.
+    """
+    inside = ~separator[data]
     before = np.zeros(len(data), bool)
     before[1:] = inside[:-1]
     edges = offsets[:-1][offsets[:-1] < len(data)]
