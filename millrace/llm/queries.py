@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bagminhash, bpe, crf, flac, pfor, pii, simhash, substrings
+from millrace.llm import bagminhash, bpe, chat, crf, flac, pfor, pii, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flac": flac.op1,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": bpe.op3,
     "op4_line_crf": crf.op4,
     "op6_pfor": pfor.op6,
+    "op7_chat": chat.op7,
     "op8_simhash": simhash.op8,
     "op9_substrings": substrings.op9,
     "op10_pii": pii.op10,
