@@ -245,6 +245,9 @@ def decode(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(join, "doc_id long, data binary")
 
 
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
 def digest_rows(doc_ids: list, ids: list[np.ndarray], path: str | None) -> pa.Table:
     """doc_id, n_tokens, ids_sha256 and, of the bytes decoded from the ids, decoded_sha256."""
     lengths, offsets, digits = once("digits", str(path), lambda: decimal_table(len(token_table(path)[0])))
@@ -264,4 +267,4 @@ def decimal_table(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), finish=digest_rows, schema="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), finish=digest_rows, schema=DIGESTS)

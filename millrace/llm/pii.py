@@ -173,5 +173,18 @@ def detect(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, f"doc_id long, {counts}, base_sha256 string, spans string, scores array<double>, redacted string")
 
 
+def redacted(docs: DataFrame) -> DataFrame:
+    """The same rows with all spans replaced in text (null stays null) and n_chars, if there, counted anew."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts = [t if t is None else redact(t) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    out = docs.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("redacted")
