@@ -33,31 +33,33 @@ def all_failing(rules: Rules) -> Column:
     return F.array_compact(F.array(*(F.when(F.coalesce(fails, F.lit(False)), F.lit(reason)) for reason, fails in rules)))
 
 
-def price_fields(price: Column, original: Column, grams: Column) -> Column:
-    """struct(price, original, discount_percent, per_gram, warning). An original below the price is dropped with a
-    warning, one equal to it without."""
-    price = F.when(price.between(0.01, 100_000), half_up(price, 2))
-    below, equal = original < price, original == price
-    kept = F.when(original.isNotNull() & ~below & ~equal, half_up(original, 2))
+def price_fields(df: DataFrame, price: Column, original: Column, grams: Column) -> DataFrame:
+    """Adds price, original, discount_percent, per_gram and warning. An original below the price is dropped with a
+    warning, one equal to it without. Built step by step: each step's columns are computed once."""
+    steps = df.withColumns({"price": F.when(price.between(0.01, 100_000), half_up(price, 2)), "__original": original, "__grams": grams})
+    steps = steps.withColumns({"original": F.when(F.col("__original") > F.col("price"), half_up(F.col("__original"), 2)), "warning": F.when(F.col("__original") < F.col("price"), F.lit("original_below_price"))})
     # Divisions are rounded as decimals, so half cents go up in every engine.
-    off = F.round((kept - price).cast("decimal(18,4)") * 100 / kept.cast("decimal(18,4)"), 2).cast("double")
-    per = F.when(grams > 0, F.round(price.cast("decimal(18,4)") / grams.cast("decimal(18,4)"), 4).cast("double"))
-    return F.struct(price.alias("price"), kept.alias("original"), off.alias("discount_percent"), per.alias("per_gram"), F.when(below, F.lit("original_below_price")).alias("warning"))
+    p, o = F.col("price").cast("decimal(18,4)"), F.col("original").cast("decimal(18,4)")
+    per = F.when(F.col("__grams") > 0, F.round(p / F.col("__grams").cast("decimal(18,4)"), 4).cast("double"))
+    return steps.withColumns({"discount_percent": F.round((o - p) * 100 / o, 2).cast("double"), "per_gram": per}).drop("__original", "__grams")
 
 
 #: Fixed value: the mass share that stays when the acid form loses its carboxyl group.
 ACID_FACTOR = 0.877
 
 
-def potency(direct: Column, base: Column, acid: Column) -> Column:
-    """struct(value, display, method): a direct total, else base + 0.877 acid, else 0.877 acid as an estimate; outside
-    0 to 100: rejected."""
-    acid_part = acid.cast("decimal(18,6)") * F.lit("0.877").cast("decimal(4,3)")
-    value = F.coalesce(direct.cast("decimal(28,9)"), (base.cast("decimal(18,6)") + acid_part).cast("decimal(28,9)"), acid_part.cast("decimal(28,9)"))
-    method = F.when(direct.isNotNull(), F.lit("direct")).when(base.isNotNull() & acid.isNotNull(), F.lit("calculated")).when(acid.isNotNull(), F.lit("estimate")).otherwise(F.lit("unavailable"))
-    bad = ~value.between(0, 100)
-    value = F.when(~bad, value)
-    return F.struct(F.round(value, 4).cast("double").alias("value"), F.round(value, 0).cast("int").alias("display"), F.when(bad, F.lit("rejected")).otherwise(method).alias("method"))
+def potency(df: DataFrame, direct: Column, base: Column, acid: Column) -> DataFrame:
+    """Adds value, display and method: a direct total, else base + 0.877 acid, else 0.877 acid as an estimate; outside 0
+    to 100: rejected."""
+    steps = df.withColumns({"__direct": direct.cast("decimal(28,9)"), "__base": base.cast("decimal(18,6)"), "__acid": (acid.cast("decimal(18,6)") * F.lit(str(ACID_FACTOR)).cast("decimal(4,3)")).cast("decimal(28,9)")})
+    both = F.col("__base").isNotNull() & F.col("__acid").isNotNull()
+    method = F.when(F.col("__direct").isNotNull(), F.lit("direct")).when(both, F.lit("calculated")).when(F.col("__acid").isNotNull(), F.lit("estimate")).otherwise(F.lit("unavailable"))
+    steps = steps.withColumns({"__value": F.coalesce("__direct", (F.col("__base") + F.col("__acid")).cast("decimal(28,9)"), "__acid"), "__method": method})
+    good = F.col("__value").between(0, 100)
+    out = steps.withColumns({
+        "value": F.when(good, F.round("__value", 4).cast("double")), "display": F.when(good, F.round("__value", 0).cast("int")), "method": F.when(~good, F.lit("rejected")).otherwise(F.col("__method")),
+    })
+    return out.drop("__direct", "__base", "__acid", "__value", "__method")
 
 
 def completeness(common: list[Column], special: list[Column], evidence: Column) -> Column:
