@@ -87,14 +87,10 @@ def slug_title(url: Text) -> Column:
     return F.initcap(collapse(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"[-_+]+|\.html?$", " ")))
 
 
-def strip_suffixes(c: Text, patterns: list[str], rounds: int = 4) -> Column:
-    """Trailing patterns removed again and again, at most `rounds` times each, but never all of the text."""
-    out = collapse(c)
-    for _ in range(rounds):
-        for p in patterns:
-            shorter = F.regexp_replace(F.regexp_replace(out, f"(?i)(?:{p})\\s*$", ""), r"[\s|\-_–—:]+$", "")
-            out = F.when(shorter != "", shorter).otherwise(out)
-    return out
+def strip_suffixes(c: Text, patterns: list[str]) -> Column:
+    """All trailing patterns removed, each after blanks or a separating mark; the first word always stays."""
+    any_of = "|".join(f"(?:{p})" for p in patterns)
+    return F.regexp_replace(collapse(c), f"(?i)(?:[\\s|\\-_–—:]+(?:{any_of}))+\\s*$", "")
 
 
 def natural_key(c: Text, collation: str | None = "UNICODE_CI_AI") -> Column:

@@ -1,6 +1,6 @@
 """Registered queries, each with its DuckDB equivalent."""
 
-from millrace.plans import admission, joins, search
+from millrace.plans import admission, extraction, joins, search
 from millrace.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "admission", "joins", "search"]
+__all__ = ["ORACLES", "QUERIES", "admission", "extraction", "joins", "search"]
