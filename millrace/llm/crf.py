@@ -255,7 +255,7 @@ def score(docs: DataFrame, model: Model | float, keep: tuple[str, ...] = ("doc_i
             for part in slices(batch, "__text"):
                 values, size, first = measure(pa.record_batch({"text": part.column("__text")}))
                 if isinstance(own, float):
-                    p, found = np.full(len(size), own), np.full(len(texts), own)
+                    p, found = np.full(len(size), own), np.full(len(part), own)
                 else:
                     p = marginals(potentials(bins(values, own.edges), first, own.weights), first, own.links)[0]
                     a, c = own.curve

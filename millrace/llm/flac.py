@@ -277,6 +277,8 @@ def seek_table(media: bytes) -> tuple[dict, np.ndarray]:
         at += 4 + size
     if points is None or not head or (head["bits"], head["channels"]) != (8, 1):
         raise ValueError("a stream of 8 bits, one channel and a seek table is needed")
+    if not np.array_equal(points[:, 0], np.cumsum(points[:, 2]) - points[:, 2]) or points[:, 2].sum() != head["samples"]:
+        raise ValueError("the seek table does not fit the stream")
     points[:, 1] += at
     return head, points
 
