@@ -30,7 +30,7 @@ from millrace.llm import pretokens
 from millrace.llm.shared import bucketed, flat, slices, span_hashes, text_of
 
 #: Largest frequent-word table, and the documents of the sample that it is counted on.
-FREQUENT_WORDS = 1 << 18
+FREQUENT_WORDS = 1 << 17
 SAMPLE_DOCUMENTS = 20_000
 #: Bytes of the texts of a block.
 BLOCK_BYTES = 32 << 20

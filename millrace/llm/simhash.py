@@ -110,8 +110,8 @@ class Items:
                 keys = ((prints >> U64(16 * block)) & U64(0xFFFF)).astype(np.int64)
                 keys, which = (keys[:, None] ^ near).ravel(), np.repeat(np.arange(len(keys)), len(near))
                 order = np.argsort(keys, kind="stable")
-                counts = np.bincount(keys, minlength=1 << 16)
-                tables.append((counts, np.cumsum(counts) - counts, which[order]))
+                firsts = np.searchsorted(keys[order], np.arange((1 << 16) + 1))
+                tables.append((firsts.astype(np.int32), which[order].astype(np.int32)))
             self.classes.append((stride, length, item, offset, prints, tables))
 
     def near(self, running: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -123,14 +123,15 @@ class Items:
                 continue
             starts = np.repeat(bounds[:-1], count) + stride * (np.arange(total) - np.repeat(np.cumsum(count) - count, count))
             own = fingerprints(running, starts, length)
-            for block, (counts, first, which) in enumerate(tables):
+            for block, (firsts, which) in enumerate(tables):
                 key = ((own >> U64(16 * block)) & U64(0xFFFF)).astype(np.int64)
-                hit = np.flatnonzero(counts[key])
+                hit = np.flatnonzero(firsts[key + 1] > firsts[key])
                 if not len(hit):
                     continue
-                n = counts[key[hit]]
+                key = key[hit]
+                n = (firsts[key + 1] - firsts[key]).astype(np.int64)
                 window = np.repeat(hit, n)
-                at = np.repeat(first[key[hit]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                at = np.repeat(firsts[key] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 other = which[at]
                 close = np.bitwise_count(own[window] ^ prints[other]) <= RADIUS
                 yield item[other[close]], starts[window[close]] - offset[other[close]]
