@@ -359,3 +359,35 @@ def test_pipeline(spark, tmp_path):
     assert set(found) == set(want)
     for i, t in want.items():
         assert found[i].ids_sha256 == hashlib.sha256(" ".join(map(str, encoder.encode_ordinary(t))).encode()).hexdigest()
+
+
+def test_op5(spark):
+    from millrace.llm import warc
+
+    records = [
+        (1, "https://a.example.com/x?utm_source=q", 10, "response", "e1", "d1", {"date": "1", "content-type": "t"}, "one"),
+        (2, "https://a.example.com/x/", 20, "revisit", "e1", None, {"date": "2", "content-type": "u"}, None),
+        (3, "https://a.example.com/x", 200_000, "response", "e2", "d2", {"date": "3"}, "two"),
+        (4, "https://a.example.com/x", 200_000, "revisit", "e1", None, None, None),
+        (5, "https://a.example.com/x", 900_000, "revisit", None, "d2", {"etag": "e2"}, None),
+        (6, "https://a.example.com/x", 5, "revisit", "e1", None, {}, None),
+        (7, None, 5, "revisit", "e1", None, {}, None),
+        (8, "https://a.example.com/x", 900_000, "revisit", None, None, None, None),
+        (8, "https://a.example.com/x", 900_000, "revisit", None, None, None, None),
+        (9, "https://b.example.com/", None, "revisit", "e1", None, {}, None),
+        (10, "https://a.example.com/x", 200_000, "revisit", "e2", "d1", {}, None),
+    ]
+    df = spark.createDataFrame(records, "record_id long, uri string, at long, kind string, etag string, last_modified string, headers map<string,string>, payload string").withColumn("chunk", F.lit("clash"))
+    for chunk in (warc.CHUNK, 7, 10**9):
+        found = warc.resolve(df, chunk).collect()
+        by = {r.record_id: r for r in found}
+        assert len(found) == len(records)
+        assert {i: (r.status, r.source_id, r.payload) for i, r in by.items()} == {
+            1: ("full", None, "one"), 2: ("resolved", 1, "one"), 3: ("full", None, "two"), 4: ("validator_mismatch", None, None), 5: ("resolved", 3, "two"), 6: ("no_earlier", None, None),
+            7: ("no_address", None, None), 8: ("no_validator", None, None), 9: ("no_earlier", None, None), 10: ("resolved", 3, "two"),
+        }
+        assert by[2].headers == {"date": "2", "content-type": "t"}
+        assert by[5].headers == {"date": "3", "etag": "e2"}
+    assert warc.resolve(df.limit(0)).count() == 0
+    pages = spark.createDataFrame([(0, "https://a.example.com/p", "h"), (1, None, None), (1, None, None)], "page_id long, url string, html string")
+    assert warc.resolve(warc.captures(pages)).count() == 9
