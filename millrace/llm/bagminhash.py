@@ -8,12 +8,12 @@ weighted Jaccard similarity. Points after the time at which all registers are fi
 one hash.
 
 Texts of the same word sequence are one node. Nodes that share a band are candidates; candidates are verified on the
-bags themselves. Small bands give all their pairs. In a large band no such pairs are made: each node is held against the
-band's smallest node R, and against those few that agree with it in most registers. What remains follows from a bound.
-For A and B of that band, both at least as large as R: if they share no run outside R, then |A & B| <= |A & R| and
-|A | B| >= |A | R|, so A and B can only be similar if both are similar to R, and are in one class through R. Those that
-share a run outside R meet again under that run (of such runs a node needs only the first by hash, as many as similar
-texts can miss), again with those that agree most. So rows grow with the nodes and not with the square of a group.
+bags themselves. Small bands give all their pairs. A large band is first joined up cheaply: each node is held against the
+band's smallest node and against those few that agree with it in most registers. Then each large band whose nodes are not
+yet in one class is settled: a pair inside a class can add nothing, so every node outside the band's most common class is
+held against all others, by registers in blocks of CHUNK by CHUNK nodes, and all that agree are verified. So no pair that
+shares a band is left out, whichever block it falls in; rows grow with the nodes, and beyond them only with the nodes that
+stay outside the common class.
 
 Classes are connected components of the verified links.
 
@@ -38,16 +38,13 @@ SIMILARITY = 0.8
 ROWS = 6
 BANDS = 28
 REGISTERS = ROWS * BANDS
-#: A group of at most so many nodes gives all its pairs; of larger ones each node gives its NEAREST by registers, among
-#: CHUNK nodes of the group at a time.
+#: A group of at most so many nodes gives all its pairs; of larger ones each node first gives its NEAREST by registers,
+#: among CHUNK nodes of the group at a time.
 SMALL_GROUP = 6
 NEAREST = 3
 CHUNK = 1024
 #: Pairs whose registers agree less than this are not verified; similar ones agree in 0.8, with a deviation of 0.031.
 LEAST_AGREEMENT = 0.5
-#: In a large band, nodes less similar to its smallest node than this do not belong to its near-copies: they share its
-#: passage. Those of them that are similar to each other share other bands too, which are smaller or have a nearer node.
-NEAR = 0.5
 
 
 def bags(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -133,19 +130,6 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return inner / max(1, int(a[1].sum() + b[1].sum()) - inner)
 
 
-def outside(a: tuple[np.ndarray, np.ndarray], r: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Runs that a has more often than r has, the first by hash, as many as a similar text must share one of."""
-    at = np.searchsorted(r[0], a[0])
-    there = np.zeros(len(a[0]), np.int64)
-    hit = (at < len(r[0])) & (r[0][np.minimum(at, len(r[0]) - 1)] == a[0]) if len(r[0]) else np.zeros(len(a[0]), bool)
-    there[hit] = r[1][at[hit]]
-    more = np.maximum(a[1] - there, 0)
-    size, out = int(a[1].sum()), a[0][more > 0]
-    most = size - int(np.ceil(SIMILARITY * size - 1e-9))  # a similar text misses at most so many of a's runs
-    keep = np.searchsorted(np.cumsum(more[more > 0]), most + 1) + 1
-    return out[:keep]
-
-
 def _features(docs: DataFrame) -> DataFrame:
     """doc_id, two hashes of the word sequence, number of runs, band keys and one byte of each register."""
 
@@ -174,8 +158,7 @@ def _features(docs: DataFrame) -> DataFrame:
 
 
 def _groups(rows: DataFrame, registers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of rows (key, node, size) the pairs (pivot, node) worth verifying, and (pivot, node) of large groups, pivot the
-    group's smallest node."""
+    """Of rows (key, node, size) the pairs (pivot, node) worth verifying, and the rows (key, node, size) of large groups."""
     rows = stored(rows, "groups", compression="zstd")
     stats = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("size", "node")).alias("least")).where("n > 1")
     held = stored(rows.join(stats, "key"), "held", compression="zstd")
@@ -201,7 +184,41 @@ def _groups(rows: DataFrame, registers: DataFrame) -> tuple[DataFrame, DataFrame
     chunk = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / CHUNK))
     dealt = large.select("key", "node", chunk.alias("chunk")).join(registers.select(F.col("doc_id").alias("node"), "registers"), "node")
     near = dealt.groupBy("key", "chunk").applyInArrow(nearest, "pivot long, node long")
-    return pairs.unionByName(near).where("pivot <> node").distinct(), stars.distinct()
+    return pairs.unionByName(near).unionByName(stars).where("pivot <> node").distinct(), large.select("key", "node", "size")
+
+
+def _unsettled(large: DataFrame, roots: DataFrame, registers: DataFrame) -> DataFrame:
+    """All pairs (pivot, node) of large groups that are in different classes (node, root), agree in enough registers and
+    are near enough in size to be similar."""
+    known = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    held = known.groupBy("key", "root").agg(F.count("*").alias("n"))
+    groups = held.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("classes"), F.max(F.struct("n", "root")).alias("most")).where("classes > 1")
+    known = known.join(groups.drop("classes"), "key").withColumn("outer", F.col("root") != F.col("most.root"))
+    known = known.join(registers.select(F.col("doc_id").alias("node"), "registers"), "node")
+    known = known.withColumn("blocks", F.ceil(F.col("n") / CHUNK)).withColumn("outers", F.ceil((F.col("n") - F.col("most.n")) / CHUNK))
+    columns = ("key", "block", "outer_block", "node", "size", "root", "outer", "registers")
+    # A cell holds a block of all nodes and a block of the outer ones: nodes go to each block of outer ones, and these to each block.
+    rows = known.withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks"))).withColumn("outer_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("outers") - 1)))
+    asking = known.where("outer").withColumn("outer_block", F.pmod(F.xxhash64("key", "node"), F.col("outers"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = rows.select(*columns, F.lit(False).alias("asks")).unionByName(asking.select(*columns, F.lit(True).alias("asks")))
+
+    def compare(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy()
+        node, size, root, outer = (table.column(c).to_numpy() for c in ("node", "size", "root", "outer"))
+        x = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint8).reshape(len(node), -1)
+        own, asking = np.flatnonzero(~asks), [(i, x[i]) for i in np.flatnonzero(asks).tolist()]
+        x = x[own]
+        pivots, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, y in asking:
+            # Of two outer nodes, the one of the lower number asks.
+            hit = np.flatnonzero((root[own] != root[i]) & ~(outer[own] & (node[own] < node[i])) & (np.minimum(size[own], size[i]) >= SIMILARITY * np.maximum(size[own], size[i]) - 1e-6))
+            hit = hit[(x[hit] == y).sum(1) >= LEAST_AGREEMENT * x.shape[1]]
+            other = node[own[hit]]
+            pivots.append(np.minimum(other, node[i]))
+            nodes.append(np.maximum(other, node[i]))
+        return pa.table({"pivot": pa.array(np.concatenate(pivots), pa.int64()), "node": pa.array(np.concatenate(nodes), pa.int64())})
+
+    return cells.groupBy("key", "block", "outer_block").applyInArrow(compare, "pivot long, node long").distinct()
 
 
 def _agreeing(pairs: DataFrame, registers: DataFrame) -> DataFrame:
@@ -218,9 +235,9 @@ def _agreeing(pairs: DataFrame, registers: DataFrame) -> DataFrame:
     return pairs.join(a, "node").join(b, "pivot").select("node", "pivot", "x", "y").mapInArrow(run, "node long, pivot long")
 
 
-def _verify(pairs: DataFrame, stars: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, pivot, similar, size, runs) with, for stars, the node's runs outside its pivot."""
-    asked = stored(pairs.withColumn("star", F.lit(False)).unionByName(stars.withColumn("star", F.lit(True))).groupBy("node", "pivot").agg(F.max("star").alias("star")), "asked")
+def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, pivot, similar) of all pairs."""
+    asked = stored(pairs, "asked")
     needed = asked.select("node").union(asked.select("pivot")).distinct()
     texts = texts.join(needed.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
     a = texts.select(F.col("doc_id").alias("node"), F.col("text").alias("x"))
@@ -234,23 +251,17 @@ def _verify(pairs: DataFrame, stars: DataFrame, texts: DataFrame) -> DataFrame:
                 owner, runs, counts, _, _ = bags(data, offsets)
                 edges = np.searchsorted(owner, np.arange(len(part) + 1)).tolist()
                 out = []
-                for i, (node, pivot, star) in enumerate(zip(*(part.column(c).to_pylist() for c in ("node", "pivot", "star")), strict=True)):
+                for i, (node, pivot) in enumerate(zip(*(part.column(c).to_pylist() for c in ("node", "pivot")), strict=True)):
                     own = runs[edges[i] : edges[i + 1]], counts[edges[i] : edges[i + 1]]
                     if pivot not in kept:
                         if len(kept) > 64:
                             kept.clear()
                         _, r, n, _, _ = bags(*flat(part.column("y").slice(i, 1).cast(pa.large_string())))
                         kept[pivot] = r, n
-                    other = kept[pivot]
-                    alike = similarity(own, other)
-                    more = outside(own, other).view(np.int64) if star and alike >= NEAR else np.zeros(0, np.int64)
-                    out.append((node, pivot, alike >= SIMILARITY, int(own[1].sum()), more))
-                yield pa.record_batch({
-                    "node": pa.array([o[0] for o in out], pa.int64()), "pivot": pa.array([o[1] for o in out], pa.int64()), "similar": pa.array([o[2] for o in out], pa.bool_()),
-                    "size": pa.array([o[3] for o in out], pa.int64()), "runs": pa.array([o[4] for o in out], pa.list_(pa.int64())),
-                })
+                    out.append((node, pivot, similarity(own, kept[pivot]) >= SIMILARITY))
+                yield pa.record_batch({"node": pa.array([o[0] for o in out], pa.int64()), "pivot": pa.array([o[1] for o in out], pa.int64()), "similar": pa.array([o[2] for o in out], pa.bool_())})
 
-    return stored(asked.join(a, "node").join(b, "pivot").select("node", "pivot", "star", "x", "y").mapInArrow(run, "node long, pivot long, similar boolean, size long, runs array<long>"), "verified", compression="zstd")
+    return stored(asked.join(a, "node").join(b, "pivot").select("node", "pivot", "x", "y").mapInArrow(run, "node long, pivot long, similar boolean"), "verified", compression="zstd")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -264,14 +275,13 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = texts.join(nodes.select("doc_id"), "doc_id", "left_semi")
 
     registers = nodes.select("doc_id", "registers")
-    pairs, stars = _groups(nodes.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"), "size"), registers)
-    verified = _verify(_agreeing(pairs, registers), stars, texts)
-    # Near-copies of one pivot that are not all similar to it meet again under what they share outside it.
-    again = verified.where(F.size("runs") > 0).select(F.explode("runs").alias("run"), "pivot", "node", "size")
-    pairs, _ = _groups(again.select(F.xxhash64("pivot", "run").alias("key"), "node", "size"), registers)
-    more = _verify(_agreeing(pairs, registers), stars.limit(0), texts)
-    links = verified.unionByName(more).where("similar").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    pairs, large = _groups(nodes.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"), "size"), registers)
+    links = _verify(_agreeing(pairs, registers), texts).where("similar").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     roots = components(links)
+    # Large bands that are not in one class yet: all pairs between their classes.
+    more = _verify(_unsettled(large, roots, registers), texts).where("similar").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    if not more.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     found = members.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("class_id"), "node")
     lost = docs.where(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("node"))
     return found.unionByName(lost)

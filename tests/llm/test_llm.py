@@ -122,6 +122,25 @@ def test_op2_large_group_of_near_copies(spark):
     assert {x.doc_id: x.class_id for x in found} == brute_classes(rows)
 
 
+def test_op2_border_texts_equal_brute_force(spark, monkeypatch):
+    """Families of texts whose similarities lie around 0.8, so that a class may hang on any one link of a large group."""
+    r = random.Random(1)
+    rows, want = [], {}
+    for family in range(20):
+        own = []
+        for _ in range(80):
+            w = [f"f{family}w{j}" for j in range(200)]
+            for _ in range(r.randint(2, 4)):
+                w[r.randrange(200)] = f"x{r.randrange(10**9)}"
+            own.append((len(rows) + len(own), " ".join(w)))
+        rows += own
+        want |= brute_classes(own)
+    assert {x.doc_id: x.class_id for x in bagminhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+    monkeypatch.setattr(bagminhash, "CHUNK", 16)  # links between the blocks of a group count too
+    few = spark.createDataFrame(rows[:160], "doc_id long, text string")
+    assert {x.doc_id: x.class_id for x in bagminhash.classes(few).collect()} == {i: want[i] for i in range(160)}
+
+
 def test_bagminhash_is_unbiased():
     r = random.Random(2)
     base = [f"w{r.randrange(400)}" for _ in range(200)]
