@@ -122,15 +122,20 @@ def frequent_words(docs: DataFrame, most: int = FREQUENT_WORDS, sample: int = SA
 
 
 def _varints(values: np.ndarray) -> bytes:
-    """7 bits a byte, low bits first; values below 2 ** 21."""
-    values = values.astype(np.uint32)
-    n = 1 + (values > 0x7F) + (values > 0x3FFF)
+    """7 bits a byte, low bits first, as many bytes as a value needs."""
+    if len(values) and values.min() < 0:
+        raise ValueError("only numbers from 0 have a code")
+    values = values.astype(np.uint64)
+    n, most = np.ones(len(values), np.int64), int(values.max()) if len(values) else 0
+    width = max(1, -(-most.bit_length() // 7))
+    for j in range(1, width):
+        n += values >= np.uint64(1 << (7 * j))
     ends = np.cumsum(n)
     out = np.zeros(int(ends[-1]) if len(n) else 0, np.uint8)
     at = ends - n
-    for j in range(3):
+    for j in range(width):
         more = n > j
-        out[at[more] + j] = ((values[more] >> (7 * j)) & 0x7F) | np.where(n[more] > j + 1, 0x80, 0)
+        out[at[more] + j] = ((values[more] >> np.uint64(7 * j)) & np.uint64(0x7F)).astype(np.uint8) | np.where(n[more] > j + 1, 0x80, 0).astype(np.uint8)
     return out.tobytes()
 
 
@@ -139,7 +144,7 @@ def _from_varints(data: bytes) -> np.ndarray:
     ends = np.flatnonzero(raw < 0x80)
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(ends)]
     out = (raw[starts] & 0x7F).astype(np.int64)
-    for j in (1, 2):
+    for j in range(1, int((ends - starts).max()) + 1 if len(ends) else 1):
         more = ends - starts >= j
         out[more] |= (raw[starts[more] + j] & 0x7F).astype(np.int64) << (7 * j)
     return out
@@ -213,7 +218,10 @@ def encode(docs: DataFrame, ranks_path: str | None = None, most: int = FREQUENT_
         for row in rows.select(["doc_ids", "counts", "codes"]).to_pylist():
             codes = _from_varints(row["codes"])
             ids, ends = gather(codes, lengths, offsets, table), np.concatenate([[0], np.cumsum(lengths[codes])])
-            edges = ends[np.concatenate([[0], np.cumsum(_from_varints(row["counts"]))])].tolist()
+            bounds = np.concatenate([[0], np.cumsum(_from_varints(row["counts"]))]).astype(np.int64)
+            if bounds[-1] != len(codes):
+                raise ValueError("the texts' numbers of words do not add up to the words")
+            edges = ends[bounds].tolist()
             done.append(finish(row["doc_ids"], [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], ranks_path))
         return pa.concat_tables(done)
 

@@ -174,6 +174,15 @@ def test_op3(spark, docs, rows, no_docs):
     assert bpe.encode(no_docs).count() == 0
 
 
+def test_op3_numbers_beyond_21_bits(spark):
+    values = np.array([0, 127, 128, 16383, 16384, 2**21 - 1, 2**21, 2_500_000, 2**28, 2**35 + 1, 2**62], np.int64)
+    assert bpe._from_varints(bpe._varints(values)).tolist() == values.tolist()
+    assert bpe._varints(values[:0]) == b"" and bpe._from_varints(b"").tolist() == []
+    text = "a b" * (2**20 + 5)  # more than 2 ** 21 pre-tokens
+    row = bpe.encode(spark.createDataFrame([(1, text), (2, "end")], "doc_id long, text string").coalesce(1)).where("doc_id = 1").first()
+    assert bpe.decode_ids(np.frombuffer(row.ids, "<u4")) == text.encode()
+
+
 def test_op4(spark, docs, rows, no_docs):
     bad = [(100 + i, "!!! $$$ ### " * (5 + i)) for i in range(60)]
     good = [(200 + i, f"A calm sentence number {i} stands here, and another follows it.\nIt ends well {i}.") for i in range(60)]
