@@ -350,6 +350,16 @@ def test_pii_spans():
     assert pii.redact("a@b.cd or 4111 1111 1111 1111.") == "[EMAIL] or [CARD]."
 
 
+@pytest.mark.parametrize("code", ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"])
+@pytest.mark.parametrize("after", ["", " BIC COBADEFFXXX", " Please confirm", " A note", " 4715", " 2024 10 05", ". Thanks", " NO93 8601 1117 947", " PLEASE PAY BY FRIDAY MORNING AT TEN"])
+def test_ibans_before_other_words(code, after):
+    text = f"IBAN {code}{after}"
+    want = [(5, 5 + len(code))] + ([(6 + len(code), len(text))] if "NO93" in after else [])
+    assert pii.ibans(text) == want
+    assert code not in pii.redact(text) and pii.redact(text).startswith("IBAN [IBAN]")
+    assert pii.ibans(f"IBAN {code}1") == [] and pii.ibans(f"IBAN {code[:-1]}{(int(code[-1]) + 1) % 10}{after}")[:1] in ([], want[1:])
+
+
 def test_pii_takes_linear_time_on_long_runs():
     import time
 
