@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.text import clean_text, column
+from millrace.functions.text import clean_text, collapse, column
 
 #: Query keys that name a variant.
-VARIANT_KEYS = ["variant", "variant_id", "variation_id", "sku"]
+VARIANT_KEYS = ["variant", "attribute_pa_size", "attribute_size", "variation_id"]
 #: Query keys of analytics.
 TRACKING_KEYS = ["_hsenc", "_hsmi", "dclid", "fbclid", "gclid", "mc_cid", "mc_eid", "msclkid"]
 #: Query keys of addresses that expire or carry credentials.
@@ -59,9 +59,26 @@ def product_address(c: Column | str) -> Column:
     return _put(c, F.array().cast("array<string>"))
 
 
+def _form(c: Column) -> Column:
+    """Decoded and encoded again, so that equal values are spelled the same way."""
+    decoded = F.coalesce(F.try_url_decode(c), c)
+    return F.replace(F.replace(F.url_encode(decoded), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def variant_address(c: Column | str) -> Column:
-    """Canonical, of the query only what names a variant."""
-    return _put(c, F.filter(query_pairs(c), lambda p: _key(p).isin(VARIANT_KEYS)))
+    """Canonical, of the query only what names a variant and has a value, in order of key and value."""
+    kept = F.filter(query_pairs(c), lambda p: _key(p).isin(VARIANT_KEYS) & ~p.endswith("="))
+    pairs = F.transform(kept, lambda p: F.struct(_form(F.substring_index(p, "=", 1)).alias("k"), _form(F.regexp_replace(p, "^[^=]*=", "")).alias("v")))
+    return _put(c, F.transform(F.array_sort(pairs), lambda p: F.concat(p["k"], F.lit("="), p["v"])))
+
+
+def detail_target(c: Column | str) -> Column:
+    """Where a product's own page lies: without fragment, and on product paths without query; other texts as they are."""
+    path = part(c, 3)
+    root = F.concat(scheme(c), F.lit("://"), part(c, 2), F.when(path == "", F.lit("/")).otherwise(path))
+    query = F.when((part(c, 4) == "") | F.lower(path).rlike("/(?:products?|shop)/"), F.lit("")).otherwise(F.concat(F.lit("?"), part(c, 4)))
+    bounded = F.substring(collapse(c), 1, 1000)
+    return F.when(part(c, 1) == "", bounded).otherwise(F.concat(root, query))
 
 
 def expiring(c: Column | str) -> Column:
@@ -84,7 +101,7 @@ def public(c: Column | str) -> Column:
 
 def joined(base: Column | str, link: Column | str) -> Column:
     """A link of a page as a full address: full, //host, /path or path beside the page."""
-    base, link = column(base), clean_text(link)
+    base, link = column(base), clean_text(link, exotic=False)
     root = F.concat(scheme(base), F.lit("://"), part(base, 2))
     beside = F.regexp_replace(part(base, 3), "[^/]*$", "")
     return (

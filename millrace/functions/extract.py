@@ -18,6 +18,7 @@ POUND_GRAMS = {"1/4": 112.0, "1/2": 224.0, "1": 448.0, "2": 896.0, "4": 1792.0,
 OUNCE_GRAMS = {"1/8": 3.5, "1/4": 7.0, "1/2": 14.0, "1": 28.0, "2": 56.0, "4": 112.0}
 WORD_GRAMS = {"eighth": 3.5, "quarter": 7.0, "half ounce": 14.0, "half oz": 14.0, "ounce": 28.0, "one ounce": 28.0, "two ounces": 56.0, "two ounce": 56.0, "four ounces": 112.0, "four ounce": 112.0, "zip": 28.0}
 STANDARD_GRAMS = [0.5, 1.0, 2.0, 3.5, 4.0, 7.0, 14.0, 28.0, 56.0, 112.0, 224.0, 448.0, 896.0, 1792.0]
+#: Phrases that deny and that affirm stock.
 OUT_OF_STOCK = r"\b(?:out\s+of\s+stock|outofstock|sold\s+out|unavailable|not(?:\s+\w+){0,2}\s+(?:available|in\s+stock))\b"
 IN_STOCK = r"\b(?:in\s+stock|instock|available(?:\s+for\s+order)?)\b"
 

@@ -33,11 +33,15 @@ def positive(c: Column | str) -> Column:
     return F.when((x > 0) & (x < float("inf")), x)
 
 
+#: Fixed value: how reports say that nothing was found.
+NOT_DETECTED = r"(?i)\b(?:nd|n/?d|non[- ]?detect(?:ed|able)?|below\s+(?:loq|lod))\b"
+
+
 def percent(c: Column | str) -> Column:
     """The first "n %" of a text, 0 to 100; "not detected" in its spellings is 0."""
     text = column(c)
     found = F.regexp_extract(text, r"(?<!\d)(\d{1,3}(?:\.\d+)?)\s*%?", 1).try_cast("decimal(18,6)")
-    none = text.rlike(r"(?i)\b(?:nd|n/?d|non[- ]?detect(?:ed|able)?|below\s+(?:loq|lod))\b")
+    none = text.rlike(NOT_DETECTED)
     return F.when(none, F.lit(0).cast("decimal(18,6)")).otherwise(F.when(found.between(0, 100), found))
 
 

@@ -13,8 +13,27 @@ from pyspark.sql import types as T
 Text = Column | str
 
 _SPACES = r"[\s\p{Z}]+"
-#: Printable ASCII without "&": nothing to decode or normalise.
-_PLAIN = r"^[\x20-\x25\x27-\x7E\t\n\r]*$"
+#: The commonest entities, which built-in functions decode.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&amp;": "&"}
+#: What these do not do: characters beyond printable ASCII, and other entities. Searched for, as a pattern of whole texts
+#: would need a stack as deep as the text is long.
+_HARD = r"[^\x20-\x7E\t\n\r]|&(?!(?:" + "|".join(e[1:-1] for e in ENTITIES) + r");)[A-Za-z#]"
+
+
+def _folding() -> tuple[str, str, str]:
+    """Of Latin, Greek and Cyrillic: letters, the one base letter that each becomes without its marks, and all marks."""
+    pairs = []
+    for i in [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]:
+        base = [x for x in unicodedata.normalize("NFKD", chr(i)) if not unicodedata.combining(x)]
+        if len(base) == 1 and base[0] != chr(i):
+            pairs.append((chr(i), base[0]))
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs), marks
+
+
+_FROM, _TO, _MARKS = _folding()
+#: Other characters than translate() can fold, which are those above, and letters without marks of the same scripts, dashes and quotes.
+_UNFOLDABLE = r"[^\x00-\x7F\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0300-\u0377\u0386-\u03CE\u0400-\u0481\u048A-\u0529\u2010\u2012-\u2016\u2018-\u201F\u2022]"
 
 
 def column(c: Text) -> Column:
@@ -31,10 +50,12 @@ def _mapped(c: Column, fn) -> Column:
     return run(c)
 
 
-def _composed(c: Column, fn) -> Column:
-    """Plain texts as they are, others by fn. The others are nulled out first, so that plain ones cost little."""
-    plain = c.rlike(_PLAIN)
-    return F.when(plain, c).otherwise(_mapped(F.when(~plain, c), fn))
+def decoded(c: Text) -> Column:
+    """The commonest entities decoded, by built-in functions; "&amp;" last, as each is decoded once."""
+    c = column(c)
+    for entity, character in ENTITIES.items():
+        c = F.replace(c, F.lit(entity), F.lit(character))
+    return c
 
 
 def collapse(c: Text) -> Column:
@@ -42,39 +63,56 @@ def collapse(c: Text) -> Column:
     return F.trim(F.regexp_replace(column(c), _SPACES, " "))
 
 
-def clean_text(c: Text) -> Column:
-    """Entities decoded, composed (NFKC), white space collapsed."""
-    return collapse(_composed(column(c), lambda s: unicodedata.normalize("NFKC", html.unescape(s))))
+def clean_text(c: Text, exotic: bool = True) -> Column:
+    """Entities decoded, composed (NFKC), white space collapsed. Without exotic, only what built-in functions can do: the
+    commonest entities are decoded, other text stays as it is."""
+    c = column(c)
+    if not exotic:
+        return collapse(decoded(c))
+    easy = ~c.rlike(_HARD)
+    return collapse(F.when(easy, decoded(c)).otherwise(_mapped(F.when(~easy, c), lambda s: unicodedata.normalize("NFKC", html.unescape(s)))))
 
 
 def _unmarked(s: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFKD", s) if not unicodedata.combining(x))
 
 
-def fold(c: Text) -> Column:
-    """Case folded and without accents."""
+def unmarked(c: Text, exotic: bool = True) -> Column:
+    """Without accents and other marks (NFKD): letters of Latin, Greek and Cyrillic by a built-in function, texts with other
+    characters by an Arrow-batched one, if exotic, or else as they are."""
     c = column(c)
-    return F.when(c.rlike(_PLAIN), F.lower(c)).otherwise(_mapped(F.when(~c.rlike(_PLAIN), c), lambda s: _unmarked(s.casefold())))
+    folded = F.translate(c, _FROM + _MARKS, _TO)
+    if not exotic:
+        return folded
+    easy = ~c.rlike(_UNFOLDABLE)
+    return F.when(easy, folded).otherwise(_mapped(F.when(~easy, c), _unmarked))
+
+
+def fold(c: Text, exotic: bool = True) -> Column:
+    """Case folded and without accents."""
+    sharp = F.replace(F.replace(column(c), F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("ss"))
+    lower = F.lower(unmarked(sharp, exotic))
+    return F.replace(lower, F.lit("ς"), F.lit("σ"))
 
 
-def search_key(c: Text) -> Column:
+def search_key(c: Text, exotic: bool = True) -> Column:
     """Cleaned, folded, with the separating marks - _ / | , : ; · • as blanks."""
-    return F.trim(F.regexp_replace(fold(clean_text(c)), r"[\s\-_/|,:;·•]+", " "))
+    return F.trim(F.regexp_replace(fold(clean_text(c, exotic), exotic), r"[\s\-_/|,:;·•]+", " "))
 
 
-def search_text(c: Text) -> Column:
-    """Folded, with all punctuation and symbols as blanks: what the faceted search compares."""
-    return F.trim(F.regexp_replace(fold(c), r"[\p{P}\p{S}\s]+", " "))
+def search_text(c: Text, exotic: bool = True) -> Column:
+    """In lower case, without accents, with all punctuation and symbols as blanks: what the faceted search compares."""
+    return F.trim(F.regexp_replace(F.lower(unmarked(c, exotic)), r"[\p{P}\p{S}\s]+", " "))
 
 
-def strip_tags(c: Text) -> Column:
+def strip_tags(c: Text, exotic: bool = True) -> Column:
     """Markup removed, entities decoded, white space collapsed."""
-    return clean_text(F.regexp_replace(column(c), r"<[^>]*>", " "))
+    return clean_text(F.regexp_replace(column(c), r"<[^>]*>", " "), exotic)
 
 
-def name_key(c: Text) -> Column:
+def name_key(c: Text, exotic: bool = True) -> Column:
     """Folded name with & as "and" and all else but letters and digits as blanks."""
-    return F.trim(F.regexp_replace(F.replace(fold(c), F.lit("&"), F.lit(" and ")), r"[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.replace(fold(c, exotic), F.lit("&"), F.lit(" and ")), r"[^a-z0-9]+", " "))
 
 
 def bounded(c: Text, most: int) -> Column:

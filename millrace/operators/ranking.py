@@ -23,6 +23,13 @@ def audit(df: DataFrame, keys: list[str], ranks: list[Column], identity: str) ->
     return rows.where("__place > 1").drop("__place")
 
 
+def losers(df: DataFrame, keys: list[str], rank: Column, identity: str) -> DataFrame:
+    """As audit, for keys that a large part of all rows may share: the least of each key by a partial aggregation, joined
+    back, so that no window gathers a key's rows. Ranks must differ between rows."""
+    best = df.groupBy(*keys).agg(F.min_by(identity, rank).alias("kept"))
+    return df.join(best, keys).where(F.col(identity) != F.col("kept"))
+
+
 def best_of(df: DataFrame, keys: list[str], value: Column, rank: Column, name: str) -> DataFrame:
     """Of each key the value with the highest rank (a struct that ends in a tie-break); one partial aggregation."""
     return df.groupBy(*keys).agg(F.max_by(value, rank).alias(name))
@@ -33,13 +40,8 @@ def filled(*fields: str) -> Column:
     return sum(((F.col(f).isNotNull()) & (F.col(f).cast("string") != "")).cast("int") for f in fields)
 
 
-def top_with_ties(df: DataFrame, keys: list[str], score: str) -> DataFrame:
-    """The rows of highest score, with how many share it."""
-    w = Window.partitionBy(*keys)
-    top = df.withColumn("__top", F.max(score).over(w)).where(F.col(score) == F.col("__top")).drop("__top")
-    return top.withColumn("rivals", F.count("*").over(w))
-
-
-def last_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The last row of each key in the given (descending) order."""
-    return best_row(df, keys, order)
+def top_with_ties(df: DataFrame, keys: list[str], score: str, columns: list[str]) -> DataFrame:
+    """The different values of the columns among each key's rows of highest score. One shuffle, as the last step's keys
+    include the window's."""
+    top = df.select(*keys, *columns, score, F.max(score).over(Window.partitionBy(*keys)).alias("__top"))
+    return top.where(F.col(score) == F.col("__top")).drop("__top").distinct()

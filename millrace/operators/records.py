@@ -10,7 +10,7 @@ from millrace.functions.text import column
 #: What a shop's product feed holds.
 FEED = "products array<struct<id:string,title:string,handle:string,variants:array<struct<id:string,title:string,price:string,available:boolean>>>>"
 #: Texts that stand for nothing.
-PLACEHOLDERS = ["", "unknown", "n/a", "na", "none", "null", "-", "--"]
+PLACEHOLDERS = ["", "unknown", "unavailable", "n/a", "none", "-", "—"]
 
 
 def feed_rows(feeds: DataFrame, key: str, payload: str) -> DataFrame:

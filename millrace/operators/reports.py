@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,17 +29,26 @@ def violations(checks: list[tuple[str, DataFrame, Column]]) -> DataFrame:
     return out
 
 
-def floor_percentile(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+def floor_percentile(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], cuts: int = 256) -> DataFrame:
     """The value at place floor(n * share) of the sorted values (the last at most), exactly.
 
-    Ranks are numbered by a window of the key, so no group's values are gathered in an array.
+    Equal values are counted before the shuffle. Approximate percentiles cut each key's values into `cuts` ranges; counts of
+    ranges (a few rows a key) tell in which range a place lies, and only that range's values are put in order. So a key
+    with most of the rows is spread over many tasks.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, value, (F.row_number().over(w.orderBy(value)) - 1).alias("__i"), F.count("*").over(w).alias("__n"))
-    place = {name: F.least(F.floor(F.col("__n") * share), F.col("__n") - 1) for name, share in shares.items()}
-    return rows.groupBy(*keys).agg(*(F.max(F.when(F.col("__i") == p, F.col(value))).alias(name) for name, p in place.items()))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    edges = rows.groupBy(*keys).agg(F.percentile_approx("__v", F.array(*(F.lit(i / cuts) for i in range(1, cuts))), F.lit(10_000)).alias("__cuts"))
+    counts = rows.groupBy(*keys, "__v").agg(F.count("*").alias("__c")).join(edges, keys)
+    counts = counts.select(*keys, "__v", "__c", F.size(F.filter("__cuts", lambda c: c < F.col("__v"))).alias("__range"))
+    whole = Window.partitionBy(*keys)
+    ranges = counts.groupBy(*keys, "__range").agg(F.sum("__c").alias("__n"))
+    ranges = ranges.withColumn("__to", F.sum("__n").over(whole.orderBy("__range"))).withColumn("__total", F.sum("__n").over(whole))
+    wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.least(F.floor(F.col("__total") * share), F.col("__total") - 1).alias("place")) for name, share in shares.items())))
+    wanted = ranges.select(*keys, "__range", "__to", "__n", wanted.alias("__w")).where((F.col("__w.place") < F.col("__to")) & (F.col("__w.place") >= F.col("__to") - F.col("__n")))
+    inner = counts.join(wanted, [*keys, "__range"])
+    reached = F.col("__to") - F.col("__n") + F.sum("__c").over(Window.partitionBy(*keys, "__range", "__w.name").orderBy("__v"))
+    hits = inner.withColumn("__reached", reached).where(F.col("__reached") > F.col("__w.place"))
+    return hits.groupBy(*keys).agg(*(F.min(F.when(F.col("__w.name") == name, F.col("__v"))).alias(name) for name in shares))
 
 
 def latest_attempts(df: DataFrame, keys: list[str], order: list[Column], ok: Column) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,7 +18,8 @@ def offsets(df: DataFrame, keys: list[str], order: list[Column], size: Column, n
 def fit_segments(df: DataFrame, bucket: str, order: list[str], size: str, most: int) -> DataFrame:
     """Rows of each bucket dealt in order to segments of at most `most` bytes: a row that does not fit opens the next.
 
-    A row beyond the bound by itself is an error. Each bucket passes through its task as a stream.
+    A row beyond the bound by itself is an error. Where a segment ends depends on all rows before it, so a bucket passes
+    through one task, as a stream: deal the rows to buckets by a hash of their identity, as many as the data need.
     """
     names = df.columns
 
@@ -40,15 +40,3 @@ def fit_segments(df: DataFrame, bucket: str, order: list[str], size: str, most:
 
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", segment int"
     return df.repartition(bucket).sortWithinPartitions(bucket, *order).mapInArrow(run, schema)
-
-
-def balance(costs: dict[str, float], workers: int) -> dict[str, int]:
-    """A worker for each task, the largest task first to the least loaded worker; for lists of sources, not for data."""
-    load = [(0.0, w) for w in range(workers)]
-    heapq.heapify(load)
-    out = {}
-    for name, cost in sorted(costs.items(), key=lambda x: (-x[1], x[0])):
-        total, w = heapq.heappop(load)
-        out[name] = w
-        heapq.heappush(load, (total + cost, w))
-    return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.numbers import drop_share, half_even, half_up, rating_pair, within
 from millrace.operators import gates
-from millrace.operators.ranking import audit, best_of, best_row, filled
+from millrace.operators.ranking import best_of, best_row, filled, losers
 from millrace.plans.registry import query
 from millrace.sources.tables import table
 
@@ -67,20 +67,20 @@ def gate_all_reasons(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""SELECT n_nationkey, n, CAST(active AS BIGINT) AS active, CAST(priced AS BIGINT) AS priced, array_to_string(list_filter([CASE WHEN n = 0 THEN 'no_rows' END, CASE WHEN active < 0.9 * n THEN 'low_coverage' END, CASE WHEN priced = 0 THEN 'nothing_priced' END], lambda x: x IS NOT NULL), ',') AS reasons
-FROM (SELECT n_nationkey, count(c_custkey) AS n, count(*) FILTER (WHERE c_mktsegment <> 'BUILDING') AS active, count(*) FILTER (WHERE c_acctbal > 0) AS priced FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 25 <> 3 GROUP BY n_nationkey)""")
+FROM (SELECT n_nationkey, count(c_custkey) AS n, count(*) FILTER (WHERE c_mktsegment <> 'BUILDING') AS active, count(*) FILTER (WHERE c_acctbal > 0) AS priced FROM (SELECT n_nationkey FROM nation UNION ALL SELECT -1) LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey)""")
 def source_gate(spark: SparkSession, folder: str) -> DataFrame:
     """Gates on whole sources: rows, coverage of a field, anything priced."""
-    c, n = table(spark, folder, "customer").where("c_custkey % 25 <> 3"), table(spark, folder, "nation")
+    c, n = table(spark, folder, "customer"), table(spark, folder, "nation").select("n_nationkey").unionByName(spark.range(1).select((F.col("id") - 1).alias("n_nationkey")))  # and a source without rows
     g = n.join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy("n_nationkey").agg(F.count("c_custkey").alias("n"), F.count_if(F.col("c_mktsegment") != "BUILDING").alias("active"), F.count_if(F.col("c_acctbal") > 0).alias("priced"))
     rules = [("no_rows", F.col("n") == 0), ("low_coverage", F.col("active") < 0.9 * F.col("n")), ("nothing_priced", F.col("priced") == 0)]
     return g.withColumn("reasons", F.array_join(gates.all_failing(rules), ","))
 
 
-@query("""SELECT text, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, count(*) AS copies FROM documents GROUP BY text""")
+@query("""SELECT sha256(text) AS text_sha256, min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, count(*) AS copies FROM documents GROUP BY text""")
 def best_row_dedupe(spark: SparkSession, folder: str) -> DataFrame:
     """One row a text: the first by doc_id."""
-    d = table(spark, folder, "documents").select("doc_id", "text", "source")
-    return d.groupBy("text").agg(F.min(F.struct("doc_id", "source")).alias("f"), F.count("*").alias("copies")).select("text", "f.doc_id", "f.source", "copies")
+    d = table(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"), "source")
+    return d.groupBy("text_sha256").agg(F.min(F.struct("doc_id", "source")).alias("f"), F.count("*").alias("copies")).select("text_sha256", "f.doc_id", "f.source", "copies")
 
 
 @query("""SELECT o_custkey, o_orderstatus, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""")
@@ -91,7 +91,8 @@ def last_wins_dedupe(spark: SparkSession, folder: str) -> DataFrame:
 @query("""SELECT doc_id, kept FROM (SELECT doc_id, first_value(doc_id) OVER w AS kept, row_number() OVER w AS n FROM documents WINDOW w AS (PARTITION BY text ORDER BY n_chars DESC, doc_id)) WHERE n > 1""")
 def dedupe_audit(spark: SparkSession, folder: str) -> DataFrame:
     """The documents that lost to an equal one, and to which."""
-    return audit(table(spark, folder, "documents").select("doc_id", "text", "n_chars"), ["text"], [F.desc("n_chars"), F.asc("doc_id")], "doc_id").select("doc_id", "kept")
+    d = table(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("key"), "n_chars")
+    return losers(d, ["key"], F.struct(-F.col("n_chars"), F.col("doc_id")), "doc_id").select("doc_id", "kept")
 
 
 @query("""SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS priority, arg_max(o_totalprice, o_orderkey) FILTER (WHERE o_totalprice > 250000) AS price FROM orders GROUP BY o_custkey""")

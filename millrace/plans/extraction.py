@@ -39,12 +39,19 @@ def canonical_url(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", addresses.product_address("url").alias("product"), addresses.document_address("url").alias("document"), addresses.host("url").alias("host"))
 
 
-@query(r"""WITH t AS (SELECT page_id, 'https://shop.example.com/p/' || page_id || '/?variant=' || (page_id % 7) || CASE WHEN page_id % 3 = 0 THEN '&token=x' ELSE '&ref=y' END AS u FROM pages)
-SELECT page_id, 'https://shop.example.com/p/' || page_id || '?variant=' || (page_id % 7) AS variant, page_id % 3 = 0 AS expiring, true AS public FROM t""")
+_URL = """'HTTPS://Shop.Example.com//p/' || page_id || '/?utm_source=a&' || CASE page_id % 5 WHEN 0 THEN 'Variant=' || (page_id % 7) WHEN 1 THEN 'variation_id=' || page_id || '&attribute_size=' || (page_id % 9) || '+g' WHEN 2 THEN 'sku=' || page_id
+ WHEN 3 THEN 'variant=&attribute_pa_size=half%20oz' ELSE 'variant=b&variant=a%2f' END || CASE WHEN page_id % 4 = 0 THEN '&token=x' WHEN page_id % 4 = 1 THEN '&ref=y#top' ELSE '' END"""
+
+
+@query(f"""WITH t AS (SELECT page_id, {_URL} AS u FROM pages), q AS (SELECT page_id, regexp_extract(u, '[?]([^#]*)', 1) AS q FROM t),
+p AS (SELECT page_id, unnest(string_split(q, '&')) AS p FROM q),
+k AS (SELECT page_id, string_agg(split_part(p, '=', 1) || '=' || replace(replace(replace(split_part(p, '=', 2), '%20', '+'), '%2f', '%2F'), ' ', '+'), '&' ORDER BY split_part(p, '=', 1), split_part(p, '=', 2)) AS kept
+ FROM p WHERE lower(split_part(p, '=', 1)) IN ('variant', 'attribute_pa_size', 'attribute_size', 'variation_id') AND split_part(p, '=', 2) <> '' GROUP BY page_id)
+SELECT page_id, 'https://shop.example.com/p/' || page_id || coalesce('?' || kept, '') AS variant, contains(q, '&token=') AS expiring, true AS public, 'https://Shop.Example.com//p/' || page_id || '/?' || q AS detail FROM q LEFT JOIN k USING (page_id)""")
 def variant_url(spark: SparkSession, folder: str) -> DataFrame:
-    u = F.concat(F.lit("https://shop.example.com/p/"), F.col("page_id"), F.lit("/?variant="), F.col("page_id") % 7, F.when(F.col("page_id") % 3 == 0, "&token=x").otherwise("&ref=y"))
-    t = table(spark, folder, "pages").select("page_id", u.alias("u"))
-    return t.select("page_id", addresses.variant_address("u").alias("variant"), addresses.expiring("u").alias("expiring"), addresses.public("u").alias("public"))
+    """Of each address's query what names a variant: four keys, in order, spelled alike."""
+    t = table(spark, folder, "pages").select("page_id", F.expr(_URL).alias("u"))
+    return t.select("page_id", addresses.variant_address("u").alias("variant"), addresses.expiring("u").alias("expiring"), addresses.public("u").alias("public"), addresses.detail_target("u").alias("detail"))
 
 
 @query(r"""SELECT page_id, lang, md5(title) AS title_md5, length(title) AS title_chars FROM (SELECT page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang,
@@ -130,14 +137,21 @@ def canonical_name(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select("p_partkey", text.strip_suffixes(raw, ["indoor", "best seller", "premium"]).alias("name"))
 
 
-@query(r"""SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS clean_md5 FROM documents WHERE NOT contains(text, '&')""")
+@query(r"""SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS clean_md5 FROM documents""")
 def clean_texts(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents").where(~F.contains("text", F.lit("&")))
-    return d.select("doc_id", F.md5(text.collapse("text")).alias("clean_md5"))
+    """Entities, ligatures and decomposed letters put into all texts, and taken out again by cleaning them."""
+    t = F.replace(F.replace(F.col("text"), F.lit("é"), F.lit("&eacute;")), F.lit("fi"), F.lit("ﬁ"))
+    t = F.replace(F.replace(t, F.lit("ü"), F.lit("u\u0308")), F.lit("o t"), F.lit("o&#32;&#x74;"))
+    return table(spark, folder, "documents").select("doc_id", F.md5(text.clean_text(t)).alias("clean_md5"))
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS bytes, CAST(CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 32 AS INTEGER) AS bucket FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY doc_id) AS n FROM d),
+s AS (SELECT doc_id, bytes, bucket, n, 0 AS segment, bytes AS used FROM r WHERE n = 1
+UNION ALL SELECT r.doc_id, r.bytes, r.bucket, r.n, CASE WHEN s.used + r.bytes > 262144 THEN s.segment + 1 ELSE s.segment END, CASE WHEN s.used + r.bytes > 262144 THEN r.bytes ELSE s.used + r.bytes END FROM s JOIN r ON r.bucket = s.bucket AND r.n = s.n + 1)
+SELECT doc_id, bucket, CAST(bytes AS INTEGER) AS bytes, CAST(segment AS INTEGER) AS segment FROM s""")
 def byte_segments(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents dealt to byte-bounded segments within each source; order matters, so the tests use a plain loop."""
-    d = table(spark, folder, "documents").select("doc_id", "source", F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"))
-    return fit_segments(d, "source", ["doc_id"], "bytes", 2 << 20)
+    """Documents dealt by a hash of their identity to buckets, and in each to segments of at most 256 KiB."""
+    bucket = hashing.bucket(F.sha2(F.col("doc_id").cast("string"), 256), 32)
+    d = table(spark, folder, "documents").select("doc_id", bucket.alias("bucket"), F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"))
+    return fit_segments(d, "bucket", ["doc_id"], "bytes", 1 << 18)

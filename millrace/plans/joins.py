@@ -12,12 +12,12 @@ from millrace.sources.tables import table
 from millrace.streaming import health
 
 
-@query("""SELECT c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderkey % 3 = 0
-UNION SELECT c_custkey, o_orderkey FROM customer JOIN orders ON o_orderkey = c_custkey WHERE o_orderkey % 3 = 0""")
+@query("""SELECT c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey
+UNION SELECT c_custkey, o_orderkey FROM customer JOIN orders ON o_orderkey = c_custkey""")
 def any_key_join(spark: SparkSession, folder: str) -> DataFrame:
     """Two keys that either one may agree by: both become rows of one equi-join; a pair found twice is one."""
     c = table(spark, folder, "customer").select("c_custkey", F.concat(F.lit("c"), "c_custkey").alias("k1"), F.concat(F.lit("o"), "c_custkey").alias("k2"))
-    o = table(spark, folder, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", F.concat(F.lit("c"), "o_custkey").alias("j1"), F.concat(F.lit("o"), "o_orderkey").alias("j2"))
+    o = table(spark, folder, "orders").select("o_orderkey", F.concat(F.lit("c"), "o_custkey").alias("j1"), F.concat(F.lit("o"), "o_orderkey").alias("j2"))
     return matching.by_any_key(c, o, ["k1", "k2"], ["j1", "j2"], "o_orderkey").select("c_custkey", "o_orderkey")
 
 
@@ -37,8 +37,7 @@ def _pairs(spark: SparkSession, folder: str) -> DataFrame:
 @query(_SCORED + f"r AS (SELECT *, max(score) OVER (PARTITION BY {_KEYS}) AS top FROM t) SELECT DISTINCT {_KEYS}, p_partkey, CAST(score AS INTEGER) AS score FROM r WHERE score = top")
 def scored_match(spark: SparkSession, folder: str) -> DataFrame:
     """The best candidates of each row within its block: conflicts go, points add up, ties stay."""
-    best = top_with_ties(_pairs(spark, folder), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "score")
-    return best.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p_partkey", "score").distinct()
+    return top_with_ties(_pairs(spark, folder), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "score", ["p_partkey"])
 
 
 @query(_SCORED + """u AS (SELECT DISTINCT l_partkey, p_partkey, max(score) OVER (PARTITION BY l_partkey, p_partkey) AS score FROM t), r AS (SELECT *, max(score) OVER (PARTITION BY l_partkey) AS top FROM u)
@@ -127,15 +126,19 @@ def violations(spark: SparkSession, folder: str) -> DataFrame:
     return reports.violations([("line_twice", twice, F.concat_ws("-", "l_orderkey", "l_linenumber")), ("no_order", orphans, F.col("l_orderkey")), ("price_not_positive", o.where("o_totalprice < 5000"), F.col("o_orderkey"))])
 
 
-_STATES = """WITH e AS (SELECT user_id, event_id, ts, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS failed, value > 15 AS signal FROM events),
+_STATES = """WITH e AS (SELECT user_id, event_id, ts, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS failed, value > 100 AS signal, event_type = 'error' AND value > 150 AS hard, event_type = 'view' AND value > 200 AS blocked,
+ CASE WHEN event_type = 'signup' AND value > 250 THEN 1 ELSE 0 END AS retire FROM events),
 r AS (SELECT *, sum(1 - failed) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM e),
 f AS (SELECT *, CAST(sum(failed) OVER (PARTITION BY user_id, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS failures FROM r),
-s AS (SELECT *, CASE WHEN failures >= 2 THEN 'quarantined' WHEN failures > 0 OR coalesce(signal, false) THEN 'degraded' ELSE 'healthy' END AS state FROM f)"""
+s AS (SELECT *, CASE WHEN max(retire) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) = 1 THEN 'retired' WHEN coalesce(blocked, false) THEN 'blocked'
+ WHEN coalesce(hard, false) OR failures >= 2 THEN 'quarantined' WHEN coalesce(signal, false) THEN 'degraded' ELSE 'healthy' END AS state FROM f)"""
 
 
 def _states(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
-    return health.next_state(e, ["user_id"], [F.col("ts"), F.col("event_id")], F.col("event_type") == "error", F.coalesce(F.col("value") > 15, F.lit(False)))
+    kind, value = F.col("event_type"), F.col("value")
+    order = [F.col("ts"), F.col("event_id")]
+    return health.next_state(e, ["user_id"], order, kind == "error", value > 100, (kind == "error") & (value > 150), (kind == "view") & (value > 200), (kind == "signup") & (value > 250))
 
 
 @query(_STATES + " SELECT user_id, event_id, failures, state FROM s")
@@ -144,7 +147,7 @@ def event_state_machine(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(_STATES + """, p AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'probing') AS before FROM s)
-SELECT user_id, event_id, before AS from_state, state AS to_state FROM p WHERE before = 'quarantined' AND state IN ('healthy', 'degraded')""")
+SELECT user_id, event_id, before AS from_state, state AS to_state FROM p WHERE (before = 'quarantined' AND state IN ('healthy', 'degraded')) OR (before = 'blocked' AND state IN ('healthy', 'degraded'))""")
 def invalid_transitions(spark: SparkSession, folder: str) -> DataFrame:
     """Steps that the table of transitions does not allow."""
     return health.invalid_steps(_states(spark, folder), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", "from_state", "to_state")

@@ -14,7 +14,7 @@ def products(spark: SparkSession, folder: str) -> DataFrame:
     p = table(spark, folder, "part")
     return p.select(
         F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("vendor"), F.lower("p_type").alias("category"),
-        F.when(F.col("p_size") % 5 != 0, F.col("p_size").cast("double")).alias("potency"), search_text(F.concat_ws("\n", "p_brand", "p_name")).alias("search_text"),
+        F.when(F.col("p_size") % 5 != 0, F.col("p_size").cast("double")).alias("potency"), search_text(F.concat_ws("\n", "p_brand", "p_name"), exotic=False).alias("search_text"),
     )
 
 

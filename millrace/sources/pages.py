@@ -6,11 +6,13 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.addresses import host, joined, product_address
 from millrace.functions.text import clean_text, column, strip_tags
+from millrace.operators.ranking import best_row
 
 #: The keys under which structured data nests products and offers.
 NESTED = ("@graph", "itemListElement", "mainEntity", "item", "offers", "hasVariant")
@@ -38,7 +40,10 @@ def links(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     anchors = F.regexp_extract_all(column(html), F.lit(r"(?is)<a\s[^>]*?href\s*=\s*[\"'][^\"']*[\"'][^>]*>.*?</a>"), F.lit(0))
     rows = pages.select(key, url, F.posexplode(anchors).alias("place", "a"))
     href = F.regexp_extract("a", r"(?is)href\s*=\s*[\"']([^\"']*)", 1)
-    rows = rows.select(key, "place", product_address(joined(url, href)).alias("target"), strip_tags("a").alias("label")).where("target <> ''")
+    # Step by step: an address's parts are taken from one column, which is computed once.
+    rows = rows.select(key, "place", "a", joined(url, href).alias("link")).where("link <> ''")
+    rows = rows.select(key, "place", "a", product_address("link").alias("target")).where("target <> ''")
+    rows = rows.select(key, "place", "target", strip_tags("a", exotic=False).alias("label"))
     best = rows.groupBy(key, "target").agg(F.min(F.struct("place", "label")).alias("f"))
     return best.select(key, "f.place", "target", "f.label")
 
@@ -68,27 +73,47 @@ def walk(node: object, depth: int = 0) -> Iterator[dict]:
                 yield from walk(node[name], depth + 1)
 
 
+OFFER = pa.struct([("name", pa.string()), ("price", pa.string()), ("availability", pa.string()), ("url", pa.string()), ("size", pa.string())])
+
+
+def _offers(block: str) -> list[dict]:
+    """The offers of the products of one block."""
+    try:
+        data = json.loads(block)
+    except ValueError:
+        return []
+    out = []
+    for node in walk(data):
+        kind = node.get("@type")
+        if "Product" not in (kind if isinstance(kind, list) else [kind]):
+            continue
+        own = node.get("offers") or {}
+        for o in own if isinstance(own, list) else [own]:
+            o = o if isinstance(o, dict) else {}
+            for x in o["offers"] if isinstance(o.get("offers"), list) else [o]:  # an aggregate stands for its offers
+                x = x if isinstance(x, dict) else {}
+                price = next((x[k] for k in ("price", "lowPrice", "highPrice") if x.get(k) not in (None, "")), None)
+                out.append({"name": str(node.get("name") or ""), "price": None if price is None else str(price), "availability": str(x.get("availability") or "").rsplit("/", 1)[-1], "url": str(x.get("url") or node.get("url") or ""), "size": str(x.get("name") or node.get("size") or "")})
+    return out
+
+
 def structured_products(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, place, name, price, availability, url): the offers of Product objects in ld+json blocks. Broken blocks: none."""
-
-    @F.udf("array<struct<name:string,price:string,availability:string,url:string>>")
-    def offers(blocks: list[str] | None) -> list[tuple]:
-        out = []
-        for block in blocks or []:
-            try:
-                data = json.loads(block)
-            except ValueError:
-                continue
-            for node in walk(data):
-                kind = node.get("@type")
-                if "Product" in (kind if isinstance(kind, list) else [kind]):
-                    own = node.get("offers") or {}
-                    flat = [y for x in (own if isinstance(own, list) else [own]) for y in (x.get("offers") if isinstance(x, dict) and isinstance(x.get("offers"), list) else [x])]
-                    for o in flat:
-                        o = o if isinstance(o, dict) else {}
-                        price = next((o[k] for k in ("price", "lowPrice", "highPrice") if o.get(k) not in (None, "")), None)
-                        out.append((str(node.get("name") or ""), None if price is None else str(price), str(o.get("availability") or "").rsplit("/", 1)[-1], str(o.get("url") or node.get("url") or "")))
-        return out
+    """(key, place, name, price, availability, url, size): the offers of Product objects in ld+json blocks, in order.
+    Broken blocks: none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[o for block in blocks or [] for o in _offers(block)] for blocks in batch.column("blocks").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(OFFER))], names=[key, "offers"])
 
     blocks = F.regexp_extract_all(column(html), F.lit(r"(?is)<script[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"), F.lit(1))
-    return pages.select(key, F.posexplode(offers(blocks)).alias("place", "o")).select(key, "place", "o.*")
+    rows = pages.select(key, blocks.alias("blocks")).where(F.size("blocks") > 0)
+    fields = ",".join(f"{f.name}:string" for f in OFFER)
+    found = rows.mapInArrow(run, f"`{key}` {dict(pages.dtypes)[key]}, offers array<struct<{fields}>>")
+    return found.select(key, F.posexplode("offers").alias("place", "o")).select(key, "place", "o.*")
+
+
+def per_weight(offers: DataFrame, key: str, grams: Column) -> DataFrame:
+    """Of a page's offers with a price one a package weight, the first by size text and address."""
+    rows = offers.where("price IS NOT NULL").withColumn("grams", grams).where("grams IS NOT NULL")
+    return best_row(rows, [key, "grams"], [F.asc("size"), F.asc("url"), F.asc("place")])

@@ -1,11 +1,13 @@
 """Immutable, content-addressed snapshots of a table: written aside, verified, then pointed at.
 
-A snapshot is a folder of Parquet shards; its id is a digest of the rows' digests. The pointer is a small table that is
-rewritten last, so readers see the old or the new snapshot and never a part of one.
+A snapshot is a folder of Parquet shards; its id is a digest of the rows' digests. The pointer is a small table to which a
+numbered row is appended last; readers take the one of the highest number, so they see the old or the new snapshot, never a
+part of one, and at no time none. Earlier rows and snapshots stay, so one can go back.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +23,7 @@ def content_id(df: DataFrame) -> str:
 
 
 def write(df: DataFrame, root: str, key: str, shards: int) -> str:
-    """Write the rows dealt to shards by key, and then the pointer. Returns the snapshot's id. The same content is not
-    written twice."""
+    """Write the rows dealt to shards by key, and then the pointer. Returns the snapshot's id. One writer at a time."""
     spark = df.sparkSession
     snapshot = content_id(df)
     out = df.withColumn("shard", bucket(F.sha2(F.col(key).cast("string"), 256), shards))
@@ -30,13 +31,23 @@ def write(df: DataFrame, root: str, key: str, shards: int) -> str:
     found = content_id(spark.read.parquet(f"{root}/{snapshot}").select(*df.columns))
     if found != snapshot:
         raise ValueError(f"snapshot {snapshot} reads back as {found}")
-    spark.createDataFrame([(snapshot,)], "snapshot string").coalesce(1).write.mode("overwrite").parquet(f"{root}/current")
+    past = history(spark, root)
+    spark.createDataFrame([(len(past), snapshot)], "number long, snapshot string").coalesce(1).write.mode("append").parquet(f"{root}/pointers")
     return snapshot
 
 
-def read(spark: SparkSession, root: str) -> DataFrame:
-    snapshot = spark.read.parquet(f"{root}/current").first()[0]
-    return spark.read.parquet(f"{root}/{snapshot}")
+def history(spark: SparkSession, root: str) -> list[str]:
+    """All snapshots that the pointer named, the latest last; a row a publication."""
+    try:
+        rows = spark.read.schema("number long, snapshot string").parquet(f"{root}/pointers").orderBy("number", "snapshot").collect()
+    except AnalysisException:  # no pointer yet
+        return []
+    return [r.snapshot for r in rows]
+
+
+def read(spark: SparkSession, root: str, back: int = 0) -> DataFrame:
+    """The current snapshot, or the one `back` publications before it."""
+    return spark.read.parquet(f"{root}/{history(spark, root)[-1 - back]}")
 
 
 def lookup(spark: SparkSession, root: str, key: str, value: str, shards: int) -> DataFrame:

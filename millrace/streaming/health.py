@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -25,18 +25,30 @@ ALLOWED = {
 MOST_FAILURES = 2
 
 
-def next_state(observations: DataFrame, keys: list[str], order: list, failed, signal) -> DataFrame:
-    """Each observation's run of failures so far and the state it leads to.
+def decided(retired: Column, blocked: Column, hard: Column, failures: Column, signal: Column) -> Column:
+    """The state after an observation, by the first that holds: retired stays; blocked; a hard failure or MOST_FAILURES in
+    a row; signals; else healthy. One failure alone does not degrade a route."""
+    return (
+        F.when(retired, F.lit("retired")).when(blocked, F.lit("blocked")).when(hard | (failures >= MOST_FAILURES), F.lit("quarantined"))
+        .when(signal, F.lit("degraded")).otherwise(F.lit("healthy"))
+    )
 
-    A run is what lies since the last success: the number of successes so far names it, so two windows do and no row
-    waits for another.
+
+def next_state(observations: DataFrame, keys: list[str], order: list, failed: Column, signal: Column, hard: Column | None = None, blocked: Column | None = None, retired: Column | None = None) -> DataFrame:
+    """Each observation's run of failures so far and the state it leads to. A route that was retired once stays so.
+
+    A run is what lies since the last success: the number of successes so far names it, so windows do and no row waits
+    for another.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = observations.withColumn("__failed", failed.cast("int")).withColumn("__run", F.sum(1 - F.col("__failed")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    no = F.lit(False)
+    flags = {"__failed": failed, "__signal": signal, "__hard": no if hard is None else hard, "__blocked": no if blocked is None else blocked, "__retired": no if retired is None else retired}
+    rows = observations.withColumns({k: F.coalesce(v, no) for k, v in flags.items()})
+    rows = rows.withColumns({"__run": F.sum((~F.col("__failed")).cast("int")).over(so_far), "__gone": F.max("__retired").over(so_far)})
     in_run = Window.partitionBy(*keys, "__run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("failures", F.sum("__failed").over(in_run))
-    state = F.when(F.col("failures") >= MOST_FAILURES, F.lit("quarantined")).when((F.col("failures") > 0) | signal, F.lit("degraded")).otherwise(F.lit("healthy"))
-    return rows.withColumn("state", state).drop("__failed", "__run")
+    rows = rows.withColumn("failures", F.sum(F.col("__failed").cast("int")).over(in_run))
+    state = decided(F.col("__gone"), F.col("__blocked"), F.col("__hard"), F.col("failures"), F.col("__signal"))
+    return rows.withColumn("state", state).drop(*flags, "__run", "__gone")
 
 
 def edges(spark) -> DataFrame:
@@ -51,30 +63,45 @@ def invalid_steps(states: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 class HealthProcessor(StatefulProcessor):
-    """Keeps each key's run of failures; gives a row for every change of state."""
+    """Keeps each key's run of failures and state; gives a row for every change of state.
+
+    Rows of a key are taken in order of ts and event_id within a micro-batch, chunk by chunk: a row that is older than one
+    seen before counts where it arrives.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.kept = handle.getValueState("kept", "failures int, state string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         failures, state = self.kept.get() if self.kept.exists() else (0, "probing")
-        out = []
-        for row in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
-            failures = failures + 1 if row.failed else 0
-            new = "quarantined" if failures >= MOST_FAILURES else "degraded" if failures or row.signal else "healthy"
-            if new != state:
-                out.append((key[0], row.event_id, state, new))
-            state = new
+        for chunk in rows:
+            out = []
+            for row in chunk.sort_values(["ts", "event_id"]).itertuples():
+                failures = failures + 1 if row.failed else 0
+                if state == "retired" or row.retired:
+                    new = "retired"
+                elif row.blocked:
+                    new = "blocked"
+                elif row.hard or failures >= MOST_FAILURES:
+                    new = "quarantined"
+                else:
+                    new = "degraded" if row.signal else "healthy"
+                if new != state:
+                    out.append((key[0], row.event_id, state, new))
+                state = new
+            yield pd.DataFrame(out, columns=["key", "event_id", "from_state", "to_state"])
         self.kept.update((failures, state))
-        yield pd.DataFrame(out, columns=["key", "event_id", "from_state", "to_state"])
 
     def close(self) -> None:
         pass
 
 
 def stream_changes(events: DataFrame, key: str) -> DataFrame:
-    """A stream of changes of state from a stream (key, event_id, ts, failed, signal). Needs a state store for several
-    columns (RocksDB). Order is that of ts within a micro-batch."""
+    """A stream of changes of state from a stream (key, event_id, ts, failed, signal, hard, blocked, retired); the last
+    three may be missing. Needs a state store for several columns (RocksDB)."""
+    for name in ("hard", "blocked", "retired"):
+        if name not in events.columns:
+            events = events.withColumn(name, F.lit(False))
     return events.groupBy(key).transformWithStateInPandas(HealthProcessor(), "key long, event_id long, from_state string, to_state string", "Append", "None")
 
 

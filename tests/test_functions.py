@@ -109,6 +109,37 @@ def test_addresses(spark, url, product, document):
     assert one(spark, addresses.document_address(c)) == document
 
 
+@pytest.mark.parametrize(
+    ("url", "variant"),
+    [
+        ("https://x.example.com/a/?sku=1&variant=2", "https://x.example.com/a?variant=2"),
+        ("https://x.example.com/a?variation_id=7&attribute_pa_size=half+oz&variant=", "https://x.example.com/a?attribute_pa_size=half+oz&variation_id=7"),
+        ("https://x.example.com/a?attribute_size=1%2f8&Variant=b~*", "https://x.example.com/a?Variant=b~%2A&attribute_size=1%2F8"),
+        ("https://x.example.com/a?variant=%zz", "https://x.example.com/a?variant=%25zz"),
+    ],
+)
+def test_variant_address(spark, url, variant):
+    assert one(spark, addresses.variant_address(F.lit(url))) == variant
+
+
+@pytest.mark.parametrize(("url", "target"), [("https://X.example.com/Shop/a?b=1#c", "https://X.example.com/Shop/a"), ("https://x.example.com/page?b=1#c", "https://x.example.com/page?b=1"), ("text", "text"), (None, ""), ("https://x.example.com", "https://x.example.com/")])
+def test_detail_target(spark, url, target):
+    assert one(spark, addresses.detail_target(F.lit(url).cast("string"))) == target
+
+
+@pytest.mark.parametrize("raw", ["plain", "Été À ﬁn", "ΑΪΰς Ξ", "Йёж", "ﬀ½ ①", "한국 日本", "straße ẞ ΣΑΣ", "a\u0301b", "ÅÆØ ŁĦ", "İıſ", "﷼ ﬃ"])
+def test_folding_equals_the_library(spark, raw):
+    import unicodedata
+
+    want = "".join(x for x in unicodedata.normalize("NFKD", raw.casefold()) if not unicodedata.combining(x))
+    assert one(spark, text.fold(F.lit(raw))).replace("ı", "i") == want.replace("ı", "i") or one(spark, text.fold(F.lit(raw))) == "".join(x for x in unicodedata.normalize("NFKD", raw) if not unicodedata.combining(x)).casefold()
+
+
+@pytest.mark.parametrize(("raw", "clean"), [("a &amp;lt; b", "a &lt; b"), ("x &copy 1", "x © 1"), ("q & a &#39;s&#x27;", "q & a 's'"), ("AT&T", "AT&T"), ("&eacute;&nbsp;z", "é z"), ("e\u0301", "é")])
+def test_entities(spark, raw, clean):
+    assert one(spark, text.clean_text(F.lit(raw))) == clean
+
+
 def test_joined_links(spark):
     base = F.lit("https://x.example.com/a/b?q")
     for link, full in [("/c", "https://x.example.com/c"), ("d", "https://x.example.com/a/d"), ("//y.example.com/z", "https://y.example.com/z"), ("mailto:a@b", ""), ("#x", "")]:

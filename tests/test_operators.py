@@ -7,6 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions.extract import label_grams
 from millrace.operators import gates, matching, offers, ranking, reports, segments
 from millrace.sources import generator, pages, shards, snapshots
 from millrace.streaming import health
@@ -91,11 +92,6 @@ def test_segments_match_a_loop(spark):
             assert got[b, i] == segment
 
 
-def test_balance():
-    got = segments.balance({"a": 5, "b": 4, "c": 3, "d": 3}, 2)
-    assert got == {"a": 0, "b": 1, "c": 1, "d": 0}
-
-
 def test_shards(spark, tmp_path):
     product = {"id": "1", "source_id": "s", "vendor": "v", "name": "n", "price": "5"}
     for i in (1, 2):
@@ -117,7 +113,10 @@ def test_structured_products(spark):
     block = json.dumps({"@graph": [{"@type": ["Product"], "name": "A", "offers": {"offers": [{"price": 5, "availability": "https://schema.org/InStock"}, {"lowPrice": "7", "url": "/u"}]}}]})
     page = f"<script type='application/ld+json'>{block}</script><script type='application/ld+json'>{{broken</script>"
     got = pages.structured_products(spark.createDataFrame([(1, page), (2, None)], "id int, html string"), "id", "html")
-    assert rows(got) == [(1, 0, "A", "5", "InStock", ""), (1, 1, "A", "7", "", "/u")]
+    assert rows(got) == [(1, 0, "A", "5", "InStock", "", ""), (1, 1, "A", "7", "", "/u", "")]
+    sized = json.dumps({"@type": "Product", "name": "B", "offers": [{"price": 5, "name": "3.5 g"}, {"price": 4, "name": "1/8 oz"}, {"price": 9, "name": "7g"}, {"name": "7g"}]})
+    got = pages.structured_products(spark.createDataFrame([(1, f'<script type="application/ld+json">{sized}</script>')], "id int, html string"), "id", "html")
+    assert rows(pages.per_weight(got, "id", label_grams("size")["grams"]).select("grams", "price", "size")) == [(3.5, "4", "1/8 oz"), (7.0, "9", "7g")]
 
 
 def test_links_and_sitemap(spark):
@@ -139,13 +138,15 @@ def test_snapshot(spark, tmp_path):
     second = snapshots.write(df.where("v_ok").drop("v_ok") if "v_ok" in df.columns else df.where("grams > 1"), root, "product_id", 4)
     assert second != first
     assert snapshots.read(spark, root).count() == 60
+    assert snapshots.history(spark, root) == [first, second]
+    assert snapshots.read(spark, root, back=1).count() == 80
     assert {r.shard for r in snapshots.manifest(snapshots.read(spark, root), "product_id").collect()} <= set(range(4))
 
 
 def test_health_batch_and_stream_agree(spark, tmp_path):
-    events = [(i, i % 3, f"2024-01-01 00:{i:02d}:00", (i * 7) % 5 < 2, i % 11 == 0) for i in range(60)]
-    df = spark.createDataFrame(events, "event_id long, user_id long, ts string, failed boolean, signal boolean").withColumn("ts", F.to_timestamp("ts"))
-    states = health.next_state(df, ["user_id"], [F.col("ts"), F.col("event_id")], F.col("failed"), F.col("signal"))
+    events = [(i, i % 3, f"2024-01-01 00:{i:02d}:00", (i * 7) % 5 < 2, i % 11 == 0, i % 17 == 3, i % 13 == 5, i == 40) for i in range(60)]
+    df = spark.createDataFrame(events, "event_id long, user_id long, ts string, failed boolean, signal boolean, hard boolean, blocked boolean, retired boolean").withColumn("ts", F.to_timestamp("ts"))
+    states = health.next_state(df, ["user_id"], [F.col("ts"), F.col("event_id")], *(F.col(c) for c in ("failed", "signal", "hard", "blocked", "retired")))
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -158,5 +159,13 @@ def test_health_batch_and_stream_agree(spark, tmp_path):
     assert rows(spark.table("changes")) == want
 
 
+@pytest.mark.parametrize(
+    ("row", "state"),
+    [((True, True, True, 5, True), "retired"), ((False, True, True, 5, True), "blocked"), ((False, False, True, 0, False), "quarantined"), ((False, False, False, 2, False), "quarantined"), ((False, False, False, 1, False), "healthy"), ((False, False, False, 1, True), "degraded"), ((False, False, False, 0, False), "healthy")],
+)
+def test_next_state_rule(spark, row, state):
+    assert spark.range(1).select(health.decided(*map(F.lit, row)).alias("s")).first().s == state
+
+
 def test_generator_is_deterministic(spark):
     assert rows(generator.offers(spark, 5)) == rows(generator.offers(spark, 5).repartition(3))
