@@ -1,6 +1,6 @@
 """Registered queries, each with its DuckDB equivalent."""
 
-from millrace.plans import admission, extraction, joins, records, search
+from millrace.plans import admission, extraction, joins, publishing, records, search
 from millrace.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "admission", "extraction", "joins", "records", "search"]
+__all__ = ["ORACLES", "QUERIES", "admission", "extraction", "joins", "publishing", "records", "search"]
