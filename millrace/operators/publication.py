@@ -76,10 +76,11 @@ def classified(df: DataFrame, name: str, description: str, url: str, hint: str)
         (MUSHROOM, s["explicit_psilocybin"] & s["explicit_mushroom"] & ~s["explicit_vape"] & ~s["amanita_signal"]), (MUSHROOM_VAPE, s["explicit_psilocybin"] & s["explicit_vape"] & ~s["amanita_signal"]),
     ]
     usable = (F.col("__text") != "") & ~has(F.col("__text"), ACCESSORY) & ~has(F.col("__offer"), MIXED_OFFER)
-    tags = F.array_compact(F.array(*(F.when(usable & flag, F.lit(t)) for t, flag in flags)))
-    rows = rows.withColumn("type_tags", F.when(F.size(tags) > 0, tags))
-    primary = F.coalesce(*(F.when(F.array_contains("type_tags", t), F.lit(t)) for t in PRIORITY))
-    return rows.withColumn("primary_type", primary).drop("__text", "__offer")
+    rows = rows.withColumns({f"__{t}": flag & usable for t, flag in flags})
+    tags = F.array_compact(F.array(*(F.when(F.col(f"__{t}"), F.lit(t)) for t in TYPES)))
+    primary = F.coalesce(*(F.when(F.col(f"__{t}"), F.lit(t)) for t in PRIORITY))
+    rows = rows.withColumns({"type_tags": F.when(F.size(tags) > 0, tags), "primary_type": primary})
+    return rows.drop("__text", "__offer", *(f"__{t}" for t in TYPES))
 
 
 def quantities(df: DataFrame, text: str, primary: str) -> DataFrame:
@@ -108,8 +109,9 @@ def compared(df: DataFrame, price: str) -> DataFrame:
 def type_fields(df: DataFrame, text: str, primary: str) -> DataFrame:
     """Adds species, claimed_potency_percent, psilocybin_percent, device_type, puff_count, terpenes and
     total_terpenes_percent, each where the type has it."""
-    t, p = one_text(text), F.col(primary)
-    device = F.coalesce(*(F.when(F.contains(F.concat(F.lit(" "), F.lower(t), F.lit(" ")), F.lit(token)), F.lit(label)) for token, label in DEVICES))
+    df = df.withColumn("__t", one_text(text)).withColumn("__low", F.concat(F.lit(" "), F.lower("__t"), F.lit(" ")))
+    t, p = F.col("__t"), F.col(primary)
+    device = F.coalesce(*(F.when(F.contains("__low", F.lit(token)), F.lit(label)) for token, label in DEVICES))
 
     def positive(pattern: str) -> Column:
         x = F.regexp_extract(t, pattern, 1).try_cast("double")
@@ -122,7 +124,7 @@ def type_fields(df: DataFrame, text: str, primary: str) -> DataFrame:
     return rows.withColumns({
         "species": F.when(species != "", F.initcap(species)), "claimed_potency_percent": F.coalesce("psilocybin_percent", positive(POTENCY_PERCENT)), "device_type": F.when(vaped, device),
         "puff_count": F.when(vaped, F.regexp_extract(t, PUFFS, 1).try_cast("int")), "terpenes": F.when(smelt, named).otherwise(F.array().cast("array<string>")), "total_terpenes_percent": F.when(smelt, positive(TERPENE_TOTAL)),
-    })
+    }).drop("__t", "__low")
 
 
 def filled_field(df: DataFrame, field: str) -> Column:
@@ -148,7 +150,9 @@ def completeness(df: DataFrame, primary: str, evidence_type: str) -> Column:
 
 def records(df: DataFrame, name: str, description: str, url: str, hint: str, price: str) -> DataFrame:
     """A generalised record of each row that has a type: evidence, quantity, comparison price, type fields, completeness."""
-    rows = classified(df, name, description, url, hint).where("primary_type IS NOT NULL").withColumn("__all", one_text(name, description))
+    rows = classified(df, name, description, url, hint).withColumnRenamed("primary_type", "__type")
+    # Exploded and not filtered: a filter would be moved below the signals, and all of them written out in it once more.
+    rows = rows.select("*", F.explode(F.array_compact(F.array("__type"))).alias("primary_type")).drop("__type").withColumn("__all", one_text(name, description))
     rows = type_fields(compared(quantities(rows, "__all", "primary_type"), price), "__all", "primary_type").drop("__all").withColumn("evidence_type", F.col("primary_type"))
     return rows.withColumn("completeness_score", completeness(rows, "primary_type", "evidence_type"))
 
