@@ -1,6 +1,6 @@
 """Registered queries, each with its DuckDB equivalent."""
 
-from millrace.plans import admission, extraction, joins, publishing, records, search, verifying
+from millrace.plans import admission, extraction, joins, publishing, records, reports, search, verifying
 from millrace.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "admission", "extraction", "joins", "publishing", "records", "search", "verifying"]
+__all__ = ["ORACLES", "QUERIES", "admission", "extraction", "joins", "publishing", "records", "reports", "search", "verifying"]
