@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import pretokens
-from millrace.llm.shared import bucketed, flat, slices, span_hashes, text_of
+from millrace.llm.shared import bucketed, flat, slices, span_hashes, tasks_for, text_bytes, text_of
 
 #: Largest frequent-word table, and the documents of the sample that it is counted on.
 FREQUENT_WORDS = 1 << 17
@@ -99,9 +99,8 @@ def ids_of(words: list[str], path: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.array([len(x) for x in ids], np.int64), np.array([i for x in ids for i in x], np.uint16)
 
 
-def frequent_words(docs: DataFrame, most: int = FREQUENT_WORDS, sample: int = SAMPLE_DOCUMENTS) -> list[str]:
-    """The most frequent pre-tokens of a bounded sample of documents, at most `most`, in order of frequency."""
-    rows = docs.count()
+def frequent_words(docs: DataFrame, rows: int, most: int = FREQUENT_WORDS, sample: int = SAMPLE_DOCUMENTS) -> list[str]:
+    """The most frequent pre-tokens of a bounded sample of the documents, at most `most`, in order of frequency."""
     picked = docs.where(F.col("text").isNotNull()).select(text_of().alias("text"))
     if rows > sample:
         picked = picked.sample(fraction=sample / rows, seed=11)
@@ -163,7 +162,8 @@ def encode(docs: DataFrame, ranks_path: str | None = None, most: int = FREQUENT_
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    frequent = frequent_words(docs, most, sample)
+    rows, size = text_bytes(docs)
+    frequent = frequent_words(docs, rows, most, sample)
     shared = spark.sparkContext.broadcast(frequent)  # at most `most` words of at most 64 characters
     token = uuid.uuid4().hex
     rare = len(frequent)  # rare word i of a block has the code rare + i
@@ -186,7 +186,7 @@ def encode(docs: DataFrame, ranks_path: str | None = None, most: int = FREQUENT_
                 new = list(islice(own, before, None)) if before else list(own)
                 codes = np.array(codes, np.int64)[of_word] if words else np.zeros(0, np.int64)
                 yield pa.record_batch({
-                    "block": pa.array([task * 4096 + block], pa.int64()),
+                    "block": pa.array([task << 32 | block], pa.int64()),
                     "first_word": pa.array([before], pa.int32()),
                     "doc_ids": pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                     "counts": pa.array([_varints(np.diff(np.searchsorted(starts, bounds)))], pa.binary()),
@@ -225,7 +225,7 @@ def encode(docs: DataFrame, ranks_path: str | None = None, most: int = FREQUENT_
             done.append(finish(row["doc_ids"], [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], ranks_path))
         return pa.concat_tables(done)
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = tasks_for(spark, size)
     blocks = bucketed(docs.mapInArrow(split, "block long, first_word int, doc_ids array<long>, counts binary, codes binary, words array<string>"), "block", n)
     rare_words = blocks.select("block", "first_word", F.posexplode("words").alias("place", "word")).select("block", (F.col("first_word") + F.col("place")).alias("number"), "word")
     found = rare_words.repartition(n, "word").sortWithinPartitions("word").mapInArrow(look_up, "block long, number int, ids binary")

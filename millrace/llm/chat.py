@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import flat, slices, stored, utf8
+from millrace.llm.shared import flat, slices, stored, tasks_for, text_bytes, utf8
 
 OPEN, CLOSE = b"<|im_start|>", b"<|im_end|>\n"
 #: The role whose texts are learnt.
@@ -147,7 +147,7 @@ def digests(rendered: DataFrame) -> DataFrame:
         if key:
             yield table([row()])
 
-    n = int(rendered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = tasks_for(rendered.sparkSession, text_bytes(rendered, "formatted")[1])
     names = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return rendered.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted").mapInArrow(run, names)
 

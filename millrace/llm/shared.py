@@ -28,10 +28,12 @@ PRIME_INV = U64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below the checkpoint folder that all executors share.
 
-    The folder is read from the session; only where none is set (tests, local mode) one is made.
+    The folder is read from the session; only in local mode, where none is set, one is made.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
@@ -51,6 +53,17 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     return df.sparkSession.table(name)
 
 
+def text_bytes(docs: DataFrame, column: str = "text") -> tuple[int, int]:
+    """Rows, and bytes of their texts."""
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length(text_of(column)))).first()
+    return n, size or 0
+
+
+def tasks_for(spark: SparkSession, size: int, each: int = 48 << 20) -> int:
+    """How many tasks to deal `size` bytes to: no fewer than the session's, and more where these would get too large."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
 def text_of(name: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
@@ -83,6 +96,17 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         at = to
 
 
+def binary_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """As slices, by the bytes of a binary column."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 _powers: dict[str, np.ndarray] = {}
 
 

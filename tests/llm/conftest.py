@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -35,3 +36,12 @@ def docs(spark, rows):
 @pytest.fixture(scope="session")
 def no_docs(docs):
     return docs.limit(0)
+
+
+@pytest.fixture(scope="session")
+def sf():
+    """A folder of the driver's tables."""
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("the driver's tables are not here")
+    return folder

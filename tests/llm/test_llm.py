@@ -65,14 +65,112 @@ def test_flac_round_trips():
             flac.decode([bytes(broken)])
 
 
+class Bits:
+    def __init__(self, data):
+        self.data, self.at = data, 0
+
+    def take(self, n):
+        out = 0
+        for _ in range(n):
+            out = out << 1 | (self.data[self.at >> 3] >> (7 - (self.at & 7))) & 1
+            self.at += 1
+        return out
+
+    def signed(self, n):
+        x = self.take(n)
+        return x - (1 << n) if n and x >> (n - 1) else x
+
+    def unary(self):
+        n = 0
+        while not self.take(1):
+            n += 1
+        return n
+
+
+def plain_flac(stream):
+    """The samples of a mono stream, read bit by bit as the format's description says; an own reader for the tests."""
+    assert stream[:4] == b"fLaC"
+    at, last = 4, False
+    while not last:
+        last, kind, size = stream[at] >> 7, stream[at] & 127, int.from_bytes(stream[at + 1 : at + 4], "big")
+        info = stream[at + 4 : at + 4 + size] if kind == 0 else info
+        at += 4 + size
+    total = int.from_bytes(info[10:18], "big") & (1 << 36) - 1
+    bits, out = Bits(stream), []
+    bits.at = 8 * at
+    while len(out) < total:
+        assert bits.take(14) == 0x3FFE
+        bits.take(2)
+        size_code, _, channel, width_code = bits.take(4), bits.take(4), bits.take(4), bits.take(3)
+        assert channel == 0 and width_code in (0, 1) and not bits.take(1)
+        more = 0
+        first = bits.take(8)
+        while first & 0x80 and first >> (6 - more) & 1:
+            more += 1
+        for _ in range(more):
+            assert bits.take(2) == 2
+            bits.take(6)
+        n = bits.take(8) + 1 if size_code == 6 else bits.take(16) + 1 if size_code == 7 else 192 if size_code == 1 else 576 << (size_code - 2) if size_code < 6 else 256 << (size_code - 8)
+        bits.take(8)  # CRC-8
+        bits.take(1)
+        kind, wasted = bits.take(6), bits.take(1)
+        assert not wasted
+        if kind == 0:
+            x = [bits.signed(8)] * n
+        elif kind == 1:
+            x = [bits.signed(8) for _ in range(n)]
+        else:
+            order = kind - 31 if kind >= 32 else kind - 8
+            x = [bits.signed(8) for _ in range(order)]
+            if kind >= 32:
+                precision, shift = bits.take(4) + 1, bits.signed(5)
+                taps = [bits.signed(precision) for _ in range(order)]
+            else:
+                shift, taps = 0, [(), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1)][order]
+            wide, parts = bits.take(2), bits.take(4)
+            for p in range(1 << parts):
+                k = bits.take(5 if wide else 4)
+                raw = bits.take(5) if k == (31 if wide else 15) else None
+                for _ in range((n >> parts) - (order if p == 0 else 0)):
+                    if raw is None:
+                        u = bits.unary() << k | bits.take(k)
+                        e = (u >> 1) ^ -(u & 1)
+                    else:
+                        e = bits.signed(raw)
+                    x.append(e + (sum(c * x[-1 - j] for j, c in enumerate(taps)) >> shift))
+        out += x
+        bits.at = (bits.at + 7) // 8 * 8 + 16  # CRC-16
+    return bytes(v + 128 for v in out)
+
+
+def test_flac_streams_are_read_by_another_decoder():
+    rng = np.random.default_rng(5)
+    payloads = [bytes(64), bytes(rng.integers(0, 256, 700, dtype=np.uint8)), (np.sin(np.arange(2100) / 7) * 90 + 128).astype(np.uint8).tobytes(), text_payload(3000), b"\x00" * 300 + b"\xff" * 340]
+    for order in (0, 2):
+        for block in (192, 1024):
+            assert [plain_flac(m) for m in flac.encode(payloads, block, order)] == payloads
+
+
+def text_payload(n):
+    return " ".join(f"word{i * i % 97}" for i in range(n)).encode()[:n]
+
+
+def plain_feature(p):
+    x = [b - 128 for b in p]
+    loud = [sum(v * v for v in x[a : a + flac.BLOCK]) for a in range(0, len(x), flac.BLOCK)]
+    return f"peak={max(map(abs, x))};energy={sum(loud)};crossings={sum((a < 0) != (b < 0) for a, b in zip(x[:-1], x[1:], strict=True))};loudest={loud.index(max(loud)) * flac.BLOCK}"
+
+
 def test_op1(spark, docs, rows, no_docs):
     want = []
     for i, t in rows:
         raw = (t or "").encode()
         p = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
-        want.append((i, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])))
-    media = flac.to_media(docs)
-    assert got(flac.digests(media).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")) == sorted(want, key=lambda r: tuple((x is not None, str(x)) for x in r))
+        m = flac.encode([p])[0]
+        want.append((i, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), plain_feature(p), -(-len(p) // flac.BLOCK)))
+    media = shared.stored(flac.to_media(docs), "media")
+    assert got(flac.summaries(flac.pcm_blocks(media))) == got(flac.digests(media))
+    assert got(flac.digests(media)) == sorted(want, key=lambda r: tuple((x is not None, str(x)) for x in r))
     blocks = flac.pcm_blocks(media).where("doc_id = 44").orderBy("sample_offset").collect()
     assert b"".join(b.pcm for b in blocks).rstrip(b"\0") == next(t for i, t in rows if i == 44).encode()
     assert flac.digests(flac.to_media(no_docs)).count() == 0
@@ -109,6 +207,22 @@ def test_op2(spark, docs, rows, no_docs):
     assert bagminhash.classes(no_docs).count() == 0
 
 
+def test_op2_doc_ids_with_several_texts(spark):
+    def words(seed):
+        r = random.Random(seed)
+        return " ".join(f"w{r.randrange(500)}" for _ in range(60))
+
+    a, b, c = words(1), words(2), words(3)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (3, b + " more"), (1, a), (7, c), (5, c + " end"), (9, words(4)), (9, words(5))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = bagminhash.classes(df).select("doc_id", "class_id", "class_node").collect()
+    assert len(found) == len(rows)
+    assert sorted({(x.doc_id, x.class_id) for x in found}) == [(1, 1), (2, 1), (3, 1), (5, 5), (7, 5), (9, 9)]
+    assert len({x.class_node for x in found}) == 5
+    kept = bagminhash.kept(df.withColumn("extra", F.lit("x"))).collect()
+    assert sorted((x.doc_id, x.text) for x in kept) == sorted([(1, a), (1, b), (5, c + " end"), (9, words(4)), (9, words(5))])
+
+
 def test_op2_large_group_of_near_copies(spark):
     r = random.Random(3)
     base = [f"w{r.randrange(500)}" for _ in range(120)]
@@ -139,6 +253,9 @@ def test_op2_border_texts_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(bagminhash, "CHUNK", 16)  # links between the blocks of a group count too
     few = spark.createDataFrame(rows[:160], "doc_id long, text string")
     assert {x.doc_id: x.class_id for x in bagminhash.classes(few).collect()} == {i: want[i] for i in range(160)}
+    monkeypatch.setattr(bagminhash, "NEAREST", 1)  # nearly all is left to the cells
+    monkeypatch.setattr(bagminhash, "BLOCK_RUNS", 4000)
+    assert {x.doc_id: x.class_id for x in bagminhash.classes(few).collect()} == {i: want[i] for i in range(160)}
 
 
 def test_bagminhash_is_unbiased():
@@ -199,6 +316,25 @@ def test_op4(spark, docs, rows, no_docs):
     assert crf.score(docs, crf.fit(train, labels.limit(0))).agg(F.max("score")).first()[0] == 0.5
 
 
+def test_op4_on_held_out_documents(spark, sf):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    found = crf.op4(spark, sf).collect()
+    assert len(found) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in found)
+    judged = [(r.predicted, labels[r.doc_id]) for r in found if r.held_out and labels.get(r.doc_id) is not None]
+    assert len(judged) > 10
+    assert sum(a == b for a, b in judged) >= 0.93 * len(judged)
+
+
+def test_op4_learns_one_text_of_a_repeated_id(spark):
+    rows = [(1, "!!! $$$ ###")] * 50 + [(2, f"A calm sentence number {i} stands here.") for i in range(50)]
+    train = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(2, 0, 0), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    model = crf.fit(train, labels)
+    assert isinstance(model, float)  # of one class only
+    assert crf.score(train, model).count() == 100
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(4)
     first, e, links = np.array([0, 3, 4, 8]), rng.normal(size=8), rng.normal(size=(2, 2))
@@ -286,7 +422,7 @@ def test_simhash_finds_all_within_the_radius():
     r = random.Random(6)
     vocabulary = [f"v{i}" for i in range(60)]
     items = [(i, " ".join(r.choice(vocabulary) for _ in range(30))) for i in range(20)]
-    prepared = simhash.Items(items)
+    prepared = simhash.Items(items, {}, len(items))
     column = pa.array([" ".join(r.choice(vocabulary) for _ in range(3000))], pa.large_string())
     hashes, bounds = simhash.split(column)
     running = simhash.sums(hashes)
@@ -297,6 +433,101 @@ def test_simhash_finds_all_within_the_radius():
     assert {tuple(p) for x in prepared.near(running, bounds) for p in np.stack(x, 1).tolist()} == want
 
 
+def brute_share(item, document):
+    """The largest share of the item's runs that a stretch of the document of one and a half times its length has."""
+    n = len(item)
+    runs = collections.Counter(tuple(item[i : i + 5]) for i in range(n - 4))
+    best = 0
+    for at in range(-n // 2, len(document) - n // 2):
+        part = document[max(0, at) : max(0, at + n + n // 2)]
+        found = collections.Counter(tuple(part[i : i + 5]) for i in range(len(part) - 4))
+        best = max(best, sum((runs & found).values()) / sum(runs.values()))
+    return best
+
+
+@pytest.mark.parametrize("kind", ["whole", "scattered", "head", "tail", "middle", "grown"])
+def test_op8_recall_against_brute_force(kind):
+    """Copies of items of many lengths, changed in different ways, that keep 0.8 or more of the item's runs."""
+    r = random.Random(kind)
+    word = lambda: f"w{min(r.randrange(4000), r.randrange(4000), r.randrange(4000))}"
+    items = [[word() for _ in range(n)] for n in [12, 16, 20, 25, 30, 40, 55, 60, 80, 110, 150, 250, 400, 700, 1000] for _ in range(6)]
+    texts, wanted = [], []
+    for k, item in enumerate(items):
+        n, w = len(item), list(item)
+        lost = max(1, (n - 4) // 6)  # runs to lose, about
+        if kind == "scattered":
+            for _ in range(max(1, lost // 5)):
+                w[r.randrange(n)] = word()
+        elif kind == "head":
+            w = w[lost:]
+        elif kind == "tail":
+            w = w[: n - lost]
+        elif kind == "middle":
+            a = r.randrange(1, n - lost)
+            w[a : a + max(1, lost - 4)] = [word() for _ in range(max(1, lost - 4))]
+        elif kind == "grown":
+            for _ in range(max(1, lost // 5)):
+                w.insert(r.randrange(n), word())
+        document = [word() for _ in range(r.randrange(30))] + w + [word() for _ in range(30)]
+        if brute_share(item, document) >= 0.8:
+            wanted.append((len(texts), k))
+        texts.append(" ".join(document))
+    prepared = simhash.Items([(k, " ".join(x)) for k, x in enumerate(items)], {}, len(items))
+    found = {(t, i) for t, i, _, _ in prepared.search(pa.array(texts, pa.large_string()))}
+    recall = len(found & set(wanted)) / len(wanted)
+    print(kind, len(wanted), recall)
+    assert len(wanted) >= 40
+    assert recall >= (1 if kind == "whole" else 0.95)
+    assert {t for t, _ in found} <= {t for t, k in found if t == k}  # no other item's
+
+
+def test_op8_weights_are_those_of_all_items(spark):
+    """However the items are dealt to passes, the same rows come out."""
+    r = random.Random(8)
+    word = lambda: f"w{min(r.randrange(300), r.randrange(300))}"
+    common = [word() for _ in range(12)]
+    items = [(i, " ".join(common + [word() for _ in range(r.randrange(8, 40))])) for i in range(25)]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        for _ in range(1 + i % 4):
+            w[r.randrange(len(w))] = word()
+        docs.append((i, " ".join(w)))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = [{(x.doc_id, x.item_id, round(x.similarity, 9)) for x in simhash.leaks(df, bench, most).collect()} for most in (10**6, 100)]
+    assert rows[0] == rows[1]
+    assert len(rows[0]) > 5
+
+
+def test_op8_clean_keeps_rows_by_their_own_text(spark):
+    item = " ".join(f"item{i}" for i in range(30))
+    rows = [(None, item, "a"), (1, item, "b"), (1, "nothing here to see for anyone", "c"), (2, None, "d"), (2, "", "e"), (None, "some words", "f"), (3, item + " more", "g"), (3, item + " more", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __note string")
+    bench = spark.createDataFrame([(1, item), (2, None)], "item_id long, text string")
+    assert sorted(x[2] for x in simhash.clean(docs, bench).collect()) == ["c", "d", "e", "f"]
+    assert {x.doc_id for x in simhash.clean(docs, bench).where("text IS NULL").collect()} == {2}
+    assert simhash.clean(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_op6_one_id_of_many_rows(spark):
+    rows = [(None, f"text {i:03d}") for i in range(60)] + [(5, f"other {i:03d}") for i in range(60)] + [(7, "end")]
+    found = sorted((tuple(r) for r in pfor.read(pfor.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))).collect()), key=lambda r: r[1])
+    whole, _, _ = pfor.tokenizer(None)
+    want, start = [], 0
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r)):
+        ids = np.array([*whole.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert found == want
+
+
+def test_op9_compacts_on_its_main_path(spark, docs, monkeypatch):
+    done, compact = [], substrings.compact
+    monkeypatch.setattr(substrings, "compact", lambda runs, n: done.append(len(runs)) or compact(runs, n))
+    substrings.deduplicate(docs).count()
+    assert done == [3]
+
+
 def test_op9(spark, docs, rows, no_docs):
     held = [(i, WORD.findall(t or "")) for i, t in rows]
     first: dict = {}
@@ -360,6 +591,39 @@ def test_ibans_before_other_words(code, after):
     assert pii.ibans(f"IBAN {code}1") == [] and pii.ibans(f"IBAN {code[:-1]}{(int(code[-1]) + 1) % 10}{after}")[:1] in ([], want[1:])
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [("Numéro de sécurité sociale 123-45-6789", "ssn"), ("Sozialversicherung: 123-45-6789", "ssn"), ("seguridad social 123-45-6789", "ssn"), ("modèle 123-45-6789, sécurité", None), ("Bestellung 123-45-6789", None)],
+)
+def test_pii_context_in_four_languages(text, kind):
+    assert [s.kind for s in pii.find(text)] == ([kind] if kind else [])
+
+
+def test_pii_added_spans_do_not_overlap():
+    text = "social 123-45-6789 IBAN DE89 3704 0044 0532 0130 00 card 4111 1111 1111 1111 social security 987-65-4320 and +49 30 1234567"
+    spans = sorted((s.start, s.end) for s in pii.find(text) if s.kind in ("iban", "ssn"))
+    assert len(spans) == 2
+    taken = pii._Taken([(5, 9), (7, 12), (20, 22)])
+    assert [taken.free(a, b) for a, b in ((0, 5), (0, 6), (12, 20), (11, 13), (22, 30), (21, 30), (1, 40))] == [True, False, True, False, True, False, False]
+    taken.add(12, 20)
+    assert not taken.free(15, 16)
+
+
+def test_op10_equals_the_plain_expressions_on_a_whole_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = {r.doc_id: r for r in pii.op10(spark, sf).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(found) == len(rows)
+    seen = 0
+    for i, t in rows:
+        want = brute_spans(t or "")
+        assert [found[i][f"n_{k}"] for k in pii.BASE_KINDS] == [len(want[k]) for k in pii.BASE_KINDS]
+        base = ",".join(f"{k}:{a}:{b}" for k in pii.BASE_KINDS for a, b in want[k])
+        assert found[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        seen += len(base) > 0
+    assert seen > 5
+
+
 def test_pii_takes_linear_time_on_long_runs():
     import time
 
@@ -399,6 +663,38 @@ def test_pipeline(spark, tmp_path):
         assert found[i].ids_sha256 == hashlib.sha256(" ".join(map(str, encoder.encode_ordinary(t))).encode()).hexdigest()
 
 
+def test_pipeline_takes_rows_of_every_kind(spark, tmp_path):
+    """Null, empty, long and repeated texts, null and repeated ids, columns with names that stages use, empty tables."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(10)
+    sentence = lambda: " ".join(f"word{r.randrange(900)}" for _ in range(30)).capitalize() + "."
+    good = [(i, "\n".join(sentence() for _ in range(3))) for i in range(60)]
+    bad = [(100 + i, "!!! $$$ ### " * (5 + i)) for i in range(60)]
+    item = sentence()
+    a, b, c = (sentence() + "\n" + sentence() for _ in range(3))
+    long = "\n".join(sentence() for _ in range(3000))
+    special = [(None, a), (None, sentence() + "\n" + item), (300, b), (300, c), (301, b + " more"), (302, c + " more"), (303, item + "\n" + a[:40]), (304, long), (304, long), (305, None), (306, ""), (307, None)]
+    rows = [(i, t, "en", None, None if t is None else len(t), 1.5, "x", 7) for i, t in good + bad + special]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, version string, __text int"
+    folder = str(tmp_path / "a")
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+    labels = spark.createDataFrame([(i, int(i < 100), 0) for i, _ in good + bad] + [(None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    benchmark = spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id long, text string")
+    benchmark.write.parquet(f"{folder}/benchmark.parquet")
+    found = collections.Counter((x.doc_id, x.n_tokens) for x in corpus_pipeline.run(spark, folder).collect())
+    encoder = bpe.encoder(None)
+    want = collections.Counter((i, len(encoder.encode_ordinary(t))) for i, t in [*good, (None, a), (300, b), (300, c), (304, long)])
+    empty = {k: n for k, n in found.items() if k[1] == 0}  # those without text are one class, if the score keeps them
+    assert sum(empty.values()) <= 1
+    assert found - collections.Counter(empty) == want
+    empty = str(tmp_path / "b")
+    spark.createDataFrame([], schema).write.parquet(f"{empty}/documents.parquet")
+    labels.limit(0).write.parquet(f"{empty}/labels.parquet")
+    benchmark.limit(0).write.parquet(f"{empty}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
 def test_op5(spark):
     from millrace.llm import warc
 
@@ -414,6 +710,12 @@ def test_op5(spark):
         (8, "https://a.example.com/x", 900_000, "revisit", None, None, None, None),
         (9, "https://b.example.com/", None, "revisit", "e1", None, {}, None),
         (10, "https://a.example.com/x", 200_000, "revisit", "e2", "d1", {}, None),
+        (3, "https://a.example.com/x", 200_000, "response", "e2", "d2", {"date": "3"}, "two"),
+        (11, "https://c.example.com/x", None, "response", "e1", None, {}, "untimed"),
+        (200_000, "https://c.example.com/x", None, "revisit", "e1", None, {}, None),
+        (12, "https://c.example.com/x", 5, "revisit", "e1", None, {}, None),
+        (13, "https://c.example.com/x", 5, None, "e1", None, {}, "x"),
+        (14, None, 5, "request", None, None, None, None),
     ]
     df = spark.createDataFrame(records, "record_id long, uri string, at long, kind string, etag string, last_modified string, headers map<string,string>, payload string").withColumn("chunk", F.lit("clash"))
     for chunk in (warc.CHUNK, 7, 10**9):
@@ -423,9 +725,13 @@ def test_op5(spark):
         assert {i: (r.status, r.source_id, r.payload) for i, r in by.items()} == {
             1: ("full", None, "one"), 2: ("resolved", 1, "one"), 3: ("full", None, "two"), 4: ("validator_mismatch", None, None), 5: ("resolved", 3, "two"), 6: ("no_earlier", None, None),
             7: ("no_address", None, None), 8: ("no_validator", None, None), 9: ("no_earlier", None, None), 10: ("resolved", 3, "two"),
+            11: ("full", None, "untimed"), 200_000: ("resolved", 11, "untimed"), 12: ("resolved", 11, "untimed"), 13: ("unknown_kind", None, None), 14: ("unknown_kind", None, None),
         }
         assert by[2].headers == {"date": "2", "content-type": "t"}
         assert by[5].headers == {"date": "3", "etag": "e2"}
     assert warc.resolve(df.limit(0)).count() == 0
     pages = spark.createDataFrame([(0, "https://a.example.com/p", "h"), (1, None, None), (1, None, None)], "page_id long, url string, html string")
     assert warc.resolve(warc.captures(pages)).count() == 9
+    twice = warc.resolve(warc.captures(spark.createDataFrame([(4, "https://a.example.com/p", "h")] * 2, pages.schema)))
+    assert twice.count() == 6
+    assert twice.where("status = 'resolved'").count() == 2
