@@ -10,27 +10,34 @@ they are joined last, by record.
 
 Ties: records of one time are ordered by record_id; a response is earlier if its (time, record_id) is less. Null or
 unusable address: the record resolves to nothing ("no_address"). Null time: first. Null validators: the next one is
-compared; none in common: "no_validator". Repeated rows: each gives its row. Empty table: no rows. Other columns stay out.
+compared; none in common: "no_validator". Null or other kind: status "unknown_kind", no payload. Repeated rows: each gives
+its row; responses of one record_id are one record, whose payload for revisits is the least. Empty table: no rows. Other
+columns stay out.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from millrace.functions.addresses import document_address
 
 #: The headers that a not-modified answer may update.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "vary"]
-#: Seconds of a chunk of time.
-CHUNK = 86_400
+#: Seconds of a chunk of time, and numbers of a chunk of records without time.
+CHUNK = 3_600
+UNTIMED, UNTIMED_CHUNK = -(1 << 62), 1 << 16
 
 
 def resolve(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """record_id, address, kind, status, source_id, headers, payload of all records (record_id, uri, at, kind, etag,
     last_modified, headers, payload); kind is response or revisit, at is in seconds, header names are in lower case."""
-    slim = records.select("record_id", document_address("uri").alias("address"), F.coalesce(F.col("at").cast("long"), F.lit(-(1 << 62))).alias("at"), "kind", "etag", "last_modified", "headers")
-    slim = slim.withColumn("chunk", F.floor(F.col("at") / chunk))
+    slim = records.select("record_id", document_address("uri").alias("address"), F.coalesce(F.col("at").cast("long"), F.lit(UNTIMED)).alias("at"), "kind", "etag", "last_modified", "headers")
+    # Records without time come in order of record_id; chunks rise with both.
+    numbered = isinstance(records.schema["record_id"].dataType, IntegralType)
+    untimed = F.col("record_id") / UNTIMED_CHUNK if numbered else F.lit(0)
+    slim = slim.withColumn("chunk", F.struct(F.floor(F.col("at") / chunk).alias("time"), F.when(F.col("at") == UNTIMED, F.floor(untimed)).otherwise(0).alias("record")))
     full = F.when(F.col("kind") == "response", F.struct("record_id", "etag", "last_modified", "headers"))
     within = Window.partitionBy("address", "chunk").orderBy("at", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     revisits = slim.where("address <> ''").withColumn("near", F.last(full, ignorenulls=True).over(within)).where("kind = 'revisit'")
@@ -41,10 +48,12 @@ def resolve(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
     found = found.withColumn("status", _status("source")).withColumn("ok", F.col("status") == "resolved")
     merged = F.when(F.col("ok"), _merged(F.col("source.headers"), F.col("headers"))).otherwise(F.col("headers"))
     found = found.select("record_id", "address", "kind", "status", F.when(F.col("ok"), F.col("source.record_id")).alias("source_id"), merged.alias("headers"))
-    payloads = records.where("kind = 'response'").select(F.col("record_id").alias("source_id"), "payload")
+    payloads = records.where("kind = 'response'").groupBy(F.col("record_id").alias("source_id")).agg(F.min("payload").alias("payload"))
     resolved = found.join(payloads, "source_id", "left")
     responses = records.where("kind = 'response'").select("record_id", document_address("uri").alias("address"), "kind", F.lit("full").alias("status"), F.lit(None).cast(records.schema["record_id"].dataType).alias("source_id"), "headers", "payload")
-    lost = slim.where("address = '' AND kind = 'revisit'").select("record_id", "address", "kind", F.lit("no_address").alias("status"), F.lit(None).cast(records.schema["record_id"].dataType).alias("source_id"), "headers", F.lit(None).cast("string").alias("payload"))
+    reason = F.when(F.coalesce(F.col("kind"), F.lit("")) != "revisit", "unknown_kind").otherwise("no_address")
+    lost = slim.where("kind IS NULL OR kind NOT IN ('response', 'revisit') OR (address = '' AND kind = 'revisit')")
+    lost = lost.select("record_id", "address", "kind", reason.alias("status"), F.lit(None).cast(records.schema["record_id"].dataType).alias("source_id"), "headers", F.lit(None).cast("string").alias("payload"))
     return resolved.select(responses.columns).unionByName(responses).unionByName(lost)
 
 
