@@ -1,17 +1,19 @@
 """Operator 8: benchmark decontamination by SimHash of item-sized windows.
 
 Words are runs of letters, digits and other non-ASCII characters, in lower case. Items are put in classes of nearly equal
-length. For a class whose shortest item has n words, windows of L = n - s + 1 words are fingerprinted: in documents every
-s-th one, of items those at the offsets 0 to s - 1. Wherever a copy of an item stands, it holds one of the document's
-windows whole, and that one is a window of the item.
+length. For a class whose shortest item has n words, windows of about a third of n words are fingerprinted: in documents
+every tenth of n words, of items those that begin in a tenth of n words at the item's beginning, in its middle and at its
+end. So wherever a copy of an item stands, three of the document's windows are windows of the item, in different places of
+it: a copy whose beginning is missing, or that has one part rewritten, still has a window without a change.
 
 A fingerprint is the 64-bit majority of its words' hashes. Fingerprints within RADIUS of each other agree to within
 RADIUS // 4 in one of four 16-bit blocks at least; each block has a table of all keys within that distance of an item's,
-so all item windows within RADIUS are found. What is found is verified at its place: the share, weighted by rarity among
-the items, of the item's runs of five words that the document has there, which must reach 0.8.
+so all item windows within RADIUS are found. What is found is verified at its place, with a quarter of the item's length to
+both sides: the share, weighted by rarity among all items, of the item's runs of five words that the document has there,
+which must reach 0.8.
 
-Items are taken in groups of at most MOST_ITEMS, so what is sent to the executors is bounded; a larger benchmark takes
-more passes.
+Items are taken in groups of about MOST_WORDS words, so what is sent to the executors is bounded; a larger benchmark takes
+more passes. Rarity is counted over all items first.
 
 Null or empty texts: no words, no matches. Items of fewer than five words are one run of all their words. Ties: each item
 that a document holds gives a row, with its best, then first place. Null doc_id or item_id: kept as null. Repeated rows
@@ -21,7 +23,6 @@ of a document each give rows, equal item rows give one. Other columns are not re
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +36,10 @@ from millrace.llm.shared import U64, flat, mix, shingles, slices, span_hashes, t
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 11
-LONGEST = 240
-MOST_ITEMS = 20_000
+#: Words of a window at most and, where the item has so many, at least.
+LONGEST, SHORTEST = 240, 8
+#: Words of the items of one pass.
+MOST_WORDS = 400_000
 
 _SEPARATOR = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 #: The eight bits of a byte, each in a byte of its own.
@@ -81,37 +84,57 @@ def length_classes(sizes: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def window_sizes(low: int) -> tuple[int, int]:
+    """Stride and length of the windows for items of `low` words or little more."""
+    return max(1, low // 10), min(LONGEST, max(min(low, SHORTEST), -(-9 * low // 25)))
+
+
+def window_offsets(size: int, stride: int, length: int) -> list[int]:
+    """Where an item's windows begin: `stride` places each at its beginning, in its middle and at its end."""
+    last = size - length
+    middle = (last - stride + 1) // 2
+    return sorted({min(last, max(0, first + i)) for first in (0, middle, last - stride + 1) for i in range(stride)})
+
+
+def item_runs(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of five words, or of all words of a shorter item."""
+    n = len(hashes)
+    return shingles(hashes, np.array([0, n]), min(SHINGLE, n))[0] if n else np.zeros(0, U64)
+
+
 class Items:
-    """A group of items, ready to be looked for."""
+    """A group of items (item_id, text), ready to be looked for. seen: of how many items each run is, of those of more than
+    one; total: how many items there are."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], seen: dict[int, int], total: int):
         hashes, bounds = split(pa.array([t for _, t in rows], pa.large_string()))
         self.ids = [i for i, _ in rows]
         self.sizes = np.diff(bounds)
-        self.runs: list[Counter] = []
+        self.runs, self.counts, self.weights = [], [], []  # of each item: sorted distinct runs, how often, weight
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            own = hashes[a:b]
-            self.runs.append(Counter(shingles(own, np.array([0, b - a]), min(SHINGLE, b - a))[0].tolist()) if b > a else Counter())
-        seen = Counter(r for runs in self.runs for r in runs)
-        self.weights = [{r: n * (1 + np.log(len(rows) / seen[r])) for r, n in runs.items()} for runs in self.runs]
+            runs, counts = np.unique(item_runs(hashes[a:b]), return_counts=True)
+            rare = 1 + np.log(total / np.array([seen.get(r, 1) for r in runs.tolist()], float))
+            self.runs.append(runs)
+            self.counts.append(counts)
+            self.weights.append(rare)
         self.classes = []
         running = sums(hashes)
         steps = RADIUS // 4
         near = [0] + [1 << a for a in range(16)] * (steps >= 1) + [1 << a | 1 << b for a in range(16) for b in range(a)] * (steps >= 2)
-        near = np.array(near, np.int64)
+        near = np.array(near, np.int32)
         for low, high in length_classes([n for n in self.sizes.tolist() if n]):
-            stride = max(1, low // 4)
-            length = min(low - stride + 1, LONGEST)
-            own = np.flatnonzero((self.sizes >= low) & (self.sizes <= high))
-            item, offset = np.repeat(own, stride), np.tile(np.arange(stride), len(own))
+            stride, length = window_sizes(low)
+            own = np.flatnonzero((self.sizes >= low) & (self.sizes <= high)).tolist()
+            places = [window_offsets(int(self.sizes[i]), stride, length) for i in own]
+            item, offset = np.repeat(own, [len(x) for x in places]), np.array([o for x in places for o in x], np.int64)
             prints = fingerprints(running, bounds[item] + offset, length)
             tables = []
             for block in range(4):
-                keys = ((prints >> U64(16 * block)) & U64(0xFFFF)).astype(np.int64)
-                keys, which = (keys[:, None] ^ near).ravel(), np.repeat(np.arange(len(keys)), len(near))
+                keys = ((prints >> U64(16 * block)) & U64(0xFFFF)).astype(np.int32)
+                keys = (keys[:, None] ^ near).ravel()
                 order = np.argsort(keys, kind="stable")
                 firsts = np.searchsorted(keys[order], np.arange((1 << 16) + 1))
-                tables.append((firsts.astype(np.int32), which[order].astype(np.int32)))
+                tables.append((firsts.astype(np.int32), (order // len(near)).astype(np.int32)))
             self.classes.append((stride, length, item, offset, prints, tables))
 
     def near(self, running: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -149,23 +172,24 @@ class Items:
         sized: dict[int, np.ndarray] = {}
         best: dict[tuple[int, int], tuple[float, int]] = {}
         for i, at in pairs.tolist():
-            size, weights = int(self.sizes[i]), self.weights[i]
-            a, b = max(at, 0), at + size
-            k = min(SHINGLE, size)
+            size, runs = int(self.sizes[i]), self.runs[i]
+            slack, k = size // 4, min(SHINGLE, size)
             if k not in sized:
                 sized[k] = np.zeros(len(hashes), U64)
-                runs, places = shingles(hashes, bounds, k)
-                sized[k][places] = runs
-            found = Counter(sized[k][a : max(a, b - k + 1)].tolist())
-            got = sum(min(n, found[r]) * weights[r] / n for r, n in self.runs[i].items() if r in found)
-            share = got / sum(weights.values())
+                found, places = shingles(hashes, bounds, k)
+                sized[k][places] = found
+            middle = min(max(at + size // 2, 0), len(hashes) - 1)
+            text = int(np.searchsorted(bounds, middle, "right")) - 1
+            a, b = max(at - slack, int(bounds[text])), min(at + size + slack, int(bounds[text + 1]))
+            there = sized[k][a : max(a, b - k + 1)]
+            place = np.minimum(np.searchsorted(runs, there), len(runs) - 1)
+            n = np.bincount(place[runs[place] == there], minlength=len(runs))
+            share = float((np.minimum(n, self.counts[i]) * self.weights[i]).sum() / (self.counts[i] * self.weights[i]).sum())
             if share >= SIMILARITY:
-                middle = min(max(at + size // 2, 0), len(hashes) - 1)
-                text = int(np.searchsorted(bounds, middle, "right")) - 1
                 old = best.get((text, i))
                 if old is None or (share, -at) > (old[0], -old[1]):
                     best[text, i] = share, at
-        return [(t, i, at - int(bounds[t]), share) for (t, i), (share, at) in best.items()]
+        return [(t, i, max(0, at - int(bounds[t])), share) for (t, i), (share, at) in best.items()]
 
 
 _prepared: dict[str, Items] = {}
@@ -175,20 +199,43 @@ def prepared(token: str, shared) -> Items:
     """The items of this broadcast, prepared once in a process."""
     if token not in _prepared:
         _prepared.clear()
-        _prepared[token] = Items(shared.value)
+        _prepared[token] = Items(*shared.value)
     return _prepared[token]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, most: int = MOST_ITEMS) -> DataFrame:
-    """doc_id, item_id, first_word, similarity: one row for each item that a document holds."""
+def runs_of(items: DataFrame) -> DataFrame:
+    """(run): each item's distinct runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                hashes, bounds = split(part.column("text"))
+                found = [np.unique(item_runs(hashes[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.record_batch({"run": pa.array(np.concatenate(found or [np.zeros(0, U64)]).view(np.int64))})
+
+    return items.select("text").mapInArrow(run, "run long")
+
+
+def passes(benchmark: DataFrame, most: int = MOST_WORDS) -> Iterator[tuple[str, object]]:
+    """Broadcasts of groups of about `most` words of items, each with its token."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).distinct()
-    groups = max(1, -(-items.count() // most))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    out = None
+    total, words_ = items.agg(F.count("*"), F.sum(F.size(F.split("text", r"[^\p{L}\p{N}]+")))).first()
+    groups = max(1, -(-(words_ or 0) // most))
+    counted = runs_of(items).groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
     for g in range(groups):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
         rows = sorted(((r.item_id, r.text) for r in own.collect()), key=lambda r: (r[0] is not None, r))
-        shared, token = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex  # about `most` items
+        mine = counted if groups == 1 else counted.join(runs_of(own), "run", "left_semi")
+        seen = {r.run & 0xFFFFFFFFFFFFFFFF: r.n for r in mine.collect()}  # no more than this group's words
+        yield uuid.uuid4().hex, spark.sparkContext.broadcast((rows, seen, total))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, most: int = MOST_WORDS) -> DataFrame:
+    """doc_id, item_id, first_word, similarity: one row for each item that a document holds."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    out = None
+    for token, shared in passes(benchmark, most):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, token=token) -> Iterator[pa.RecordBatch]:
             found = prepared(token, shared)
@@ -206,5 +253,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, most: int = MOST_ITEMS) -> Data
     return out
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, most: int = MOST_WORDS) -> DataFrame:
+    """The rows of docs that hold no item, with all their columns. Each row is judged by its own text, whatever its doc_id."""
+    names = docs.columns
+    docs = docs.withColumn("__text", text_of())
+    for token, shared in passes(benchmark, most):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, token=token) -> Iterator[pa.RecordBatch]:
+            found = prepared(token, shared)
+            for batch in batches:
+                for part in slices(batch, "__text"):
+                    keep = np.ones(len(part), bool)
+                    keep[[t for t, *_ in found.search(part.column("__text"))]] = False
+                    yield part.set_column(part.schema.get_field_index("__text"), "__text", part.column("__text").cast(pa.string())).filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs.select(*names)
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
