@@ -1,6 +1,10 @@
 """A training corpus from `documents`: quality, near-duplicates, benchmark leaks, personal data, token ids.
 
 Each stage works on all rows that the one before it kept, as read again from a table in the shared folder.
+
+Null text counts as empty and stays null; empty texts are near-duplicates of each other, so one of them stays if its score
+keeps it. A row without doc_id is judged by its own text and is no near-duplicate of others. Rows of one doc_id are judged
+each by its own text; equal rows are near-duplicates. Columns besides those of documents go at the first stage. Empty tables give none.
 """
 
 from __future__ import annotations
@@ -25,14 +29,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the least doc_id; documents without doc_id stay."""
-    kept = bagminhash.classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    return bagminhash.kept(docs).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = simhash.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that hold no benchmark item; each row is judged by its own text."""
+    return simhash.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
