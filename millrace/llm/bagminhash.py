@@ -7,18 +7,23 @@ within the run's count. A register keeps its earliest point. Two texts agree in
 weighted Jaccard similarity. Points after the time at which all registers are filled are never made, so most runs cost
 one hash.
 
-Texts of the same word sequence are one node. Nodes that share a band are candidates; candidates are verified on the
-bags themselves. Small bands give all their pairs. A large band is first joined up cheaply: each node is held against the
-band's smallest node and against those few that agree with it in most registers. Then each large band whose nodes are not
-yet in one class is settled: a pair inside a class can add nothing, so every node outside the band's most common class is
-held against all others, by registers in blocks of CHUNK by CHUNK nodes, and all that agree are verified. So no pair that
-shares a band is left out, whichever block it falls in; rows grow with the nodes, and beyond them only with the nodes that
-stay outside the common class.
+Rows of one word sequence are one node, whatever their doc_ids. Nodes that share a band are candidates if their registers
+agree in LEAST_AGREEMENT at least; candidates are verified on the bags themselves. Small bands give all their pairs. A
+large band is first joined up cheaply: each node is held against the band's smallest node and against those few that agree
+with it in most registers. This is no cap, as each large band whose nodes are not yet in one class is then settled: a pair
+inside a class can add nothing, so every node outside the band's most common class is held against all others, in cells of
+a block of nodes by a block of nodes. A cell has the nodes' runs as 16-bit hashes, which never make a similarity smaller, and
+gives the links that join its classes up, at most one for each class. Should one of these fail on the bags themselves, its
+band gives all its links at once. So of the pairs that share a band and agree none is left out, each is looked at in the
+first band that it shares, and rows grow with the nodes and not with their pairs.
+
+A pair of similarity 0.8 shares no band with probability 2e-4, and agrees in less than LEAST_AGREEMENT with 2e-6.
 
 Classes are connected components of the verified links.
 
 Null text: as empty; empty texts are one class. Null doc_id: returned with null class_id. Ties and repeated rows: equal
-word sequences share a class; the class id is its least doc_id. Other columns are not read.
+word sequences share a class; the class id is its least doc_id. A doc_id with several texts: each text is in a class of its
+own right, and each row has its text's class. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,9 +47,13 @@ REGISTERS = ROWS * BANDS
 #: among CHUNK nodes of the group at a time.
 SMALL_GROUP = 6
 NEAREST = 3
+#: Nodes, and runs, that a block of a large group is meant to hold.
 CHUNK = 1024
+BLOCK_RUNS = 1 << 20
 #: Pairs whose registers agree less than this are not verified; similar ones agree in 0.8, with a deviation of 0.031.
-LEAST_AGREEMENT = 0.5
+LEAST_AGREEMENT = 0.65
+#: Rows of three numbers that may be sent to all executors (some 50 MB).
+BROADCAST_ROWS = 1 << 20
 
 
 def bags(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -131,7 +140,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    """doc_id, two hashes of the word sequence, number of runs, band keys and one byte of each register."""
+    """doc_id, version, two hashes of the word sequence, number of runs, band keys and one byte of each register."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,16 +157,21 @@ def _features(docs: DataFrame) -> DataFrame:
                 keys = keys[np.repeat(np.arange(n), np.where(size > 0, 1, 0))]
                 ends = np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))])
                 yield pa.record_batch({
-                    "doc_id": part.column("doc_id"), "h1": pa.array(h1.view(np.int64)), "h2": pa.array(h2.view(np.int64)), "size": pa.array(size),
+                    "doc_id": part.column("doc_id"), "version": part.column("version"), "h1": pa.array(h1.view(np.int64)), "h2": pa.array(h2.view(np.int64)), "size": pa.array(size),
                     "bands": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel().view(np.int64))),
                     "registers": pa.array([x.tobytes() for x in (names & U64(255)).astype(np.uint8)], pa.binary()),
                 })
 
+    return rows_of(docs).mapInArrow(run, "doc_id long, version long, h1 long, h2 long, size long, bands array<long>, registers binary")
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """doc_id, version (a hash of the text, as a doc_id may have several) and text of the rows that have a doc_id."""
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return docs.mapInArrow(run, "doc_id long, h1 long, h2 long, size long, bands array<long>, registers binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
 
 
-def _groups(rows: DataFrame, registers: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _groups(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of rows (key, node, size) the pairs (pivot, node) worth verifying, and the rows (key, node, size) of large groups."""
     rows = stored(rows, "groups", compression="zstd")
     stats = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("size", "node")).alias("least")).where("n > 1")
@@ -182,49 +196,110 @@ def _groups(rows: DataFrame, registers: DataFrame) -> tuple[DataFrame, DataFrame
         return pa.table({"pivot": pa.array([p for p, _ in found], pa.int64()), "node": pa.array([n for _, n in found], pa.int64())})
 
     chunk = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / CHUNK))
-    dealt = large.select("key", "node", chunk.alias("chunk")).join(registers.select(F.col("doc_id").alias("node"), "registers"), "node")
+    dealt = large.select("key", "node", chunk.alias("chunk")).join(nodes.select("node", "registers"), "node")
     near = dealt.groupBy("key", "chunk").applyInArrow(nearest, "pivot long, node long")
     return pairs.unionByName(near).unionByName(stars).where("pivot <> node").distinct(), large.select("key", "node", "size")
 
 
-def _unsettled(large: DataFrame, roots: DataFrame, registers: DataFrame) -> DataFrame:
-    """All pairs (pivot, node) of large groups that are in different classes (node, root), agree in enough registers and
-    are near enough in size to be similar."""
+def _packed(texts: DataFrame) -> DataFrame:
+    """(node, bag): the runs of each text as sorted 16-bit hashes, a run that occurs n times giving n different ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                owner, runs, counts, _, _ = bags(*flat(part.column("text")))
+                turn = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                short = mix(np.repeat(runs, counts) + turn.astype(U64) * MULT) & U64(0xFFFF)
+                whose = np.repeat(owner, counts)
+                order = np.lexsort((short, whose))
+                short, edges = short[order].astype("<u2"), np.searchsorted(whose, np.arange(len(part) + 1)).tolist()
+                yield pa.record_batch({"node": part.column("node"), "bag": pa.array([short[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())})
+
+    return texts.select("node", "text").mapInArrow(run, "node long, bag binary")
+
+
+def _unsettled(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (key, node, size) of large groups with several classes, with the node's class, whether that is another than the
+    group's most common one, and in how many blocks the group's nodes and those other ones are dealt."""
     known = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    held = known.groupBy("key", "root").agg(F.count("*").alias("n"))
-    groups = held.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("classes"), F.max(F.struct("n", "root")).alias("most")).where("classes > 1")
-    known = known.join(groups.drop("classes"), "key").withColumn("outer", F.col("root") != F.col("most.root"))
-    known = known.join(registers.select(F.col("doc_id").alias("node"), "registers"), "node")
-    known = known.withColumn("blocks", F.ceil(F.col("n") / CHUNK)).withColumn("outers", F.ceil((F.col("n") - F.col("most.n")) / CHUNK))
-    columns = ("key", "block", "outer_block", "node", "size", "root", "outer", "registers")
+    held = known.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("runs"))
+    groups = held.groupBy("key").agg(F.sum("n").alias("n"), F.sum("runs").alias("runs"), F.count("*").alias("classes"), F.max(F.struct("n", "root", "runs")).alias("most")).where("classes > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("runs") / BLOCK_RUNS))
+    outers = F.greatest(F.ceil((F.col("n") - F.col("most.n")) / CHUNK), F.ceil((F.col("runs") - F.col("most.runs")) / BLOCK_RUNS))
+    known = known.join(groups.select("key", blocks.alias("blocks"), outers.alias("outers"), F.col("most.root").alias("most")), "key")
+    return stored(known.select("key", "node", "size", "root", (F.col("root") != F.col("most")).alias("outer"), "blocks", "outers"), "unsettled", compression="zstd")
+
+
+def _links_between(known: DataFrame, sketches: DataFrame, every: bool) -> DataFrame:
+    """(key, pivot, node) of pairs of _unsettled rows whose packed bags are similar: all of them, or as many as join all
+    classes of a cell up."""
     # A cell holds a block of all nodes and a block of the outer ones: nodes go to each block of outer ones, and these to each block.
     rows = known.withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks"))).withColumn("outer_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("outers") - 1)))
     asking = known.where("outer").withColumn("outer_block", F.pmod(F.xxhash64("key", "node"), F.col("outers"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = rows.select(*columns, F.lit(False).alias("asks")).unionByName(asking.select(*columns, F.lit(True).alias("asks")))
+    columns = ("key", "block", "outer_block", "node", "size", "root", "outer")
+    cells = rows.select(*columns, F.lit(False).alias("asks")).unionByName(asking.select(*columns, F.lit(True).alias("asks"))).join(sketches, "node")
 
     def compare(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy()
-        node, size, root, outer = (table.column(c).to_numpy() for c in ("node", "size", "root", "outer"))
+        asks, node, size, root, outer = (table.column(c).to_numpy() for c in ("asks", "node", "size", "root", "outer"))
         x = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint8).reshape(len(node), -1)
-        own, asking = np.flatnonzero(~asks), [(i, x[i]) for i in np.flatnonzero(asks).tolist()]
-        x = x[own]
-        pivots, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, y in asking:
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        bags_ = table.column("bag").to_pylist()
+        runs = np.frombuffer(b"".join(bags_), "<u2").astype(np.int64)
+        ends = np.cumsum([len(b) // 2 for b in bags_])
+        starts = ends - np.array([len(b) // 2 for b in bags_])
+        new = np.ones(len(runs), bool)
+        new[1:] = runs[1:] != runs[:-1]
+        new[starts] = True
+        turn = np.arange(len(runs)) - np.maximum.accumulate(np.where(new, np.arange(len(runs)), 0))
+        own, key = np.flatnonzero(~asks), table.column("key")[0].as_py()
+        found: list[tuple[float, int, int]] = []
+        for i in np.flatnonzero(asks).tolist():
             # Of two outer nodes, the one of the lower number asks.
-            hit = np.flatnonzero((root[own] != root[i]) & ~(outer[own] & (node[own] < node[i])) & (np.minimum(size[own], size[i]) >= SIMILARITY * np.maximum(size[own], size[i]) - 1e-6))
-            hit = hit[(x[hit] == y).sum(1) >= LEAST_AGREEMENT * x.shape[1]]
-            other = node[own[hit]]
-            pivots.append(np.minimum(other, node[i]))
-            nodes.append(np.maximum(other, node[i]))
-        return pa.table({"pivot": pa.array(np.concatenate(pivots), pa.int64()), "node": pa.array(np.concatenate(nodes), pa.int64())})
-
-    return cells.groupBy("key", "block", "outer_block").applyInArrow(compare, "pivot long, node long").distinct()
-
-
-def _agreeing(pairs: DataFrame, registers: DataFrame) -> DataFrame:
+            hit = own[(root[own] != root[i]) & ~(outer[own] & (node[own] < node[i])) & (np.minimum(size[own], size[i]) >= SIMILARITY * np.maximum(size[own], size[i]) - 1e-6)]
+            hit = hit[(x[hit] == x[i]).sum(1) >= LEAST_AGREEMENT * x.shape[1]]
+            earlier = int(np.argmax(bands[i] == key))
+            hit = hit[~(bands[hit, :earlier] == bands[i, :earlier]).any(1)]  # those are looked at in that band
+            if not len(hit):
+                continue
+            count = np.bincount(runs[starts[i] : ends[i]], minlength=1 << 16)
+            n = ends[hit] - starts[hit]
+            at = np.repeat(starts[hit] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            both = np.add.reduceat((count[runs[at]] > turn[at]).astype(np.int64), np.cumsum(n) - n)
+            share = both / (size[hit] + size[i] - both)
+            hit, share = hit[share >= SIMILARITY], share[share >= SIMILARITY]
+            if not every:  # the most similar one of each class
+                order = np.lexsort((-share, root[hit]))
+                first = order[np.unique(root[hit][order], return_index=True)[1]]
+                hit, share = hit[first], share[first]
+            found += [(s, i, j) for s, j in zip(share.tolist(), hit.tolist(), strict=True)]
+        kept = found if every else spanning(found, root)
+        return pa.table({"key": pa.array([key] * len(kept), pa.int64()), "pivot": pa.array([int(min(node[i], node[j])) for _, i, j in kept], pa.int64()), "node": pa.array([int(max(node[i], node[j])) for _, i, j in kept], pa.int64())})
+
+    return cells.groupBy("key", "block", "outer_block").applyInArrow(compare, "key long, pivot long, node long")
+
+
+def spanning(found: list[tuple[float, int, int]], root: np.ndarray) -> list[tuple[float, int, int]]:
+    """Of links (similarity, i, j) those, most similar first, that join two classes not yet joined."""
+    up: dict[int, int] = {}
+
+    def top(r: int) -> int:
+        while up.setdefault(r, r) != r:
+            up[r] = r = up[up[r]]
+        return r
+
+    kept = []
+    for link in sorted(found, reverse=True):
+        a, b = top(int(root[link[1]])), top(int(root[link[2]]))
+        if a != b:
+            up[a] = b
+            kept.append(link)
+    return kept
+
+
+def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs whose registers agree often enough to be worth verifying."""
-    a = registers.select(F.col("doc_id").alias("node"), F.col("registers").alias("x"))
-    b = registers.select(F.col("doc_id").alias("pivot"), F.col("registers").alias("y"))
+    a = nodes.select("node", F.col("registers").alias("x"))
+    b = nodes.select(F.col("node").alias("pivot"), F.col("registers").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,13 +310,22 @@ def _agreeing(pairs: DataFrame, registers: DataFrame) -> DataFrame:
     return pairs.join(a, "node").join(b, "pivot").select("node", "pivot", "x", "y").mapInArrow(run, "node long, pivot long")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def few(rows: DataFrame) -> DataFrame:
+    """A stored table of three numbers a row, to be broadcast if it has at most BROADCAST_ROWS."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _texts(docs: DataFrame, heads: DataFrame, needed: DataFrame) -> DataFrame:
+    """(node, text) of the nodes needed. Their number is checked: of BROADCAST_ROWS at most they are sent to all texts, and of
+    more the texts are shuffled."""
+    wanted = few(stored(heads.join(needed.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "version"), "wanted"))
+    return rows_of(docs).join(wanted, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"]).select("node", "text")
+
+
+def _verify(asked: DataFrame, docs: DataFrame, heads: DataFrame) -> DataFrame:
     """(node, pivot, similar) of all pairs."""
-    asked = stored(pairs, "asked")
-    needed = asked.select("node").union(asked.select("pivot")).distinct()
-    texts = texts.join(needed.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    a = texts.select(F.col("doc_id").alias("node"), F.col("text").alias("x"))
-    b = texts.select(F.col("doc_id").alias("pivot"), F.col("text").alias("y"))
+    texts = _texts(docs, heads, asked.select("node").union(asked.select("pivot")))
+    a, b = texts.select("node", F.col("text").alias("x")), texts.select(F.col("node").alias("pivot"), F.col("text").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, tuple] = {}  # pivots, as one is compared many times in a row
@@ -261,31 +345,61 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     out.append((node, pivot, similarity(own, kept[pivot]) >= SIMILARITY))
                 yield pa.record_batch({"node": pa.array([o[0] for o in out], pa.int64()), "pivot": pa.array([o[1] for o in out], pa.int64()), "similar": pa.array([o[2] for o in out], pa.bool_())})
 
-    return stored(asked.join(a, "node").join(b, "pivot").select("node", "pivot", "x", "y").mapInArrow(run, "node long, pivot long, similar boolean"), "verified", compression="zstd")
+    return stored(asked.select("node", "pivot").distinct().join(a, "node").join(b, "pivot").select("node", "pivot", "x", "y").mapInArrow(run, "node long, pivot long, similar boolean"), "verified", compression="zstd")
+
+
+def _joined(verified: DataFrame) -> DataFrame:
+    return verified.where("similar").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class) and node (the least doc_id of its word sequence)."""
+    """doc_id, version, class_id (the least doc_id of its class), node and class_node: numbers of its word sequence and of
+    its class in this run."""
     features = stored(_features(docs), "signatures")
-    heads = features.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
-    members = stored(features.select("doc_id", "h1", "h2").join(heads, ["h1", "h2"]).select("doc_id", "node"), "members")
-    nodes = features.join(heads.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").where("size > 0").dropDuplicates(["doc_id"])
-    nodes = stored(nodes.select("doc_id", "size", "bands", "registers"), "nodes")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    texts = texts.join(nodes.select("doc_id"), "doc_id", "left_semi")
-
-    registers = nodes.select("doc_id", "registers")
-    pairs, large = _groups(nodes.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"), "size"), registers)
-    links = _verify(_agreeing(pairs, registers), texts).where("similar").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    roots = components(links)
-    # Large bands that are not in one class yet: all pairs between their classes.
-    more = _verify(_unsettled(large, roots, registers), texts).where("similar").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    if not more.isEmpty():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    found = members.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("class_id"), "node")
-    lost = docs.where(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("node"))
-    return found.unionByName(lost)
+    heads = features.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "version")).alias("f")).select("h1", "h2", "f.*")
+    heads = stored(heads.withColumn("node", F.monotonically_increasing_id()), "heads")
+    members = features.select("doc_id", "version", "h1", "h2").join(heads.select("h1", "h2", "node", F.col("doc_id").alias("head")), ["h1", "h2"])
+    members = stored(members.select("doc_id", "version", "node", "head"), "members")
+    keys = ["doc_id", "version"]
+    nodes = features.where("size > 0").drop("h1", "h2").join(heads.select(*keys, "node"), keys).dropDuplicates(keys)
+    nodes = stored(nodes.select("node", "size", "bands", "registers"), "nodes")
+
+    pairs, large = _groups(nodes.select(F.explode("bands").alias("key"), "node", "size"), nodes)
+    roots = components(_joined(_verify(stored(_agreeing(pairs, nodes), "asked"), docs, heads)))
+    # Large bands that are not in one class yet: what joins their classes up.
+    for every in (False, True):
+        known = _unsettled(large, roots)
+        if known.isEmpty():
+            break
+        held = few(stored(known.select("node").distinct(), "held-nodes"))
+        sketches = nodes.select("node", "registers", "bands").join(held, "node", "left_semi").join(_packed(_texts(docs, heads, known)), "node")
+        sketches = stored(sketches, "sketches")
+        asked = stored(_links_between(known, sketches, every), "asked")
+        if asked.isEmpty():
+            break
+        verified = _verify(asked, docs, heads)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_joined(verified)))
+        failed = verified.where("NOT similar")
+        if failed.isEmpty():
+            break
+        large = large.join(stored(asked.join(failed, ["node", "pivot"], "left_semi").select("key").distinct(), "again"), "key", "left_semi")
+    linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(heads.select("node", "doc_id"), "node")
+    named = linked.join(linked.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root").select("node", "root", "class_id")
+    found = members.join(named, "node", "left").select(*keys, F.coalesce("class_id", "head").alias("class_id"), "node", F.coalesce("root", "node").alias("class_node"))
+    none = F.lit(None).cast("long")
+    return found.unionByName(docs.where(F.col("doc_id").isNull()).select(*(none.alias(c) for c in found.columns)))
+
+
+def kept(docs: DataFrame) -> DataFrame:
+    """Of each class one row, that of the least doc_id (of several texts of it, the one of the least hash), with all its
+    columns; and all rows without doc_id."""
+    first = classes(docs).where(F.col("doc_id").isNotNull()).groupBy("class_node").agg(F.min(F.struct("doc_id", "version")).alias("f")).select("f.*")
+    rows = docs.where(F.col("doc_id").isNotNull()).withColumn("__id", F.col("doc_id").cast("long")).withColumn("__version", F.xxhash64(text_of()))
+    first = first.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"))
+    rows = rows.join(first, ["__id", "__version"], "left_semi").dropDuplicates(["__id", "__version"]).select(docs.columns)
+    return rows.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("keep"))
+    found = classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("keep"))
