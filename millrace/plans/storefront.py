@@ -24,12 +24,12 @@ def displayed(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("""WITH v AS (SELECT l_partkey AS product_id, 'v' || (l_orderkey % 30) AS variant_id, l_quantity AS grams, l_extendedprice AS price, l_extendedprice / l_quantity AS unit_price, (l_orderkey, l_linenumber, l_suppkey) AS place FROM lineitem WHERE l_suppkey % 6 <> 2),
+@query("""WITH v AS (SELECT l_partkey AS product_id, 'v' || (l_orderkey % 30) AS variant_id, l_quantity AS grams, l_extendedprice AS price, l_extendedprice / l_quantity AS unit_price, (l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS place FROM lineitem WHERE l_suppkey % 6 <> 2),
  f AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY product_id, variant_id ORDER BY place) = 1)
 SELECT product_id, variant_id, grams, price FROM f QUALIFY row_number() OVER (PARTITION BY product_id, grams ORDER BY unit_price, price, variant_id) = 1""")
 def shown_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """The variants a product shows: first of an id, best of a weight."""
-    v = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("product_id"), F.concat(F.lit("v"), F.col("l_orderkey") % 30).alias("variant_id"), F.col("l_quantity").alias("grams"), F.col("l_extendedprice").alias("price"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"), F.struct("l_orderkey", "l_linenumber", "l_suppkey").alias("place"), "l_suppkey")
+    v = table(spark, folder, "lineitem").select(F.col("l_partkey").alias("product_id"), F.concat(F.lit("v"), F.col("l_orderkey") % 30).alias("variant_id"), F.col("l_quantity").alias("grams"), F.col("l_extendedprice").alias("price"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"), F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice").alias("place"), "l_suppkey")
     return storefront.sizes(v, F.col("l_suppkey") % 6 != 2, "place").select("product_id", "variant_id", "grams", "price")
 
 

@@ -181,9 +181,9 @@ v AS (SELECT l_partkey AS product_id, 'v' || (l_orderkey % 40) AS variant_id, l_
 n AS (SELECT a.*, coalesce(c, 0) AS variants FROM a LEFT JOIN (SELECT product_id, count(*) AS c FROM v GROUP BY product_id) USING (product_id)),
 s AS (SELECT *, first_value(product_id) OVER (PARTITION BY vendor_id, url ORDER BY authority DESC, variants DESC, completeness DESC, collected_at DESC, product_id DESC) AS kept_id, count(*) OVER (PARTITION BY vendor_id, url) AS candidates FROM n)"""
 _UNITED = _ADDRESSED + """, j AS (SELECT v.*, s.kept_id, s.candidates FROM v JOIN s USING (product_id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY kept_id, variant_id ORDER BY filled DESC, source_variant_id <> '' DESC, collected_at DESC, product_id, l_orderkey, l_linenumber, l_suppkey) AS n FROM j),
+r AS (SELECT *, row_number() OVER (PARTITION BY kept_id, variant_id ORDER BY filled DESC, source_variant_id <> '' DESC, collected_at DESC, product_id, l_orderkey, l_linenumber, l_suppkey, grams, price) AS n FROM j),
 w AS (SELECT *, CASE WHEN candidates > 1 AND n > 1 THEN 'variant_id' END AS lost1, CASE WHEN candidates > 1 THEN printf('%.4f', grams) ELSE 'own ' || product_id || ' ' || variant_id || ' ' || l_orderkey || ' ' || l_linenumber || ' ' || l_suppkey END AS weight FROM r),
-z AS (SELECT *, row_number() OVER (PARTITION BY kept_id, weight ORDER BY lost1 IS NOT NULL, filled DESC, source_variant_id <> '' DESC, collected_at DESC, variant_id DESC, product_id, l_orderkey, l_linenumber, l_suppkey) AS m FROM w)"""
+z AS (SELECT *, row_number() OVER (PARTITION BY kept_id, weight ORDER BY lost1 IS NOT NULL, filled DESC, source_variant_id <> '' DESC, collected_at DESC, variant_id DESC, product_id, l_orderkey, l_linenumber, l_suppkey, grams, price) AS m FROM w)"""
 
 
 def _addressed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -193,7 +193,7 @@ def _addressed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     i = table(spark, folder, "lineitem")
     v = i.select(
         F.col("l_partkey").alias("product_id"), F.concat(F.lit("v"), F.col("l_orderkey") % 40).alias("variant_id"), F.col("l_quantity").alias("grams"), F.col("l_extendedprice").alias("price"), F.when(F.col("l_suppkey") % 3 == 0, "").otherwise(F.concat(F.lit("s"), "l_suppkey")).alias("source_variant_id"),
-        F.col("l_orderkey").cast("string").alias("collected_at"), (F.col("l_linenumber") % 3).alias("filled"), F.struct("l_orderkey", "l_linenumber", "l_suppkey").alias("tie"),
+        F.col("l_orderkey").cast("string").alias("collected_at"), (F.col("l_linenumber") % 3).alias("filled"), F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice").alias("tie"),
     )
     return a, v
 
