@@ -13,8 +13,8 @@ those that began in an earlier document of its own.
 
 A passage shared by any number of documents is one entry a block at each step, so no step gathers all its documents.
 
-Null or empty text: no words. Fewer words than a window: nothing is removed. Ties: rows of one doc_id do not repeat each
-other. Null doc_id: neither repeats nor is repeated. Repeated rows: each gives its row. Other columns are not read.
+Null or empty text: no words. Fewer words than a window: nothing is removed. Ties: rows of one doc_id are parts of one
+document, which is read in one task like any other, and do not repeat each other. Null doc_id: neither repeats nor is repeated. Repeated rows: each gives its row. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,16 +25,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import U64, bucketed, flat, salted, shingles, slices, span_hashes, stored, words
+from millrace.llm.shared import U64, bucketed, flat, salted, shingles, slices, span_hashes, stored, tasks_for, text_bytes, words
 
 WINDOW = 13
 SEED = 5
 BLOCK_BYTES = 16 << 20
 #: Batches that op9 deals the documents into, and runs that are left side by side before they are compacted.
-BATCHES = 3
+BATCHES = 4
 FAN_OUT = 2
 #: Fingerprints that one bucket of the index is meant to hold.
 BUCKET_ROWS = 2 << 20
@@ -72,13 +72,22 @@ def bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:
     return ((values >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
 
 
-def deal(docs: DataFrame) -> DataFrame:
-    """A table (block, doc_id, text) bucketed by block; blocks are ranges of doc_id, in order."""
+def deal(docs: DataFrame) -> tuple[DataFrame, int]:
+    """A table (block, doc_id, text) bucketed by block, and in how many buckets; blocks are ranges of doc_id, in order.
+
+    Rows without doc_id take no part and are spread.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.repartitionByRange(max(n, -(-size // BLOCK_BYTES)), "doc_id").withColumn("block", F.spark_partition_id())
-    return bucketed(ranged, "block", n)
+    spark, size = docs.sparkSession, text_bytes(docs)[1]
+    docs = docs.withColumn("place", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    ranged = docs.repartitionByRange(tasks_for(spark, size, BLOCK_BYTES), "doc_id", "place").select("doc_id", "text", F.spark_partition_id().alias("block"))
+    n = tasks_for(spark, size)
+    return bucketed(ranged, "block", n), n
+
+
+def dealt(df: DataFrame, n: int, key: str) -> GroupedData:
+    """df by key, in n tasks where the session's number is less."""
+    return (df.repartition(n, key) if n > tasks_for(df.sparkSession, 0) else df).groupBy(key)
 
 
 def run_of(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -142,7 +151,7 @@ def _merged(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return prints[order], blocks[order], several[order]
 
 
-def candidates(runs: list[DataFrame]) -> DataFrame:
+def candidates(runs: list[DataFrame], n: int) -> DataFrame:
     """(block, prints): prints of each block that belong to two documents of these runs. The last run is the new batch.
 
     What lies in earlier runs only was found when they were new.
@@ -170,10 +179,10 @@ def candidates(runs: list[DataFrame]) -> DataFrame:
         cut = list(zip(*_runs(blocks), strict=True))
         return pa.table({"block": pa.array([int(blocks[a]) for a, _ in cut], pa.int32()), "values": pa.array([to_bytes(np.unique(prints[a:b])) for a, b in cut], pa.binary())})
 
-    return rows.groupBy("bucket").applyInArrow(join, "block int, values binary")
+    return dealt(rows, n, "bucket").applyInArrow(join, "block int, values binary")
 
 
-def compact(runs: list[DataFrame]) -> DataFrame:
+def compact(runs: list[DataFrame], n: int) -> DataFrame:
     """One run of all entries of these runs."""
     rows = runs[0]
     for run in runs[1:]:
@@ -183,7 +192,7 @@ def compact(runs: list[DataFrame]) -> DataFrame:
         prints, blocks, several = _merged(table)
         return pa.table({"bucket": table.column("bucket").slice(0, 1), "prints": pa.array([to_bytes(prints)], pa.binary()), "blocks": pa.array([blocks.astype("<i4").tobytes()], pa.binary()), "several": pa.array([np.packbits(several).tobytes()], pa.binary())})
 
-    return stored(rows.groupBy("bucket").applyInArrow(merge, "bucket int, prints binary, blocks binary, several binary"), "compacted", compression="zstd")
+    return stored(dealt(rows, n, "bucket").applyInArrow(merge, "bucket int, prints binary, blocks binary, several binary"), "compacted", compression="zstd")
 
 
 def _lists(table: pa.Table) -> np.ndarray:
@@ -203,7 +212,7 @@ def _parts(table: pa.Table) -> Iterator[pa.RecordBatch]:
         yield from slices(batch, "text")
 
 
-def verify(blocks: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
+def verify(blocks: DataFrame, found: DataFrame, buckets: int, n: int) -> DataFrame:
     """(block, values): first hashes of a block's windows that also begin in an earlier block, equal in both hashes."""
 
     def under(texts: pa.Table, lists: pa.Table) -> pa.Table:
@@ -240,7 +249,7 @@ def verify(blocks: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
         return pa.table({"block": pa.array([int(own[a]) for a, _ in cut], pa.int32()), "values": pa.array([to_bytes(w1[a:b]) for a, b in cut], pa.binary())})
 
     asked = blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(under, "bucket int, block int, w1 binary, w2 binary")
-    return asked.groupBy("bucket").applyInArrow(later, "block int, values binary")
+    return dealt(asked, n, "bucket").applyInArrow(later, "block int, values binary")
 
 
 def removed(blocks: DataFrame, repeated: DataFrame, texts: bool = False) -> DataFrame:
@@ -291,21 +300,19 @@ def removed(blocks: DataFrame, repeated: DataFrame, texts: bool = False) -> Data
 
 def deduplicate(docs: DataFrame, batches: int = BATCHES, texts: bool = False) -> DataFrame:
     """Index the documents batch by batch in order of doc_id, and cut repeated windows."""
-    spark = docs.sparkSession
-    blocks = deal(docs)
+    blocks, n = deal(docs)
     last = blocks.agg(F.max("block")).first()[0]
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(n, ((last or 0) + 1) * (BLOCK_BYTES // 36) // BUCKET_ROWS)
     runs: list[DataFrame] = []
     found = None
     step = -(-((last or 0) + 1) // batches)
     for low in range(0, (last or 0) + 1, step):
         runs.append(run_of(blocks.where((F.col("block") >= low) & (F.col("block") < low + step)), buckets))
-        new = stored(candidates(runs), "candidates", compression="zstd")
+        new = stored(candidates(runs, n), "candidates", compression="zstd")
         found = new if found is None else found.unionByName(new)
         if len(runs) > FAN_OUT and low + step <= last:
-            runs = [compact(runs)]
-    repeated = stored(verify(blocks, found, buckets), "repeated", compression="zstd")
+            runs = [compact(runs, n)]
+    repeated = stored(verify(blocks, found, buckets, n), "repeated", compression="zstd")
     return removed(blocks, repeated, texts)
 
 
