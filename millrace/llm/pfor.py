@@ -9,7 +9,8 @@ index and the blocks. Files are Parquet, written by Spark to the shared folder a
 its range of doc_ids.
 
 Null text: as empty. Empty text: the end id alone. Repeated rows and ties of doc_id: each row is written, in order of
-doc_id, then text; null doc_ids come first. Columns besides doc_id and text are not read.
+doc_id, then text (of texts that begin with the same 64 characters, as they lie in files); null doc_ids come first. So a
+doc_id that many rows share, null too, is spread over many files. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import pretokens
 from millrace.llm.bpe import distinct, gather
-from millrace.llm.shared import flat, slices, span_hashes, stored, text_of
+from millrace.llm.shared import flat, slices, span_hashes, stored, tasks_for, text_bytes, text_of
 
 BLOCK = 128
 #: The share of a block's values that its width covers.
@@ -214,8 +215,9 @@ def write(docs: DataFrame, path: str | None = None, share: float = SHARE) -> Dat
             yield row(waiting)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    n = tasks_for(docs.sparkSession, text_bytes(docs)[1])
+    docs = docs.withColumn("start", F.substring("text", 1, 64)).withColumn("place", F.monotonically_increasing_id())
+    ranged = docs.repartitionByRange(n, "doc_id", "start", "place").drop("start", "place").sortWithinPartitions("doc_id", "text")
     return stored(ranged.mapInArrow(encode, ROWS), "token-files", compression="zstd")
 
 
