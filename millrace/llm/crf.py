@@ -10,7 +10,7 @@ smallest hash of doc_id), of at most TRAIN_LINES lines; each line learns its doc
 doc_id are never inputs of a score.
 
 Null text: as empty. Empty text: one empty line, so a score as any other. Ties: a doc_id with several labels learns the
-lowest; null labels are left out. No labels of one class: the score is the other class's share. Repeated rows: each gives
+lowest, and one with several texts gives the least; null labels are left out. No labels of one class: the score is the other class's share. Repeated rows: each gives
 its row. Other columns are not read.
 """
 
@@ -231,6 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCUMENTS) -> Mode
                 yield pa.record_batch({"quality": part.column("quality").take(pa.array(few, pa.int64())), "values": pa.array([values[edges[i] : edges[i + 1]].tobytes() for i in few], pa.binary()), "size": pa.array([size[edges[i] : edges[i + 1]].astype(np.int64).tobytes() for i in few], pa.binary())})
 
     sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id")  # 2 * most ids
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct("quality", "text")).alias("f")).select("f.*")  # one text an id
     rows = sample.select("quality", "text").mapInArrow(lines, "quality int, values binary, size binary").collect()
     good = np.array([r.quality == 1 for r in rows], np.int64)
     if not len(good) or good.all() or not good.any():
