@@ -94,17 +94,16 @@ def html_documents(spark: SparkSession, folder: str) -> DataFrame:
     return recovery.html_documents(_pages(spark, folder), "p_partkey", "url", "html")
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size + 0.5 WHEN 1 THEN p_size WHEN 2 THEN CASE WHEN p_partkey % 3 = 2 THEN (1000 + p_size) / 100.0 ELSE (1000 + p_size) / 100.0 END WHEN 3 THEN p_size + 0.25 END::DOUBLE AS price FROM part""".replace("FROM part", "FROM part WHERE p_partkey % 3 <> 1"))
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size + 0.5 WHEN 1 THEN p_size WHEN 2 THEN (1000 + p_size) / 100.0 WHEN 3 THEN p_size + 0.25 END::DOUBLE AS price FROM part""")
 def product_prices(spark: SparkSession, folder: str) -> DataFrame:
     """The price of a product's page: in price elements, behind words, in JSON with its minor units."""
-    rows = recovery.product_price(_pages(spark, folder).where("p_partkey % 3 <> 1"), "html")  # the others show an amount of another kind, see shown_prices
-    return rows.select("p_partkey", "price")
+    return recovery.product_price(_pages(spark, folder), "html").select("p_partkey", "price")
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN p_size WHEN p_partkey % 3 = 2 THEN p_size + 0.1 END::DOUBLE AS shown, CASE WHEN p_partkey % 3 = 0 THEN p_size + 0.75 END::DOUBLE AS attribute FROM part WHERE p_partkey % 5 IN (2, 3, 4)""")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN p_size WHEN p_partkey % 3 = 2 THEN p_size + 0.1 END::DOUBLE AS shown, CASE WHEN p_partkey % 3 = 0 THEN p_size + 0.75 END::DOUBLE AS attribute FROM part""")
 def shown_prices(spark: SparkSession, folder: str) -> DataFrame:
     """Prices that pages show in amounts, scripts and attributes."""
-    return _pages(spark, folder).where("p_partkey % 5 IN (2, 3, 4)").select("p_partkey", recovery.shown_price("html").alias("shown"), recovery.attribute_price("html").alias("attribute"))
+    return _pages(spark, folder).select("p_partkey", recovery.shown_price("html").alias("shown"), recovery.attribute_price("html").alias("attribute"))
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 4.5 WHEN 1 THEN 3 WHEN 2 THEN 4.25 END::DOUBLE AS score, CASE WHEN p_partkey % 4 < 3 THEN CAST(p_size AS BIGINT) END AS count FROM part""")
