@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import alignment, bagminhash, bpe, chat, crf, flac, pfor, pii, simhash, substrings, warc
+from millrace.llm import alignment, bagminhash, bpe, chat, crf, flac, nearest, pfor, pii, repair, simhash, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flac": flac.op1,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": simhash.op8,
     "op9_substrings": substrings.op9,
     "op10_pii": pii.op10,
+    "op11_multi_index": nearest.op11,
+    "op12_repair": repair.op12,
     "op13_alignment": alignment.op13,
 }
 
