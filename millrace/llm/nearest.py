@@ -149,14 +149,15 @@ def fit(rows: DataFrame, distinct: DataFrame, every: int, k: int) -> tuple[Codes
             if not len(v):
                 continue
             products, words = asked @ v.T, codes.rows(v).view(np.uint64)
+            copies = batch.column("ids").value_lengths().to_numpy()
             for i, q in enumerate(asked):
-                products[i, (v == q).all(1)] = -np.inf
-                top = np.argpartition(-products[i], min(k, len(v) - 1))[:k]
-                top = top[np.isfinite(products[i, top])]
+                counts = copies - (v == q).all(1)  # without the query's own row
+                top = np.argsort(-products[i], kind="stable")[: k + 1]
+                top = np.repeat(top, counts[top])[:k]
                 bits = np.bitwise_count(words[top] ^ own[i]).sum(1, dtype=np.int64)
                 yield pa.record_batch({"q": pa.array([i] * len(top), pa.int64()), "score": pa.array(products[i, top], pa.float64()), "bits": pa.array(bits)})
 
-    near = distinct.select("v").mapInArrow(run, "q long, score double, bits long")
+    near = distinct.select("v", "ids").mapInArrow(run, "q long, score double, bits long")
     near = near.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "bits"))).where(F.col("place") <= k)
     own_bits: dict[int, list[int]] = {}
     for r in near.select("q", "bits").collect():  # k for each of the queries asked
