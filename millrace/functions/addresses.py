@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.text import clean_text, collapse, column
+from millrace.functions.text import collapse, column, plain_text
 
 #: Query keys that name a variant.
 VARIANT_KEYS = ["variant", "attribute_pa_size", "attribute_size", "variation_id"]
@@ -101,7 +101,7 @@ def public(c: Column | str) -> Column:
 
 def joined(base: Column | str, link: Column | str) -> Column:
     """A link of a page as a full address: full, //host, /path or path beside the page."""
-    base, link = column(base), clean_text(link, exotic=False)
+    base, link = column(base), plain_text(link)
     root = F.concat(scheme(base), F.lit("://"), part(base, 2))
     beside = F.regexp_replace(part(base, 3), "[^/]*$", "")
     return (

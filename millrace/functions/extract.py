@@ -17,6 +17,7 @@ WORD_WEIGHT = r"(?i)\b(eighth|quarter|half\s+ounce|half[- ]?oz|ounce|one\s+ounce
 POUND_GRAMS = {"1/4": 112.0, "1/2": 224.0, "1": 448.0, "2": 896.0, "4": 1792.0, "quarter": 112.0, "half": 224.0, "one": 448.0, "two": 896.0, "four": 1792.0}
 OUNCE_GRAMS = {"1/8": 3.5, "1/4": 7.0, "1/2": 14.0, "1": 28.0, "2": 56.0, "4": 112.0}
 WORD_GRAMS = {"eighth": 3.5, "quarter": 7.0, "half ounce": 14.0, "half oz": 14.0, "ounce": 28.0, "one ounce": 28.0, "two ounces": 56.0, "two ounce": 56.0, "four ounces": 112.0, "four ounce": 112.0, "zip": 28.0}
+LEAST_GRAMS, MOST_GRAMS = 0.05, 5000.0
 STANDARD_GRAMS = [0.5, 1.0, 2.0, 3.5, 4.0, 7.0, 14.0, 28.0, 56.0, 112.0, 224.0, 448.0, 896.0, 1792.0]
 #: Phrases that deny and that affirm stock.
 OUT_OF_STOCK = r"\b(?:out\s+of\s+stock|outofstock|sold\s+out|unavailable|not(?:\s+\w+){0,2}\s+(?:available|in\s+stock))\b"
@@ -48,9 +49,11 @@ def snap(value: Column, standards: list[float] = STANDARD_GRAMS) -> Column:
 
 
 def weight(value: Column, label: Column | str) -> Column:
-    """struct(grams, method): the label's grams; a number counts only if the label agrees after snapping."""
+    """struct(grams, method): the label's grams; a number from 0.05 to 5,000 counts only if the label agrees after snapping, other
+    numbers are none."""
     named = label_grams(label)["grams"]
-    direct = snap(value.cast("double"))
+    number = value.cast("double")
+    direct = snap(F.when(number.between(LEAST_GRAMS, MOST_GRAMS), number))
     return (
         F.when(named.isNull(), F.struct(F.lit(None).cast("double").alias("grams"), F.when(direct.isNull(), F.lit("missing")).otherwise(F.lit("unlabelled")).alias("method")))
         .when(direct.isNull(), F.struct(named.alias("grams"), F.lit("label").alias("method")))

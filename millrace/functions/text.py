@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.entities import unescape
+
 Text = Column | str
 
 _SPACES = r"[\s\p{Z}]+"
@@ -21,9 +23,9 @@ _HARD = r"[^\x20-\x7E\t\n\r]|&(?!(?:" + "|".join(e[1:-1] for e in ENTITIES) + r"
 
 
 def _folding() -> tuple[str, str, str]:
-    """Of Latin, Greek and Cyrillic: letters, the one base letter that each becomes without its marks, and all marks."""
+    """Of Latin, Greek, Cyrillic and full-width forms: letters, the one base letter that each becomes without its marks, and all marks."""
     pairs = []
-    for i in [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]:
+    for i in [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000), *range(0xFF01, 0xFF5F)]:
         base = [x for x in unicodedata.normalize("NFKD", chr(i)) if not unicodedata.combining(x)]
         if len(base) == 1 and base[0] != chr(i):
             pairs.append((chr(i), base[0]))
@@ -33,7 +35,7 @@ def _folding() -> tuple[str, str, str]:
 
 _FROM, _TO, _MARKS = _folding()
 #: Other characters than translate() can fold, which are those above, and letters without marks of the same scripts, dashes and quotes.
-_UNFOLDABLE = r"[^\x00-\x7F\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0300-\u0377\u0386-\u03CE\u0400-\u0481\u048A-\u0529\u2010\u2012-\u2016\u2018-\u201F\u2022]"
+_UNFOLDABLE = r"[^\x00-\x7F\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0300-\u0377\u0386-\u03CE\u0400-\u0481\u048A-\u0529\u2010\u2012-\u2016\u2018-\u201F\u2022\uFF01-\uFF5E]"
 
 
 def column(c: Text) -> Column:
@@ -51,11 +53,8 @@ def _mapped(c: Column, fn) -> Column:
 
 
 def decoded(c: Text) -> Column:
-    """The commonest entities decoded, by built-in functions; "&amp;" last, as each is decoded once."""
-    c = column(c)
-    for entity, character in ENTITIES.items():
-        c = F.replace(c, F.lit(entity), F.lit(character))
-    return c
+    """All character references decoded, by built-in functions."""
+    return unescape(column(c))
 
 
 def collapse(c: Text) -> Column:
@@ -63,56 +62,63 @@ def collapse(c: Text) -> Column:
     return F.trim(F.regexp_replace(column(c), _SPACES, " "))
 
 
-def clean_text(c: Text, exotic: bool = True) -> Column:
-    """Entities decoded, composed (NFKC), white space collapsed. Without exotic, only what built-in functions can do: the
-    commonest entities are decoded, other text stays as it is."""
+def plain_text(c: Text) -> Column:
+    """Character references decoded and white space collapsed; characters stay as they are."""
+    return collapse(decoded(c))
+
+
+def clean_text(c: Text) -> Column:
+    """Character references decoded, composed (NFKC), white space collapsed. Texts of printable ASCII need built-in functions
+    only; others pass an Arrow-batched function."""
     c = column(c)
-    if not exotic:
-        return collapse(decoded(c))
     easy = ~c.rlike(_HARD)
-    return collapse(F.when(easy, decoded(c)).otherwise(_mapped(F.when(~easy, c), lambda s: unicodedata.normalize("NFKC", html.unescape(s)))))
+    common = c
+    for entity, character in ENTITIES.items():  # "&amp;" last, as each is decoded once
+        common = F.replace(common, F.lit(entity), F.lit(character))
+    return collapse(F.when(easy, common).otherwise(_mapped(F.when(~easy, c), lambda s: unicodedata.normalize("NFKC", html.unescape(s)))))
 
 
 def _unmarked(s: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFKD", s) if not unicodedata.combining(x))
 
 
-def unmarked(c: Text, exotic: bool = True) -> Column:
-    """Without accents and other marks (NFKD): letters of Latin, Greek and Cyrillic by a built-in function, texts with other
-    characters by an Arrow-batched one, if exotic, or else as they are."""
+def unmarked(c: Text) -> Column:
+    """Decomposed (NFKD), without accents and other marks: letters of Latin, Greek and Cyrillic and full-width forms by a built-in
+    function, texts with other characters by an Arrow-batched one."""
     c = column(c)
-    folded = F.translate(c, _FROM + _MARKS, _TO)
-    if not exotic:
-        return folded
     easy = ~c.rlike(_UNFOLDABLE)
-    return F.when(easy, folded).otherwise(_mapped(F.when(~easy, c), _unmarked))
+    return F.when(easy, F.translate(c, _FROM + _MARKS, _TO)).otherwise(_mapped(F.when(~easy, c), _unmarked))
 
 
-def fold(c: Text, exotic: bool = True) -> Column:
+def fold(c: Text) -> Column:
     """Case folded and without accents."""
     sharp = F.replace(F.replace(column(c), F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("ss"))
-    lower = F.lower(unmarked(sharp, exotic))
-    return F.replace(lower, F.lit("ς"), F.lit("σ"))
+    return F.replace(F.lower(unmarked(sharp)), F.lit("ς"), F.lit("σ"))
 
 
-def search_key(c: Text, exotic: bool = True) -> Column:
+def search_key(c: Text) -> Column:
     """Cleaned, folded, with the separating marks - _ / | , : ; · • as blanks."""
-    return F.trim(F.regexp_replace(fold(clean_text(c, exotic), exotic), r"[\s\-_/|,:;·•]+", " "))
+    return F.trim(F.regexp_replace(fold(clean_text(c)), r"[\s\-_/|,:;·•]+", " "))
+
+
+def search_text(c: Text) -> Column:
+    """In lower case, decomposed and without accents, with all punctuation and symbols as blanks: what the faceted search
+    compares. One folding for every search."""
+    return F.trim(F.regexp_replace(F.lower(unmarked(c)), r"[\p{P}\p{S}\s]+", " "))
 
 
-def search_text(c: Text, exotic: bool = True) -> Column:
-    """In lower case, without accents, with all punctuation and symbols as blanks: what the faceted search compares."""
-    return F.trim(F.regexp_replace(F.lower(unmarked(c, exotic)), r"[\p{P}\p{S}\s]+", " "))
+def without_tags(c: Text) -> Column:
+    return F.regexp_replace(column(c), r"<[^>]*>", " ")
 
 
-def strip_tags(c: Text, exotic: bool = True) -> Column:
-    """Markup removed, entities decoded, white space collapsed."""
-    return clean_text(F.regexp_replace(column(c), r"<[^>]*>", " "), exotic)
+def strip_tags(c: Text) -> Column:
+    """Markup removed, character references decoded, composed, white space collapsed."""
+    return clean_text(without_tags(c))
 
 
-def name_key(c: Text, exotic: bool = True) -> Column:
+def name_key(c: Text) -> Column:
     """Folded name with & as "and" and all else but letters and digits as blanks."""
-    return F.trim(F.regexp_replace(F.replace(fold(c, exotic), F.lit("&"), F.lit(" and ")), r"[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.replace(fold(c), F.lit("&"), F.lit(" and ")), r"[^a-z0-9]+", " "))
 
 
 def bounded(c: Text, most: int) -> Column:

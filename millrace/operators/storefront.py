@@ -24,12 +24,12 @@ def compact_variants(variants: DataFrame) -> DataFrame:
     return rows.where("weight IS NOT NULL AND price IS NOT NULL AND unit_price IS NOT NULL")
 
 
-def compact_products(products: DataFrame, exotic: bool = True) -> DataFrame:
+def compact_products(products: DataFrame) -> DataFrame:
     """(product_id, vendor_id, vendor, name, lineage, search_text), each from the first name of it that is there."""
     first = lambda *names: F.coalesce(*(F.col(n).cast("string") for n in names if n in products.columns), F.lit(""))
     rows = products.select(first("id", "product_id").alias("product_id"), first("vendor_id", "source_id", "vendor").alias("vendor_id"), first("vendor", "vendor_name").alias("vendor"), first("strain", "name").alias("name"), "lineage")
     lineage = F.when(F.col("lineage").isin(LINEAGES), F.col("lineage")).otherwise("unknown")
-    return rows.withColumns({"lineage": lineage, "search_text": search_text(F.concat_ws("\n", "vendor", "name"), exotic)}).where("product_id <> ''")
+    return rows.withColumns({"lineage": lineage, "search_text": search_text(F.concat_ws("\n", "vendor", "name"))}).where("product_id <> ''")
 
 
 def money(c: Column) -> Column:

@@ -48,7 +48,7 @@ def compact_variants(spark: SparkSession, folder: str) -> DataFrame:
 def compact_products(spark: SparkSession, folder: str) -> DataFrame:
     k = F.col("p_partkey")
     p = table(spark, folder, "part").select(F.when(k % 2 == 0, k).alias("id"), k.alias("product_id"), F.lit(None).cast("string").alias("vendor_id"), F.col("p_brand").alias("vendor"), F.col("p_name").alias("name"), F.when(k % 3 == 0, "indica").when(k % 3 == 1, "hybrid").otherwise("?").alias("lineage"))
-    return storefront.compact_products(p, exotic=False)
+    return storefront.compact_products(p)
 
 
 @query("""SELECT p_brand AS vendor_id, arg_min(p_name, p_partkey) AS name FROM part WHERE p_size % 5 <> 0 AND p_brand <> 'Brand#3' GROUP BY p_brand""")

@@ -3,7 +3,7 @@ through structured data."""
 
 from __future__ import annotations
 
-import json
+import html as html_module
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.addresses import host, joined, product_address
-from millrace.functions.text import clean_text, column, strip_tags
+from millrace.functions.paths import parsed
+from millrace.functions.text import clean_text, column, plain_text, strip_tags, without_tags
 from millrace.operators.ranking import best_row
 
 #: The keys under which structured data nests products and offers.
@@ -43,7 +44,7 @@ def links(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     # Step by step: an address's parts are taken from one column, which is computed once.
     rows = rows.select(key, "place", "a", joined(url, href).alias("link")).where("link <> ''")
     rows = rows.select(key, "place", "a", product_address("link").alias("target")).where("target <> ''")
-    rows = rows.select(key, "place", "target", strip_tags("a", exotic=False).alias("label"))
+    rows = rows.select(key, "place", "target", plain_text(without_tags("a")).alias("label"))
     best = rows.groupBy(key, "target").agg(F.min(F.struct("place", "label")).alias("f"))
     return best.select(key, "f.place", "target", "f.label")
 
@@ -61,49 +62,63 @@ def sitemap_urls(files: DataFrame, key: str, xml: str) -> DataFrame:
     return rows.select(key, "place", product_address(clean_text("loc")).alias("target")).where("target <> ''").groupBy(key, "target").agg(F.min("place").alias("place"))
 
 
-def walk(node: object, depth: int = 0) -> Iterator[dict]:
-    """All objects of structured data, the outer before the inner, through the keys of NESTED."""
-    if isinstance(node, list):
-        for x in node:
-            yield from walk(x, depth)
-    elif isinstance(node, dict) and depth < 32:
-        yield node
-        for name in NESTED:
-            if name in node:
-                yield from walk(node[name], depth + 1)
-
-
-OFFER = pa.struct([("name", pa.string()), ("price", pa.string()), ("availability", pa.string()), ("url", pa.string()), ("size", pa.string())])
-
-
-def _offers(block: str) -> list[dict]:
-    """The offers of the products of one block."""
-    try:
-        data = json.loads(block)
-    except ValueError:
-        return []
-    out = []
-    for node in walk(data):
-        kind = node.get("@type")
-        if "Product" not in (kind if isinstance(kind, list) else [kind]):
-            continue
-        own = node.get("offers") or {}
-        for o in own if isinstance(own, list) else [own]:
-            o = o if isinstance(o, dict) else {}
-            for x in o["offers"] if isinstance(o.get("offers"), list) else [o]:  # an aggregate stands for its offers
-                x = x if isinstance(x, dict) else {}
-                price = next((x[k] for k in ("price", "lowPrice", "highPrice") if x.get(k) not in (None, "")), None)
-                out.append({"name": str(node.get("name") or ""), "price": None if price is None else str(price), "availability": str(x.get("availability") or "").rsplit("/", 1)[-1], "url": str(x.get("url") or node.get("url") or ""), "size": str(x.get("name") or node.get("size") or "")})
-    return out
-
-
-def structured_products(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, place, name, price, availability, url, size): the offers of Product objects in ld+json blocks, in order.
-    Broken blocks: none."""
+def walk(data: object) -> Iterator[dict]:
+    """All objects of structured data, the outer before the inner, through the keys of NESTED, at any depth."""
+    waiting = [data]
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, list):
+            waiting += reversed(node)
+        elif isinstance(node, dict):
+            yield node
+            waiting += [node[k] for k in reversed(NESTED) if isinstance(node.get(k), (dict, list))]
+
+
+def kinds(node: dict) -> set[str]:
+    """The types of an object, in lower case."""
+    own = node.get("@type")
+    return {str(x).lower() for x in (own if isinstance(own, list) else [own])}
+
+
+def _offers(product: dict, any_nested: bool) -> Iterator[dict]:
+    """A product's offers in order; an aggregate (or, if any_nested, any offer) that holds offers stands for these."""
+    waiting = [product.get("offers")]
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, list):
+            waiting += reversed(node)
+        elif isinstance(node, dict):
+            inner = node.get("offers")
+            if inner and isinstance(inner, (dict, list)) and (any_nested or "aggregateoffer" in kinds(node)):
+                waiting.append(inner)
+            else:
+                yield node
+
+
+PRICES = ("price", "lowPrice", "highPrice")
+OFFER = pa.struct([(n, pa.string()) for n in ("name", "price", "low_price", "high_price", "availability", "url", "size")])
+
+
+def _products(block: str, any_nested: bool) -> Iterator[dict]:
+    said = lambda x: None if x is None else str(x)
+    for node in walk(parsed(html_module.unescape(block.strip()))):
+        if "product" in kinds(node):
+            for o in list(_offers(node, any_nested)) or [{}]:
+                yield {
+                    "name": str(node.get("name") or ""), "price": said(next((o[k] for k in PRICES if o.get(k) not in (None, "")), None)), "low_price": said(o.get("lowPrice")), "high_price": said(o.get("highPrice")),
+                    "availability": str(o.get("availability") or "").rsplit("/", 1)[-1], "url": str(o.get("url") or node.get("url") or ""), "size": str(o.get("name") or o.get("size") or o.get("sku") or ""),
+                }
+
+
+def structured_offers(pages: DataFrame, key: str, html: str, any_nested: bool = True) -> DataFrame:
+    """(key, place, name, price, low_price, high_price, availability, url, size): the offers of Product objects in ld+json
+    blocks, in order; a product without any gives one row. price is the first given of an offer's price, low and high price.
+    An offer that holds offers stands for these, if any_nested, or only if it is an AggregateOffer. Types in any case,
+    entities in blocks decoded, graphs of any depth. Broken blocks: none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[o for block in blocks or [] for o in _offers(block)] for blocks in batch.column("blocks").to_pylist()]
+            found = [[o for block in blocks or [] for o in _products(block, any_nested)] for blocks in batch.column("blocks").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(OFFER))], names=[key, "offers"])
 
     blocks = F.regexp_extract_all(column(html), F.lit(r"(?is)<script[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"), F.lit(1))
@@ -113,6 +128,11 @@ def structured_products(pages: DataFrame, key: str, html: str) -> DataFrame:
     return found.select(key, F.posexplode("offers").alias("place", "o")).select(key, "place", "o.*")
 
 
+def structured_products(pages: DataFrame, key: str, html: str, any_nested: bool = True) -> DataFrame:
+    """As structured_offers, with one price."""
+    return structured_offers(pages, key, html, any_nested).drop("low_price", "high_price")
+
+
 def per_weight(offers: DataFrame, key: str, grams: Column) -> DataFrame:
     """Of a page's offers with a price one a package weight, the first by size text and address."""
     rows = offers.where("price IS NOT NULL").withColumn("grams", grams).where("grams IS NOT NULL")
