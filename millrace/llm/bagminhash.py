@@ -14,7 +14,8 @@ with it in most registers. This is no cap, as each large band whose nodes are no
 inside a class can add nothing, so every node outside the band's most common class is held against all others, in cells of
 a block of nodes by a block of nodes. A cell has the nodes' runs as 16-bit hashes, which never make a similarity smaller, and
 gives the links that join its classes up, at most one for each class. Should one of these fail on the bags themselves, its
-band gives all its links at once. So of the pairs that share a band and agree none is left out, each is looked at in the
+band is settled once more with 64-bit hashes of the runs, as the bags have them, so that links are true ones; again a cell gives at
+most one for each class. So of the pairs that share a band and agree none is left out, each is looked at in the
 first band that it shares, and rows grow with the nodes and not with their pairs.
 
 A pair of similarity 0.8 shares no band with probability 2e-4, and agrees in less than LEAST_AGREEMENT with 2e-6.
@@ -50,6 +51,8 @@ NEAREST = 3
 #: Nodes, and runs, that a block of a large group is meant to hold.
 CHUNK = 1024
 BLOCK_RUNS = 1 << 20
+#: Bits of a run's hash when a large group is first settled, 16 at most.
+SHORT_BITS = 16
 #: Pairs whose registers agree less than this are not verified; similar ones agree in 0.8, with a deviation of 0.031.
 LEAST_AGREEMENT = 0.65
 #: Rows of three numbers that may be sent to all executors (some 50 MB).
@@ -201,18 +204,19 @@ def _groups(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.unionByName(near).unionByName(stars).where("pivot <> node").distinct(), large.select("key", "node", "size")
 
 
-def _packed(texts: DataFrame) -> DataFrame:
-    """(node, bag): the runs of each text as sorted 16-bit hashes, a run that occurs n times giving n different ones."""
+def _packed(texts: DataFrame, wide: bool) -> DataFrame:
+    """(node, bag): the runs of each text as sorted hashes of 16 bits, or 64 if wide; a run that occurs n times gives n of them."""
+    bits = SHORT_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 owner, runs, counts, _, _ = bags(*flat(part.column("text")))
                 turn = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                short = mix(np.repeat(runs, counts) + turn.astype(U64) * MULT) & U64(0xFFFF)
+                short = mix(np.repeat(runs, counts) + turn.astype(U64) * MULT) & (U64(2 ** (64 if wide else bits) - 1))
                 whose = np.repeat(owner, counts)
                 order = np.lexsort((short, whose))
-                short, edges = short[order].astype("<u2"), np.searchsorted(whose, np.arange(len(part) + 1)).tolist()
+                short, edges = short[order].astype("<u8" if wide else "<u2"), np.searchsorted(whose, np.arange(len(part) + 1)).tolist()
                 yield pa.record_batch({"node": part.column("node"), "bag": pa.array([short[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())})
 
     return texts.select("node", "text").mapInArrow(run, "node long, bag binary")
@@ -230,9 +234,8 @@ def _unsettled(large: DataFrame, roots: DataFrame) -> DataFrame:
     return stored(known.select("key", "node", "size", "root", (F.col("root") != F.col("most")).alias("outer"), "blocks", "outers"), "unsettled", compression="zstd")
 
 
-def _links_between(known: DataFrame, sketches: DataFrame, every: bool) -> DataFrame:
-    """(key, pivot, node) of pairs of _unsettled rows whose packed bags are similar: all of them, or as many as join all
-    classes of a cell up."""
+def _links_between(known: DataFrame, sketches: DataFrame, wide: bool) -> DataFrame:
+    """(key, pivot, node) of pairs of _unsettled rows whose packed bags are similar: as many as join all classes of a cell up."""
     # A cell holds a block of all nodes and a block of the outer ones: nodes go to each block of outer ones, and these to each block.
     rows = known.withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks"))).withColumn("outer_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("outers") - 1)))
     asking = known.where("outer").withColumn("outer_block", F.pmod(F.xxhash64("key", "node"), F.col("outers"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -244,9 +247,11 @@ def _links_between(known: DataFrame, sketches: DataFrame, every: bool) -> DataFr
         x = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint8).reshape(len(node), -1)
         bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
         bags_ = table.column("bag").to_pylist()
-        runs = np.frombuffer(b"".join(bags_), "<u2").astype(np.int64)
-        ends = np.cumsum([len(b) // 2 for b in bags_])
-        starts = ends - np.array([len(b) // 2 for b in bags_])
+        each = 8 if wide else 2
+        runs = np.frombuffer(b"".join(bags_), f"<u{each}")
+        runs = runs if wide else runs.astype(np.int64)
+        ends = np.cumsum([len(b) // each for b in bags_])
+        starts = ends - np.array([len(b) // each for b in bags_])
         new = np.ones(len(runs), bool)
         new[1:] = runs[1:] != runs[:-1]
         new[starts] = True
@@ -261,18 +266,20 @@ def _links_between(known: DataFrame, sketches: DataFrame, every: bool) -> DataFr
             hit = hit[~(bands[hit, :earlier] == bands[i, :earlier]).any(1)]  # those are looked at in that band
             if not len(hit):
                 continue
-            count = np.bincount(runs[starts[i] : ends[i]], minlength=1 << 16)
-            n = ends[hit] - starts[hit]
+            mine, n = runs[starts[i] : ends[i]], ends[hit] - starts[hit]
             at = np.repeat(starts[hit] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            both = np.add.reduceat((count[runs[at]] > turn[at]).astype(np.int64), np.cumsum(n) - n)
+            if wide:
+                shared = mine[np.minimum(np.searchsorted(mine, runs[at]), len(mine) - 1)] == runs[at]
+            else:
+                shared = np.bincount(mine, minlength=1 << 16)[runs[at]] > turn[at]
+            both = np.add.reduceat(shared.astype(np.int64), np.cumsum(n) - n)
             share = both / (size[hit] + size[i] - both)
             hit, share = hit[share >= SIMILARITY], share[share >= SIMILARITY]
-            if not every:  # the most similar one of each class
-                order = np.lexsort((-share, root[hit]))
-                first = order[np.unique(root[hit][order], return_index=True)[1]]
-                hit, share = hit[first], share[first]
+            order = np.lexsort((-share, root[hit]))  # the most similar one of each class
+            first = order[np.unique(root[hit][order], return_index=True)[1]]
+            hit, share = hit[first], share[first]
             found += [(s, i, j) for s, j in zip(share.tolist(), hit.tolist(), strict=True)]
-        kept = found if every else spanning(found, root)
+        kept = spanning(found, root)
         return pa.table({"key": pa.array([key] * len(kept), pa.int64()), "pivot": pa.array([int(min(node[i], node[j])) for _, i, j in kept], pa.int64()), "node": pa.array([int(max(node[i], node[j])) for _, i, j in kept], pa.int64())})
 
     return cells.groupBy("key", "block", "outer_block").applyInArrow(compare, "key long, pivot long, node long")
@@ -367,14 +374,14 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs, large = _groups(nodes.select(F.explode("bands").alias("key"), "node", "size"), nodes)
     roots = components(_joined(_verify(stored(_agreeing(pairs, nodes), "asked"), docs, heads)))
     # Large bands that are not in one class yet: what joins their classes up.
-    for every in (False, True):
+    for wide in (False, True):
         known = _unsettled(large, roots)
         if known.isEmpty():
             break
         held = few(stored(known.select("node").distinct(), "held-nodes"))
-        sketches = nodes.select("node", "registers", "bands").join(held, "node", "left_semi").join(_packed(_texts(docs, heads, known)), "node")
+        sketches = nodes.select("node", "registers", "bands").join(held, "node", "left_semi").join(_packed(_texts(docs, heads, known), wide), "node")
         sketches = stored(sketches, "sketches")
-        asked = stored(_links_between(known, sketches, every), "asked")
+        asked = stored(_links_between(known, sketches, wide), "asked")
         if asked.isEmpty():
             break
         verified = _verify(asked, docs, heads)

@@ -231,3 +231,24 @@ def test_every_code_within_the_radius_is_found():
     bits = np.bitwise_count(codes ^ codes[0]).sum(1)
     for radius in (0, 1, 31, 32, 40, 63, 100, 128, 256):
         assert nearest.Index(codes, radius).within(codes[0]).tolist() == np.flatnonzero(bits <= radius).tolist()
+
+
+def test_bagminhash_second_pass_is_exact_and_spanning(spark, monkeypatch):
+    """With hashes so short that nearly all links of the first pass are wrong, the second pass finds the classes."""
+    from millrace.llm import bagminhash
+
+    r, own = random.Random(9), []
+    for i in range(120):
+        w = [f"w{j}" for j in range(200)]
+        for _ in range(r.randint(2, 6)):
+            w[r.randrange(200)] = f"x{r.randrange(10**9)}"
+        own.append((i, " ".join(w)))
+    docs = spark.createDataFrame(own, "doc_id long, text string")
+    want = {x.doc_id: x.class_id for x in bagminhash.classes(docs).collect()}
+    passes, links = [], bagminhash._links_between
+    monkeypatch.setattr(bagminhash, "SHORT_BITS", 7)
+    monkeypatch.setattr(bagminhash, "NEAREST", 1)
+    monkeypatch.setattr(bagminhash, "_links_between", lambda known, sketches, wide: passes.append((wide, (found := links(known, sketches, wide)).count(), known.select("key").distinct().count())) or found)
+    assert {x.doc_id: x.class_id for x in bagminhash.classes(docs).collect()} == want
+    assert [wide for wide, _, _ in passes] == [False, True]
+    assert passes[1][1] < 120 * passes[1][2]  # for each band fewer links than nodes
