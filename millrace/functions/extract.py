@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import column, search_key
+from millrace.functions.positions import around, cut, let, spots
+from millrace.functions.text import clean_text, column, search_key
 
 # Package labels and their grams.
 GRAMS = r"(?i)(?<![\d.-])(0\.5|1|2|3\.5|4|7|14|28|56|112)\s*(?:g|grams?)\b"
@@ -97,3 +100,66 @@ def distinct_items(items: Column, most: int = 12, longest: int = 80) -> Column:
     tidy = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: (x != "") & (F.length(x) <= longest))
     keyed = F.array_distinct(F.transform(tidy, lambda x: F.lower(x)))
     return F.slice(F.transform(keyed, lambda k: F.try_element_at(F.filter(tidy, lambda x: F.lower(x) == k), F.lit(1))), 1, most)
+
+
+# Effects by their patterns, what introduces effects, and what denies one that follows.
+EFFECTS = [
+    ("Relaxed", r"\b(?:relax(?:ed|ing|ation)|body relaxation)\b"), ("Calm", r"\b(?:calm(?:ing|ed)?|soothing)\b"), ("Uplifted", r"\b(?:uplift(?:ed|ing)|mood elevation)\b"), ("Euphoric", r"\b(?:euphori(?:a|c))\b"),
+    ("Energetic", r"\b(?:energetic|energiz(?:e|es|ed|ing)|energy boost|(?:uplifting|invigorating|cerebral) energy)\b"), ("Focused", r"\b(?:focus(?:ed)?|mental focus|concentration)\b"), ("Creative", r"\b(?:creative|creativity)\b"),
+    ("Happy", r"\b(?:happy|happiness|cheerful)\b"), ("Social", r"\b(?:social|sociable|talkative)\b"), ("Sleepy", r"\b(?:sleepy|sleepiness|bedtime|sleep support)\b"), ("Sedating", r"\b(?:sedat(?:e|ed|ing|ion)|couch[- ]lock)\b"),
+    ("Appetite", r"\b(?:appetite|hungry|hunger|munchies)\b"), ("Mental clarity", r"\b(?:mental clarity|clear[- ]headed)\b"), ("Pain relief", r"\b(?:pain relief|reliev(?:e|es|ed|ing) pain)\b"),
+    ("Stress relief", r"\b(?:stress relief|reliev(?:e|es|ed|ing) stress)\b"), ("Tension relief", r"\b(?:tension relief|eas(?:e|es|ed|ing) tension)\b"),
+]
+EFFECT_CONTEXT = r"(?iU)\b(?:effects?(?:\s+of\s+[^.!?]{0,80})?|experience|delivers?|offers?|provides?|promotes?|supports?|known for|ideal for|great for)\b"
+EFFECT_DENIED = r"(?iU)\b(?:without|not|non|no)\s+(?:\w+\s+){0,2}$"
+MOST_EFFECTS, BEFORE_CONTEXT, AFTER_CONTEXT, LOOK_BACK = 12, 40, 420, 35
+
+
+def effects_in(context: Column) -> Column:
+    """The effects that a text names and that nothing within LOOK_BACK characters before denies, in the order of EFFECTS."""
+
+    def named(pattern: str) -> Column:
+        found = F.when(context.rlike(pattern), spots(context, pattern))
+        return F.coalesce(F.exists(found, lambda s: ~cut(context, s["start"] - LOOK_BACK, s["start"]).rlike(EFFECT_DENIED)), F.lit(False))
+
+    return F.slice(ordered_tags([(name, named("(?iU)" + p)) for name, p in EFFECTS]), 1, MOST_EFFECTS)
+
+
+def effects(df: DataFrame, text: str, name: str = "effects") -> DataFrame:
+    """Adds the effects that a text speaks of: those named in the windows around what introduces effects."""
+    rows = df.withColumn("__clean", clean_text(text))
+    rows = rows.withColumn("__context", F.array_join(around(F.col("__clean"), spots(F.col("__clean"), EFFECT_CONTEXT), BEFORE_CONTEXT, AFTER_CONTEXT), " "))
+    return rows.withColumn(name, effects_in(F.col("__context"))).drop("__clean", "__context")
+
+
+_JOIN, _MARK = r"(?:\s*[|\-–—_:]+\s*|\s+)", r"\s*[|\-–—_:]+\s*"
+# What may end a product's name, in the order in which it is taken off, and marketing words.
+NAME_ENDINGS = [
+    _JOIN + r"tier\s+\d+\s*$", _JOIN + r"(?:smalls|minis|small\s+buds|premium\s+buds|whole\s+flower)\s*$", _JOIN + r"(?:indoor|outdoor|greenhouse|mixed\s+light)\s*$",
+    _JOIN + r"(?:limited\s+drop|new\s+drop|best\s+seller|staff\s+pick|exotic|premium|sale)\s*$", _JOIN + r"(?:premium\s+)?(?:high\s+)?thc-?a(?:\s+(?:hemp\s+)?flower)?\s*$", _JOIN + r"(?:hemp\s+)?flower\s*$",
+    _MARK + r"(?:0\.5|1|2|3\.5|4|7|14|28|56|112)\s*(?:g|grams?)\s*$|" + _MARK + r"(?:1/8|1/4|1/2|1|2|4)\s*(?:oz|ounces?)?\s*$|" + _MARK + r"(?:eighth|quarter|half\s+ounce|half[- ]?oz|ounce|one\s+ounce|two\s+ounces?|four\s+ounces?|zip)\s*$",
+    _MARK + r"(?:premium\s+)?(?:high\s+)?thc-?a\s+(?:hemp\s+)?flower\s*$", r"\s*\((?:indoor|outdoor|greenhouse|mixed\s+light)\)\s*$", _MARK + r"(?:indoor|outdoor|greenhouse|mixed\s+light)\s*$",
+    _MARK + r"(?:smalls|minis|small\s+buds|premium\s+buds|whole\s+flower)\s*$", r"\s+thc-?a\s+(?:hemp\s+)?flower\s*$", r"\s+(?:hemp\s+)?flower\s*$", _MARK + r"(?:limited\s+drop|new\s+drop|best\s+seller|staff\s+pick|exotic|premium|sale)\s*$",
+]
+
+
+def _without(name: Column, pattern: str) -> Column:
+    """The name without this ending, if a name is left."""
+    left = lambda n: F.btrim(F.regexp_replace(n, "(?iU)" + pattern, ""), F.lit(" |-_–—:"))
+    return let(name, lambda n: let(left(n), lambda x: F.when(x != "", x).otherwise(n)))
+
+
+def canonical_names(df: DataFrame, title: str, variant: str, name: str = "name") -> DataFrame:
+    """Adds a product's name: its title without the variant's own label at the end, then without NAME_ENDINGS, again and again
+    until nothing changes. A name is never emptied. Rounds are at most as many as the title has characters."""
+    rows = df.withColumns({"__t": clean_text(title), "__v": clean_text(variant)})
+    ends = (F.col("__v") != "") & F.endswith(search_key("__t"), search_key("__v"))
+    length = F.length("__t") - F.length("__v")
+    # The label as it is written there; a title that ends in it only after folding stays.
+    same = ends & (length >= 0) & (F.lower(F.substring("__t", length + 1, F.length("__v"))) == F.lower("__v"))
+    own = F.rtrim(F.regexp_replace(F.substring("__t", F.lit(1), length), r"(?:[|\-–—_:]+\s*)?$", ""))
+    rows = rows.withColumn("__n", F.when(same, own).otherwise(F.col("__t")))
+    begin = F.struct(F.col("__n").alias("n"), F.lit(False).alias("done"))
+    step = lambda a, _: F.when(a["done"], a).otherwise(let(reduce(_without, NAME_ENDINGS, a["n"]), lambda m: F.struct(m.alias("n"), (m == a["n"]).alias("done"))))
+    fixed = F.aggregate(F.sequence(F.lit(0), F.length("__n")), begin, step, lambda a: a["n"])
+    return rows.withColumn(name, F.coalesce(F.nullif(fixed, F.lit("")), F.col("__t"))).drop("__t", "__v", "__n")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.extract import POUND_GRAMS, POUNDS, WORD_POUNDS, label_grams, lookup, stock, weight
-from millrace.functions.text import clean_text, column
+from millrace.functions.text import column, plain_text
 from millrace.operators import gates
 
 
@@ -19,7 +19,7 @@ def store_price(sale: Column, price: Column, regular: Column, minor_unit: Column
 
 def variation_label(variation: Column, attributes: Column, name: Column, parent: Column) -> Column:
     """The stated label, else the attributes' values, else what the name adds to its parent's."""
-    own, values, n, p = clean_text(variation, False), F.array_join(F.filter(attributes, lambda v: F.trim(v) != ""), " / "), clean_text(name, False), clean_text(parent, False)
+    own, values, n, p = plain_text(variation), F.array_join(F.filter(attributes, lambda v: F.trim(v) != ""), " / "), plain_text(name), plain_text(parent)
     rest = F.when((p != "") & F.startswith(F.lower(n), F.lower(p)), F.regexp_replace(F.substring(n, F.length(p) + 1, F.length(n)), r"^[ \-–—:]+", "")).otherwise(n)
     return F.when(own != "", own).when(F.coalesce(values, F.lit("")) != "", values).otherwise(rest)
 
@@ -65,7 +65,7 @@ def flower_rows(df: DataFrame) -> DataFrame:
     tried = []
     for field in WEIGHT_FIELDS:
         if field in df.columns:
-            text = clean_text(field, False)
+            text = plain_text(field)
             agreed = weight(direct, text)
             grams = F.coalesce(F.when(agreed["method"].isin("agreed", "label"), agreed["grams"]), pound_repair(direct, text))
             tried.append(F.when((text != "") & grams.isNotNull(), F.struct(grams.alias("grams"), label_grams(text)["label"].alias("label"))))

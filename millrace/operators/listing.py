@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.addresses import joined, product_address
-from millrace.functions.text import column, strip_tags
+from millrace.functions.positions import cut, spots
+from millrace.functions.text import column, decoded, plain_text, without_tags
 
 #: Labels that name no product.
 EMPTY_LABELS = ["options", "view product", "learn more", "shop now", "add to cart"]
@@ -36,17 +37,16 @@ def more_links(found: DataFrame, others: DataFrame, key: str) -> DataFrame:
 def windows(pages: DataFrame, key: str, url: str, html: str, marker: str, before: int = 900, after: int = 3200, beyond: int = 700) -> DataFrame:
     """(key, place, target, window): the page's text around each link to a product, from `before` characters ahead of it to
     `after` behind it, and no further than `beyond` into the next one."""
-    hrefs = F.regexp_extract_all(column(html), F.lit(marker), F.lit(0))
-    rows = pages.select(key, url, column(html).alias("__h"), hrefs.alias("__all"), F.split(column(html), marker).alias("__between"))
-    # The start of each match: the lengths of what lies before it.
-    rows = rows.select(key, url, "__h", F.posexplode("__all").alias("place", "match"), "__all", "__between")
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
-    rows = rows.withColumn("start", total(F.slice("__between", 1, F.col("place") + 1)) + total(F.slice("__all", 1, F.col("place"))))
-    following = F.lead("start").over(Window.partitionBy(key).orderBy("place"))
-    rows = rows.withColumn("end", F.col("start") + F.length("match")).withColumn("next", following)
-    first, last = F.greatest(F.lit(0), F.col("start") - before), F.least(F.length("__h"), F.col("end") + after, F.coalesce(F.col("next") + beyond, F.lit(1 << 30)))
-    target = product_address(joined(url, F.regexp_extract("match", marker, 1)))
-    return rows.select(key, "place", target.alias("target"), F.substring(F.col("__h"), first + 1, last - first).alias("window"))
+    rows = pages.select(key, url, column(html).alias("__h")).withColumn("__spots", spots(F.col("__h"), marker))
+
+    def window(s: Column, i: Column) -> Column:
+        following = F.get("__spots", i + 1)["start"]
+        last = F.least(s["end"] + after, F.coalesce(following + beyond, F.lit(1 << 30)))
+        return F.struct(cut(F.col("__h"), s["start"], s["end"]).alias("match"), cut(F.col("__h"), s["start"] - before, last).alias("window"))
+
+    rows = rows.select(key, url, F.transform("__spots", window).alias("__cut")).select(key, url, F.posexplode("__cut").alias("place", "w"))
+    target = product_address(joined(url, F.regexp_extract("w.match", marker, 1)))
+    return rows.select(key, "place", target.alias("target"), "w.window")
 
 
 def first_filled(rows: DataFrame, keys: list[str], order: str, fields: list[str]) -> DataFrame:
@@ -78,7 +78,7 @@ def first_route(rows: DataFrame, source: str, route: str) -> DataFrame:
 def admitted(df: DataFrame, excluded: str, wanted: str, proof: str, ambiguous: str, context: str, explicit: str) -> DataFrame:
     """Rows (name, description, url, route_url) that are a product of the kind wanted: not excluded, wanted, proved by text or
     route, and where the form is in doubt, named so in the title."""
-    text = F.concat_ws(" ", strip_tags("name", False), strip_tags("description", False))
+    text = F.concat_ws(" ", plain_text(without_tags(decoded("name"))), plain_text(without_tags(decoded("description"))))
     rows = df.withColumn("__t", text)
     t, unclear = F.col("__t"), F.col("__t").rlike(ambiguous) & F.col("__t").rlike(context)
     ok = (F.trim(column("name")) != "") & (F.trim(column("url")) != "") & ~t.rlike(excluded) & t.rlike(wanted) & (t.rlike(proof) | F.lower(column("route_url")).contains("thca"))

@@ -55,3 +55,25 @@ def latest_attempts(df: DataFrame, keys: list[str], order: list[Column], ok: Col
     """Of each key how many attempts there were, and the last one's outcome."""
     rank = F.struct(*order)
     return df.groupBy(*keys).agg(F.count("*").alias("attempts"), F.max_by(ok, rank).alias("recovered"), F.count_if(~ok).alias("failures"))
+
+
+def certification(df: DataFrame) -> DataFrame:
+    """(gate, measured, passed) of one row of measurements: how many known positives, negatives and ambiguous cases there are and
+    were judged rightly, identity_overlap and duplicate_rate in percent, the regressions of coverage in points, and whether
+    replay, evidence and routes hold; shadow_passed only where it is not null. Without cases a rate is 0."""
+    share = lambda part, whole: F.coalesce(F.round(F.try_divide(F.col(part).cast("decimal(20,6)") * 100, F.col(whole)), 3), F.lit(0)).cast("double")
+    exact = lambda part, whole, least: (F.col(whole) > 0) & (F.col(part) * 100 >= F.col(whole) * least)
+    flag = lambda c: (F.coalesce(F.col(c), F.lit(False)).cast("int"), F.coalesce(F.col(c), F.lit(False)))
+    number = lambda c, test: (F.col(c), F.coalesce(test(F.col(c)), F.lit(False)))
+    gates = {
+        "evidence_integrity": flag("evidence_integrity"), "source_route_match": flag("source_route_match"),
+        **{f"{k}_evidence_present": number(f"{k}_total", lambda c: c > 0) for k in ("positive", "negative", "ambiguous")},
+        "known_positive_recall": (share("positive_accepted", "positive_total"), exact("positive_accepted", "positive_total", 98)),
+        "known_negative_precision": (share("negative_rejected", "negative_total"), exact("negative_rejected", "negative_total", 100)),
+        "ambiguous_fail_closed": (share("ambiguous_closed", "ambiguous_total"), exact("ambiguous_closed", "ambiguous_total", 100)),
+        "identity_continuity": number("identity_overlap", lambda c: c >= 98), "duplicate_rate": number("duplicate_rate", lambda c: c < 1),
+        "required_field_coverage": number("required_regression", lambda c: c >= 0), "optional_field_coverage": number("optional_regression", lambda c: c >= -2), "replay_deterministic": flag("replay_deterministic"),
+        "shadow_live": flag("shadow_passed"),
+    }
+    rows = gate_rows(df.select("*"), [(name, m, p) for name, (m, p) in gates.items() if name != "shadow_live"])
+    return rows.unionByName(gate_rows(df.where("shadow_passed IS NOT NULL"), [("shadow_live", *gates["shadow_live"])]))

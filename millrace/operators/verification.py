@@ -189,3 +189,30 @@ def cached_state(df: DataFrame, generation: str, now: Column, most_age: int = 18
         ("hash", ~F.coalesce(F.col("hash_ok"), F.lit(False))), ("future", ahead > most_ahead), ("expired", ~F.coalesce(within(age, None, most_age), F.lit(False))),
     ]
     return df.withColumn("code", F.coalesce(gates.first_failing(rules), F.lit("ok")))
+
+
+def cached_generation(df: DataFrame, now: Column, most_age: int = 1800, most_ahead: int = 60) -> DataFrame:
+    """Adds code, the first of the fixed codes by which a cached generation is refused or "valid", and accepted: whether it is
+    valid and young enough. Columns: corruption_code, generation_id, manifest (struct with schema_ok and generation_id), index
+    (struct with generation_id, product_count and products, an array of structs with product_id and variants), cached_at,
+    generated_at. A null value is a missing one; a row whose generation_id, manifest and index are all null is no value.
+
+    Of the products the first that breaks a rule decides. Young: neither time lies more than most_ahead seconds ahead, and the
+    older one at most most_age seconds back and not ahead."""
+    own, manifest, index = F.trim(F.coalesce("generation_id", F.lit(""))), F.col("manifest"), F.col("index")
+    no_id = lambda p: p.isNull() | (F.trim(F.coalesce(p["product_id"], F.lit(""))) == "")
+    broken = F.get(F.filter(F.transform(index["products"], lambda p: F.when(no_id(p), "cache_product_invalid").when(p["variants"].isNull(), "cache_variants_invalid")), lambda c: c.isNotNull()), F.lit(0))
+    false = F.lit(False)
+    rules = [
+        ("cache_value_invalid", F.col("generation_id").isNull() & manifest.isNull() & index.isNull() & F.col("corruption_code").isNull()), (None, F.col("corruption_code").isNotNull()),
+        ("cache_generation_id_missing", own == ""), ("cache_manifest_invalid", ~F.coalesce(manifest["schema_ok"], false)), ("cache_generation_mismatch", ~F.coalesce(manifest["generation_id"] == own, false)),
+        ("cache_index_invalid", index.isNull()), ("cache_generation_mismatch", ~F.coalesce(index["generation_id"] == own, false)), ("cache_products_invalid", index["products"].isNull()),
+        ("cache_product_count_mismatch", F.coalesce(index["product_count"] != F.size(index["products"]), false)), (broken, broken.isNotNull()),
+    ]
+    code = F.lit("valid")
+    for name, hit in reversed(rules):
+        code = F.when(hit, F.col("corruption_code") if name is None else F.lit(name) if isinstance(name, str) else name).otherwise(code)
+    at = [F.col(c).cast("long") for c in ("cached_at", "generated_at")]
+    age = now.cast("long") - F.least(*at)
+    young = at[0].isNotNull() & at[1].isNotNull() & (F.greatest(*at) <= now.cast("long") + most_ahead) & age.between(0, most_age)
+    return df.withColumn("code", code).withColumn("accepted", (F.col("code") == "valid") & F.coalesce(young, false))

@@ -1,6 +1,6 @@
 """Registered queries, each with its DuckDB equivalent."""
 
-from millrace.plans import admission, extraction, joins, ledgers, publishing, records, reports, search, storefront, verifying
+from millrace.plans import admission, extraction, joins, ledgers, publishing, records, reports, search, storefront, structure, verifying
 from millrace.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "admission", "extraction", "joins", "ledgers", "publishing", "records", "reports", "search", "storefront", "verifying"]
+__all__ = ["ORACLES", "QUERIES", "admission", "extraction", "joins", "ledgers", "publishing", "records", "reports", "search", "storefront", "structure", "verifying"]

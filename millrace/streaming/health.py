@@ -62,6 +62,17 @@ def invalid_steps(states: DataFrame, keys: list[str], order: list) -> DataFrame:
     return steps.join(F.broadcast(edges(states.sparkSession)), ["from_state", "to_state"], "left_anti")
 
 
+def after(state: str, failures: int, signal: bool, hard: bool, blocked: bool, retired: bool) -> str:
+    """The rule of decided(), for one row."""
+    if state == "retired" or retired:
+        return "retired"
+    if blocked:
+        return "blocked"
+    if hard or failures >= MOST_FAILURES:
+        return "quarantined"
+    return "degraded" if signal else "healthy"
+
+
 class HealthProcessor(StatefulProcessor):
     """Keeps each key's run of failures and state; gives a row for every change of state.
 
@@ -78,14 +89,7 @@ class HealthProcessor(StatefulProcessor):
             out = []
             for row in chunk.sort_values(["ts", "event_id"]).itertuples():
                 failures = failures + 1 if row.failed else 0
-                if state == "retired" or row.retired:
-                    new = "retired"
-                elif row.blocked:
-                    new = "blocked"
-                elif row.hard or failures >= MOST_FAILURES:
-                    new = "quarantined"
-                else:
-                    new = "degraded" if row.signal else "healthy"
+                new = after(state, failures, row.signal, row.hard, row.blocked, row.retired)
                 if new != state:
                     out.append((key[0], row.event_id, state, new))
                 state = new
@@ -96,6 +100,61 @@ class HealthProcessor(StatefulProcessor):
         pass
 
 
+class OrderedHealthProcessor(StatefulProcessor):
+    """As HealthProcessor, but in order of event time: rows are held until the watermark has passed them and then taken in
+    order of ts and event_id, so that a late row, within the delay, counts where it belongs.
+
+    Each row's time has a timer; a timer takes all held rows up to its time. What a key holds is what the delay spans.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "failures int, state string")
+        self.held = handle.getListState("held", "ms long, event_id long, failed boolean, signal boolean, hard boolean, blocked boolean, retired boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for chunk in rows:
+            times = (chunk["ts"].astype("datetime64[us]").astype("int64") // 1000).tolist()
+            self.held.appendList([(ms, int(r.event_id), bool(r.failed), bool(r.signal), bool(r.hard), bool(r.blocked), bool(r.retired)) for ms, r in zip(times, chunk.itertuples(), strict=True)])
+            for ms in set(times):
+                self.handle.registerTimer(ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto = expiredTimerInfo.getExpiryTimeInMs()
+        rows = sorted(tuple(r) for r in self.held.get())
+        failures, state = self.kept.get() if self.kept.exists() else (0, "probing")
+        out = []
+        for _, event_id, *flags in (r for r in rows if r[0] <= upto):
+            failed, signal, hard, blocked, retired = flags
+            failures = failures + 1 if failed else 0
+            new = after(state, failures, signal, hard, blocked, retired)
+            if new != state:
+                out.append((key[0], event_id, state, new))
+            state = new
+        later = [r for r in rows if r[0] > upto]
+        if later:
+            self.held.put(later)
+        else:
+            self.held.clear()
+        self.kept.update((failures, state))
+        yield pd.DataFrame(out, columns=["key", "event_id", "from_state", "to_state"])
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_changes(events: DataFrame, key: str, delay: str) -> DataFrame:
+    """A stream of changes of state as from stream_changes, of rows in order of event time: each is taken once the watermark, which
+    lies `delay` behind the latest row, has passed it. Rows later than that are dropped. It equals next_state over the rows
+    that the watermark has passed, whatever the order in which they came."""
+    for name in ("hard", "blocked", "retired"):
+        if name not in events.columns:
+            events = events.withColumn(name, F.lit(False))
+    rows = events.withWatermark("ts", delay)
+    return rows.groupBy(key).transformWithStateInPandas(OrderedHealthProcessor(), "key long, event_id long, from_state string, to_state string", "Append", "EventTime")
+
+
 def stream_changes(events: DataFrame, key: str) -> DataFrame:
     """A stream of changes of state from a stream (key, event_id, ts, failed, signal, hard, blocked, retired); the last
     three may be missing. Needs a state store for several columns (RocksDB)."""
