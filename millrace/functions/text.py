@@ -6,7 +6,7 @@ import html
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,7 @@ from millrace.functions.entities import unescape
 Text = Column | str
 
 _SPACES = r"[\s\p{Z}]+"
+_SEPARATING = r"[\p{P}\p{S}\s]+"
 #: The commonest entities, which built-in functions decode.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&amp;": "&"}
 #: What these do not do: characters beyond printable ASCII, and other entities. Searched for, as a pattern of whole texts
@@ -104,7 +105,15 @@ def search_key(c: Text) -> Column:
 def search_text(c: Text) -> Column:
     """In lower case, decomposed and without accents, with all punctuation and symbols as blanks: what the faceted search
     compares. One folding for every search."""
-    return F.trim(F.regexp_replace(F.lower(unmarked(c)), r"[\p{P}\p{S}\s]+", " "))
+    return F.trim(F.regexp_replace(F.lower(unmarked(c)), _SEPARATING, " "))
+
+
+def with_search_text(df: DataFrame, c: str, name: str) -> DataFrame:
+    """Adds search_text(c). Only rows whose text built-in functions cannot fold are read by Python; the table is read once for
+    these and once for the others, so use it where texts are long and few are hard, and search_text itself elsewhere."""
+    easy = ~column(c).rlike(_UNFOLDABLE)
+    plain = F.trim(F.regexp_replace(F.lower(F.translate(column(c), _FROM + _MARKS, _TO)), _SEPARATING, " "))
+    return df.where(easy).withColumn(name, plain).unionByName(df.where(~easy).withColumn(name, search_text(c)))
 
 
 def without_tags(c: Text) -> Column:

@@ -115,9 +115,13 @@ def mapped_category(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "customer").select("c_custkey", v.alias("v")).select("c_custkey", "v.*")
 
 
-@query(r"""SELECT doc_id, list_max(list_transform(regexp_extract_all(text, '(\d{1,3})\s*%', 1), lambda x: CAST(x AS DOUBLE))) AS percent FROM documents WHERE regexp_matches(text, '\d\s*%')""")
+_SHARES = "concat(text, CASE WHEN doc_id % 3 = 0 THEN concat(' then ', doc_id % 120, '.5 % and ', doc_id % 7, '%, 1000%') WHEN doc_id % 3 = 1 THEN ' none % here' ELSE '' END)"
+
+
+@query(rf"""SELECT doc_id, list_max(list_transform(regexp_extract_all({_SHARES}, '(\d{{1,3}}(?:\.\d+)?)\s*%', 1), lambda x: CAST(x AS DOUBLE))) AS percent FROM documents""")
 def largest_percents(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "documents").where(F.col("text").rlike(r"\d\s*%"))
+    """The largest percentage of each document, null where there is none."""
+    d = table(spark, folder, "documents").selectExpr("doc_id", f"{_SHARES} AS text")
     return d.select("doc_id", largest_percent("text").alias("percent"))
 
 
@@ -145,13 +149,14 @@ def clean_texts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.md5(text.clean_text(t)).alias("clean_md5"))
 
 
-@query("""WITH RECURSIVE d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS bytes, CAST(CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 32 AS INTEGER) AS bucket FROM documents),
+@query("""WITH RECURSIVE d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS bytes, CAST(CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % (SELECT greatest(32, CAST(ceil(sum(octet_length(encode(coalesce(text, '')))) / 67108864.0) AS BIGINT)) FROM documents) AS INTEGER) AS bucket FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY doc_id) AS n FROM d),
 s AS (SELECT doc_id, bytes, bucket, n, 0 AS segment, bytes AS used FROM r WHERE n = 1
 UNION ALL SELECT r.doc_id, r.bytes, r.bucket, r.n, CASE WHEN s.used + r.bytes > 262144 THEN s.segment + 1 ELSE s.segment END, CASE WHEN s.used + r.bytes > 262144 THEN r.bytes ELSE s.used + r.bytes END FROM s JOIN r ON r.bucket = s.bucket AND r.n = s.n + 1)
 SELECT doc_id, bucket, CAST(bytes AS INTEGER) AS bytes, CAST(segment AS INTEGER) AS segment FROM s""")
 def byte_segments(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents dealt by a hash of their identity to buckets, and in each to segments of at most 256 KiB."""
-    bucket = hashing.bucket(F.sha2(F.col("doc_id").cast("string"), 256), 32)
-    d = table(spark, folder, "documents").select("doc_id", bucket.alias("bucket"), F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"))
+    """Documents dealt by a hash of their identity to buckets of some 64 MiB, 32 at least, and in each to segments of at most 256 KiB."""
+    d = table(spark, folder, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"))
+    buckets = max(32, -(-(d.agg(F.sum("bytes")).first()[0] or 0) // (64 << 20)))
+    d = d.select("doc_id", hashing.bucket(F.sha2(F.col("doc_id").cast("string"), 256), buckets).alias("bucket"), "bytes")
     return fit_segments(d, "bucket", ["doc_id"], "bytes", 1 << 18)

@@ -153,10 +153,10 @@ def invalid_transitions(spark: SparkSession, folder: str) -> DataFrame:
     return health.invalid_steps(_states(spark, folder), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", "from_state", "to_state")
 
 
-@query("""SELECT user_id, event_type, count(*) AS attempts, arg_max(value >= 5, (ts, event_id)) AS recovered, count(*) FILTER (WHERE NOT value >= 5) AS failures FROM events WHERE event_type IN ('error', 'view') GROUP BY user_id, event_type""")
+@query("""SELECT user_id, event_type, count(*) AS attempts, arg_max(value >= 5, (ts, event_id)) AS recovered, count(*) FILTER (WHERE NOT value >= 5) AS failures FROM events GROUP BY user_id, event_type""")
 def retry_terminal(spark: SparkSession, folder: str) -> DataFrame:
     """The last attempt of each route decides."""
-    e = table(spark, folder, "events").where(F.col("event_type").isin("error", "view"))
+    e = table(spark, folder, "events")
     return reports.latest_attempts(e, ["user_id", "event_type"], [F.col("ts"), F.col("event_id")], F.col("value") >= 5)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.text import natural_key, search_text
+from millrace.functions.text import natural_key, search_text, with_search_text
 from millrace.operators.offers import SORTS, Request, choose, order, page, search
 from millrace.operators.segments import offsets
 from millrace.plans.registry import query
@@ -121,4 +121,4 @@ def text_search(spark: SparkSession, folder: str) -> DataFrame:
 @query(r"""SELECT doc_id, trim(regexp_replace(strip_accents(lower(text)), '[\p{P}\p{S}\s]+', ' ', 'g')) AS key FROM documents""")
 def document_search_text(spark: SparkSession, folder: str) -> DataFrame:
     """Whole texts folded for search: accents and case gone, punctuation and symbols as blanks."""
-    return table(spark, folder, "documents").select("doc_id", search_text("text").alias("key"))
+    return with_search_text(table(spark, folder, "documents").select("doc_id", "text"), "text", "key").drop("text")

@@ -67,14 +67,14 @@ def inferred_types(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select(F.coalesce(t, F.lit("none")).alias("type")).groupBy("type").agg(F.count("*").alias("rows"))
 
 
-@query("""WITH p AS (SELECT p_partkey, p_brand AS vendor, p_name AS name, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_size END AS price, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_retailprice END AS comparison_price, p_size % 7 AS completeness_score FROM part WHERE p_type = 'PROMO' AND contains(lower(p_name), 'in'))
+@query("""WITH p AS (SELECT p_partkey, p_brand AS vendor, p_name AS name, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_size END AS price, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_retailprice END AS comparison_price, p_size % 7 AS completeness_score FROM part WHERE contains(lower(p_brand || chr(10) || p_name), 'in'))
 SELECT * FROM (SELECT 'price_asc' AS sort, p_partkey, CAST(row_number() OVER (ORDER BY price NULLS LAST, p_partkey) AS INTEGER) AS place FROM p UNION ALL SELECT 'price_desc', p_partkey, CAST(row_number() OVER (ORDER BY price DESC NULLS LAST, p_partkey) AS INTEGER) FROM p UNION ALL SELECT 'metric_asc', p_partkey, CAST(row_number() OVER (ORDER BY comparison_price NULLS LAST, p_partkey) AS INTEGER) FROM p
  UNION ALL SELECT 'metric_desc', p_partkey, CAST(row_number() OVER (ORDER BY comparison_price DESC NULLS LAST, p_partkey) AS INTEGER) FROM p UNION ALL SELECT 'completeness_desc', p_partkey, CAST(row_number() OVER (ORDER BY completeness_score DESC NULLS LAST, p_partkey) AS INTEGER) FROM p UNION ALL SELECT 'name', p_partkey, CAST(row_number() OVER (ORDER BY name, p_partkey) AS INTEGER) FROM p) WHERE place <= 25""")
 def typed_lists(spark: SparkSession, folder: str) -> DataFrame:
     """The first 25 rows of a typed list in its six orders (a top-k report): nulls last in both directions."""
     k = F.col("p_partkey")
-    p = table(spark, folder, "part").where("p_type = 'PROMO'").select(k, F.col("p_brand").alias("vendor"), F.col("p_name").alias("name"), F.lit("").alias("species"), F.when(k % 4 != 0, F.col("p_size")).alias("price"), F.when(k % 3 != 0, F.col("p_retailprice")).alias("comparison_price"), (F.col("p_size") % 7).alias("completeness_score"))
-    rows, out = storefront.typed_filter(p, text=" IN ").where(F.lower("name").contains("in")), None
+    p = table(spark, folder, "part").select(k, F.col("p_brand").alias("vendor"), F.col("p_name").alias("name"), F.lit("").alias("species"), F.when(k % 4 != 0, F.col("p_size")).alias("price"), F.when(k % 3 != 0, F.col("p_retailprice")).alias("comparison_price"), (F.col("p_size") % 7).alias("completeness_score"))
+    rows, out = storefront.typed_filter(p, text=" IN "), None
     for sort in (*storefront.TYPED_SORTS, "name"):
         order = storefront.typed_order(sort, "name", "p_partkey")
         part = rows.orderBy(*order).limit(25).select(F.lit(sort).alias("sort"), "p_partkey", F.row_number().over(Window.orderBy(*order)).alias("place"))  # over 25 rows

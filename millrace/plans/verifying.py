@@ -70,18 +70,16 @@ _DOCUMENT = {
 }
 
 
-@query(f"""WITH {_INDEX}, d AS ({_select(_DOCUMENT, "lineitem")}), u AS (SELECT variant_id AS held_variant_id, any_value(source_variant_id) AS vs, any_value(grams) AS vg, any_value(batch) AS vb, any_value(lot) AS vl FROM v GROUP BY variant_id HAVING count(*) = 1),
+@query(f"""WITH {_INDEX}, d AS ({_select(_DOCUMENT, "lineitem")}), u AS (SELECT variant_id AS held_variant_id, source_variant_id AS vs, grams AS vg, batch AS vb, lot AS vl FROM v),
  r AS (SELECT *, document_id || '|' || held_variant_id AS k FROM d JOIN u USING (held_variant_id)) """ + _cases("k", "r", {
     "document_vendor_mismatch": "vendor_id <> 'v'", "document_product_mismatch": "product_id = '?'", "document_invalid_scope": "scope = 'all'", "document_variant_mismatch": "scope IN ('variant', 'weight', 'batch') AND variant_id <> held_variant_id",
     "broad_document_has_variant": "scope IN ('product', 'vendor') AND variant_id <> ''", "document_source_variant_mismatch": "scope = 'variant' AND (source_variant_id = '' OR (source_variant_id <> held_variant_id AND source_variant_id <> vs))", "document_weight_missing": "scope = 'weight' AND grams IS NULL",
     "document_weight_mismatch": "scope = 'weight' AND abs(grams - vg) > 0.01", "document_batch_mismatch": "scope = 'batch' AND NOT (list_contains([lower(batch), lower(lot)], lower(trim(vb))) IS TRUE OR list_contains([lower(batch), lower(lot)], vl) IS TRUE)",
 }))
 def document_violations(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents against the variants that hold them."""
-    v = _index(spark, folder)[1]
-    single = v.join(v.groupBy("variant_id").count().where("count = 1"), "variant_id", "left_semi")  # ids are not unique in this table
+    """Documents against the variants that hold them; where several variants have one id, against each of them."""
     d = table(spark, folder, "lineitem").selectExpr(*(f"{e} AS {n}" for n, e in _DOCUMENT.items()))
-    return verification.document_checks(d.join(single.select(F.col("variant_id").alias("held_variant_id")), "held_variant_id", "left_semi"), single)
+    return verification.document_checks(d, _index(spark, folder)[1])
 
 
 @query(f"""WITH {_INDEX}, d AS (SELECT product_id, CASE WHEN p_partkey % 9 = 0 AND p_partkey % 4 <> 0 THEN 'unavailable' ELSE 'page' END AS ps, CASE WHEN p_partkey % 8 = 1 THEN 'mixed' ELSE 'atomic_source_record_pair' END AS pm, CASE WHEN p_partkey % 12 = 5 THEN 1.0 ELSE p_size / CAST(10 AS DOUBLE) END AS rs,
