@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import extract
+from millrace.functions import extract, publicity
 from millrace.operators import contracts as c
 from millrace.operators import reports, verification
 from millrace.plans.registry import query
@@ -157,3 +157,17 @@ def artifact_violations(spark: SparkSession, folder: str) -> DataFrame:
     # Fields in another order are the same catalogue; the other changes are not.
     later = catalog.where("c_custkey % 17 <> 3").selectExpr("c_custkey", "named_struct('a', transform(detail.a, x -> named_struct('y', x.y, 'z', x.z)), 'b', detail.b) AS detail", "source_product_id", "vendor_id")
     return publication.violations(artifact, documents, unmatched.where("n_nationkey <> 1"), later, n.withColumn("n_name", F.when(F.col("n_nationkey") == 2, "X").otherwise(F.col("n_name"))))
+
+
+_HOSTS = "element_at(array('shop.example.com', 'SHOP.example.com.', 'bücher.example.de', '10.1.2.3', '8.8.4.4', 'localhost', 'one', '[2001:4860:4860::8844]', '[fd00::1]', 'u@shop.example.com'), CAST(p_partkey % 10 AS INT) + 1)"
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size, ['shop.example.com', 'shop.example.com', 'xn--bcher-kva.example.de', '', '8.8.4.4', '', '', '[2001:4860:4860::8844]', '', ''][1 + p_partkey % 10] AS host FROM part)
+SELECT p_partkey, CASE WHEN host = '' OR p_size % 11 = 3 THEN '' ELSE 'http' || CASE WHEN p_size % 2 = 0 THEN 's' ELSE '' END || '://' || host || CASE WHEN p_size % 3 = 1 THEN ':8080' ELSE '' END || '/b%20' || p_size || CASE p_size % 4 WHEN 0 THEN '/' WHEN 1 THEN '/%C3%A9' ELSE '' END || '?k=' || p_partkey || CASE WHEN p_size % 5 = 0 THEN '&Z=1' ELSE '' END END AS address FROM p""")
+def public_addresses(spark: SparkSession, folder: str) -> DataFrame:
+    """Addresses of all kinds of hosts, ports, paths and queries in their public spelling."""
+    scheme = "CASE WHEN p_size % 11 = 3 THEN 'ftp' WHEN p_size % 2 = 0 THEN 'HTTPS' ELSE 'http' END"
+    port = "CASE WHEN p_size % 3 = 1 THEN ':8080' WHEN p_size % 2 = 0 THEN ':443' ELSE ':80' END"
+    path = "concat('/a/../', './b ', p_size, CASE p_size % 4 WHEN 0 THEN '//' WHEN 1 THEN '/x/../é' ELSE '' END)"
+    rows = table(spark, folder, "part").selectExpr("p_partkey", f"concat(' ', {scheme}, '://', {_HOSTS}, {port}, {path}, '?utm_source=x&', CASE WHEN p_size % 5 = 0 THEN 'Z=1&' ELSE '' END, 'k=', p_partkey, '#top') AS link")
+    return publicity.public_addresses(rows, "link", "address").select("p_partkey", "address")

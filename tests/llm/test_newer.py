@@ -252,3 +252,80 @@ def test_bagminhash_second_pass_is_exact_and_spanning(spark, monkeypatch):
     assert {x.doc_id: x.class_id for x in bagminhash.classes(docs).collect()} == want
     assert [wide for wide, _, _ in passes] == [False, True]
     assert passes[1][1] < 120 * passes[1][2]  # for each band fewer links than nodes
+
+
+def plain_measures(text):
+    """The measurements of each line of a text, one line and one word at a time."""
+    import math
+
+    count = lambda raw, test: sum(test(chr(b)) for b in raw)
+    white = re.compile(rb"[^\x20\x09-\x0D]+")
+    rows, seen_lines, seen_runs, words = [], set(), set(), []
+    lines = text.encode().split(b"\n")
+    for i, raw in enumerate(lines):
+        words += [(w, i) for w in white.findall(raw)]
+    runs = Counter()
+    again = Counter()
+    for j in range(len(words) - 4):
+        run = tuple(w for w, _ in words[j : j + 5])
+        runs[words[j][1]] += 1
+        again[words[j][1]] += run in seen_runs
+        seen_runs.add(run)
+    same_words = Counter(words[j][1] for j in range(1, len(words)) if words[j][0] == words[j - 1][0])
+    for i, raw in enumerate(lines):
+        own = white.findall(raw)
+        letters = lambda c: c.isalpha() and c.isascii() or ord(c) >= 0xC0
+        size = max(1, count(raw, lambda c: not 0x80 <= ord(c) < 0xC0))
+        n, per_word, n_letters = len(own), max(1, len(own)), count(raw, lambda c: letters(c) or c.isalpha())
+        same = sum(raw[k] == raw[k - 1] and not (letters(chr(raw[k])) or chr(raw[k]).isalpha()) for k in range(1, len(raw)))
+        rows.append([
+            math.log1p(size), math.log1p(n), n_letters / size, count(raw, lambda c: c.isascii() and c.isupper()) / max(1, n_letters), count(raw, lambda c: c.isascii() and c.isdigit()) / size, count(raw, lambda c: c in ".?,;:") / per_word, count(raw, lambda c: c == "!") / per_word,
+            count(raw, lambda c: c in "#$%&*|<>{}[]\\^~=+_@/") / per_word, (size - count(raw, lambda c: c in " \t\r\v\f")) / per_word, sum(len(w) <= 3 for w in own) / per_word, same / size, same_words[i] / per_word, again[i] / max(1, runs[i]), float(raw in seen_lines and n > 0), float(raw[-1:] in (b".", b"?", b"!") and raw != b""),
+        ])
+        seen_lines.add(raw)
+    return rows, [len(raw) for raw in lines]
+
+
+def plain_score(text, model):
+    """A text's score by sums over all labellings, carried forward and backward line by line."""
+    import bisect
+    import math
+
+    rows, sizes = plain_measures(text)
+    bins = [[bisect.bisect_right(e.tolist(), float(np.float32(v))) for e, v in zip(model.edges, row, strict=True)] for row in rows]
+    none = [len(model.edges[0]) + 1] * len(model.edges)
+    at = lambda i: bins[i] if 0 <= i < len(bins) else none
+    speaks = [sum(model.weights[k][m][b] for k, d in ((0, 0), (1, -1), (2, 1)) for m, b in enumerate(at(i + d))) for i in range(len(bins))]
+    up = [(1.0, math.exp(min(30, max(-30, e)))) for e in speaks]
+    t = np.exp(model.links)
+    forward, back = [list(up[0])], [[1.0, 1.0]]
+    for i in range(1, len(up)):
+        f = [sum(forward[-1][a] * t[a][b] for a in (0, 1)) * up[i][b] for b in (0, 1)]
+        forward.append([x / sum(f) for x in f])
+    for i in range(len(up) - 1, 0, -1):
+        b = [sum(t[x][y] * up[i][y] * back[0][y] for y in (0, 1)) for x in (0, 1)]
+        back.insert(0, [x / sum(b) for x in b])
+    p = [f[1] * b[1] / (f[0] * b[0] + f[1] * b[1]) for f, b in zip(forward, back, strict=True)]
+    mean = sum(x * (s + 1) for x, s in zip(p, sizes, strict=True)) / sum(s + 1 for s in sizes)
+    mean = min(1 - 1e-4, max(1e-4, mean))
+    a, c = model.curve
+    return 1 / (1 + math.exp(-(a * math.log(mean / (1 - mean)) + c)))
+
+
+def test_line_crf_scores_equal_a_plain_version(spark, sf, rows):
+    """All scores of the query, and of odd rows, computed again line by line."""
+    from pyspark.sql import functions as F
+
+    from millrace.llm import crf
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = crf.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert isinstance(model, crf.Model)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = {r.doc_id: r.score for r in crf.op4(spark, sf).collect()}
+    assert set(got) == set(texts)
+    assert max(abs(got[i] - plain_score(t, model)) for i, t in texts.items()) < 1e-6
+    odd = [(i, t) for i, (_, t) in enumerate(rows)] + [(100, "."), (101, ".. a"), (102, "!"), (103, "!!\n!!"), (104, "x.")]
+    found = crf.score(spark.createDataFrame(odd, "doc_id long, text string").coalesce(1).orderBy(F.desc("doc_id")), model).collect()
+    want = dict(odd)
+    assert max(abs(r.score - plain_score(want[r.doc_id] or "", model)) for r in found) < 1e-6

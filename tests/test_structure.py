@@ -284,3 +284,61 @@ def test_digests_do_not_hang_on_order(spark):
     assert root(df.union(df.limit(1)))[0] != root(df)[0]
     assert root(df.withColumn("m", F.when(F.col("id") == 5, F.create_map(F.lit("a"), F.lit(0).cast("long"))).otherwise(F.col("m"))))[0] != root(df)[0]
     assert root(df.limit(0))[1] == 0
+
+
+def plain_address(value, hosts=()):
+    """By the standard library, one address at a time."""
+    import ipaddress
+    import posixpath
+    from urllib.parse import parse_qsl, quote, urlencode
+
+    def host_of(h):
+        h = h.strip().rstrip(".").lower()
+        if not h or h in ("localhost", "localhost.localdomain") or h.endswith(".localhost"):
+            raise ValueError
+        try:
+            ip = ipaddress.ip_address(h.strip("[]"))
+        except ValueError:
+            if "." not in h:
+                raise
+            return h.encode("idna").decode("ascii")
+        if not ip.is_global:
+            raise ValueError
+        return ip.compressed
+
+    try:
+        p = urlsplit((value or "").strip())
+        if p.scheme not in ("http", "https") or "@" in p.netloc:
+            return ""
+        port, host = p.port, host_of(p.hostname or "")
+    except ValueError:
+        return ""
+    if hosts and not any(host == h or host.endswith("." + h) for h in hosts):
+        return ""
+    shown = f"[{host}]" if ":" in host else host
+    if port and port != {"http": 80, "https": 443}[p.scheme]:
+        shown += f":{port}"
+    path = quote(posixpath.normpath(p.path or "/"), safe="/%:@-._~!$&'()*+,;=")
+    path += "/" if p.path.endswith("/") and not path.endswith("/") else ""
+    pairs = [(k, v) for k, v in parse_qsl(p.query, keep_blank_values=True) if k.lower() not in structure.publicity.CAMPAIGN_KEYS]
+    query = urlencode(sorted(pairs, key=lambda x: (x[0].lower(), x[1])))
+    return f"{p.scheme}://{shown}{path}" + (f"?{query}" if query else "")
+
+
+def test_public_addresses(spark):
+    r = random.Random(12)
+    schemes = ["https://"] * 8 + ["http://"] * 4 + ["HTTPS://", "ftp://", "//", "", "mailto:"]
+    hosts = ["shop.example.com", "Shop.Example.COM.", "münchen.example.de", "例え.jp", "localhost", "a.localhost", "single", "10.0.0.1", "8.8.8.8", "192.168.1.1", "1.2.3", "127.0.0.1", "[2001:4860:4860::8888]", "[::1]", "[fe80::1]", "a..b.com", "x" * 64 + ".com", "172.32.0.1", "100.64.0.1", "203.0.113.5", "", "user@x.com", "u:p@x.com"]
+    ports = [""] * 8 + [":80", ":443", ":8080", ":0", ":65536", ":"]
+    paths = ["", "/", "/a/b", "/a/../b", "/../../x/", "/a/./b/", "//a//b", "///a", "/a b", "/é/ü", "/%41/%zz", "/a;b=c,d", "/..", "/a/..", "/x\\y", "/\U0001f600"]
+    queries = ["", "?", "?b=2&a=1", "?utm_source=x&q=1", "?a=1&A=0&a=0", "?x", "?x=&=y", "?q=a+b%20c", "?q=%zz%41", "?k=é*~", "?FBCLID=1", "?a=b=c&&d"]
+    rows = [(i, "".join(r.choice(x) for x in (schemes, hosts, ports, paths, queries)) + r.choice(["", "", "#f", " "])) for i in range(900)]
+    df = spark.createDataFrame([*rows, (-1, None)], "i int, a string")
+    got = by(structure.publicity.public_addresses(df, "a"), "i", "public")
+    want = {i: plain_address(a) for i, a in rows} | {-1: ""}
+    assert {dict(rows).get(i): (got[i], want[i]) for i in want if got[i] != want[i]} == {}
+    assert sum(x != "" for x in want.values()) > 200
+    inside = by(structure.publicity.public_addresses(df, "a", hosts=["example.com", "例え.jp"]), "i", "public")
+    assert inside == {i: plain_address(a, ("example.com", "xn--r8jz45g.jp")) for i, a in rows} | {-1: ""}
+    with pytest.raises(ValueError, match="no public host"):
+        structure.publicity.public_addresses(df, "a", hosts=["jp"])
