@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import extract, publicity
 from millrace.operators import contracts as c
-from millrace.operators import reports, verification
+from millrace.operators import mapping, reports, verification
 from millrace.plans.registry import query
 from millrace.sources import publication, recovery, sitemaps
 from millrace.sources.tables import shared_folder, table
@@ -171,3 +171,35 @@ def public_addresses(spark: SparkSession, folder: str) -> DataFrame:
     path = "concat('/a/../', './b ', p_size, CASE p_size % 4 WHEN 0 THEN '//' WHEN 1 THEN '/x/../é' ELSE '' END)"
     rows = table(spark, folder, "part").selectExpr("p_partkey", f"concat(' ', {scheme}, '://', {_HOSTS}, {port}, {path}, '?utm_source=x&', CASE WHEN p_size % 5 = 0 THEN 'Z=1&' ELSE '' END, 'k=', p_partkey, '#top') AS link")
     return publicity.public_addresses(rows, "link", "address").select("p_partkey", "address")
+
+
+_MAPPED = {
+    "key": "p_partkey", "vendor": "concat('v', p_partkey % 50)", "product_id": "CASE WHEN p_partkey % 3 = 0 THEN '' ELSE concat('p', p_partkey % 200) END", "variant_id": "CASE WHEN p_size % 4 = 0 THEN concat('x', p_size % 8) ELSE '' END", "variant": "CASE WHEN p_size % 4 = 1 THEN 'x1' ELSE '' END",
+    "label": "CASE p_size % 5 WHEN 0 THEN 'Small Pack' WHEN 1 THEN '' ELSE 'Large-pack' END", "batch": "CASE WHEN p_partkey % 7 = 0 THEN concat('B-', p_size % 3) ELSE '' END", "name": "p_name", "grams": "CASE p_size % 3 WHEN 0 THEN 3.5 WHEN 1 THEN 7.0 ELSE NULL END",
+}
+_DOCUMENTED = {
+    "document_id": "o_orderkey", "kind": "CASE o_orderkey % 5 WHEN 0 THEN 'coa' WHEN 1 THEN 'terpene_report' WHEN 2 THEN 'combined_lab_report' ELSE 'unknown' END", "vendor": "concat('v', o_custkey % 50)", "product_id": "CASE WHEN o_orderkey % 4 = 0 THEN concat('p', o_orderkey % 200) ELSE '' END",
+    "variant_id": "CASE WHEN o_orderkey % 9 = 0 THEN concat('x', o_orderkey % 8) ELSE '' END", "variant": "''", "label": "CASE WHEN o_orderkey % 6 = 0 THEN 'SMALL  pack' ELSE '' END", "batch": "CASE WHEN o_orderkey % 10 = 1 THEN concat('b ', o_orderkey % 3) ELSE '' END",
+    "name": "CASE WHEN o_orderkey % 13 = 2 THEN substring(p_name, 2, 4) WHEN o_orderkey % 13 = 3 THEN p_name ELSE concat('COA: ', upper(p_name), ' lab') END", "grams": "CASE o_orderkey % 5 WHEN 0 THEN 3.51 WHEN 1 THEN 7.0 ELSE NULL END",
+}
+
+
+def _norm_sql(c: str) -> str:
+    return f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"""WITH a AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _MAPPED.items())} FROM part), b AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _DOCUMENTED.items())} FROM orders JOIN part ON p_partkey = o_custkey % 200),
+x AS (SELECT a.key, a.vendor, b.kind, b.document_id, a.product_id AS tp, b.product_id AS dp, a.variant_id AS tv, CASE WHEN a.variant_id <> '' THEN a.variant_id ELSE a.variant END AS tw, b.variant_id AS dv, {_norm_sql('a.label')} AS tl, {_norm_sql('b.label')} AS dl, {_norm_sql('a.batch')} AS tb, {_norm_sql('b.batch')} AS db,
+ {_norm_sql('a.name')} AS tn, {_norm_sql('b.name')} AS dn, a.grams AS tg, b.grams AS dg FROM a JOIN b USING (vendor)),
+y AS (SELECT *, tp <> '' AND tp = dp AS by_id, tn <> '' AND dn <> '' AND (contains(tn, dn) OR contains(dn, tn)) AS by_name, tw <> '' AND tw = dv AS vi, tl <> '' AND tl = dl AS vl, coalesce(abs(tg - dg) <= 0.02, false) AS wt, tb <> '' AND tb = db AS bt FROM x
+ WHERE NOT (tp <> '' AND dp <> '' AND tp <> dp) AND NOT (tv <> '' AND dv <> '' AND tv <> dv) AND NOT (NOT (tv <> '' AND tv = dv) AND tl <> '' AND dl <> '' AND tl <> dl) AND NOT (tb <> '' AND db <> '' AND tb <> db) AND NOT coalesce(abs(tg - dg) > 0.02, false)),
+z AS (SELECT *, 5 + CASE WHEN by_id THEN 80 ELSE 45 END + CASE WHEN vi THEN 1000 WHEN vl THEN 900 ELSE 0 END + CASE WHEN wt THEN 200 ELSE 0 END + CASE WHEN bt THEN 500 ELSE 0 END AS score FROM y WHERE by_id OR by_name),
+r AS (SELECT *, row_number() OVER (PARTITION BY key, kind ORDER BY score DESC, document_id) AS n, count(*) OVER (PARTITION BY key, kind, score) AS rivals FROM z),
+d AS (SELECT key, vendor, tp AS product_id, tw AS variant, kind, document_id, CASE WHEN vi OR vl THEN 'variant' WHEN bt THEN 'batch' WHEN wt THEN 'weight' ELSE 'product' END AS scope, CAST(score AS INTEGER) AS score, rivals > 1 AS ambiguous FROM r WHERE n = 1)
+SELECT *, CAST(row_number() OVER (PARTITION BY vendor ORDER BY product_id, variant, list_position(['coa', 'terpene_report', 'combined_lab_report', 'legal_document', 'unknown'], kind), document_id, key) AS INTEGER) AS place FROM d""")
+def document_mapping(spark: SparkSession, folder: str) -> DataFrame:
+    """The best document of each kind for each product, by points, in the order of decisions."""
+    p, o = table(spark, folder, "part"), table(spark, folder, "orders")
+    documents = o.join(p.select("p_partkey", "p_name"), F.col("p_partkey") == F.col("o_custkey") % 200).selectExpr(*(f"{e} AS {n}" for n, e in _DOCUMENTED.items()))
+    found = mapping.decisions(p.selectExpr(*(f"{e} AS {n}" for n, e in _MAPPED.items())), documents, "key").drop("reasons")
+    return mapping.placed(found, "key")
