@@ -73,6 +73,7 @@ def measure(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = np.maximum(count["heads"], 1)
     same = np.zeros(len(data), bool)
     same[1:] = (data[1:] == data[:-1]) & (_TABLES["letters"][data[1:]] == 0)
+    same[offsets[:-1][offsets[:-1] < len(data)]] = False  # a text does not go on from the one before it
     word_starts, word_ends, bounds = words(data, offsets)
     of_line = np.searchsorted(starts, word_starts, "right") - 1
     lines = len(starts)

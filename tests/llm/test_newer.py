@@ -329,3 +329,7 @@ def test_line_crf_scores_equal_a_plain_version(spark, sf, rows):
     found = crf.score(spark.createDataFrame(odd, "doc_id long, text string").coalesce(1).orderBy(F.desc("doc_id")), model).collect()
     want = dict(odd)
     assert max(abs(r.score - plain_score(want[r.doc_id] or "", model)) for r in found) < 1e-6
+    import pyarrow as pa
+
+    measures = crf.measure(pa.record_batch({"text": pa.array(["!!", "!", "", "!"], pa.large_string())}))[0]
+    assert measures[:, crf.MEASURES.index("same_bytes")].tolist() == [0.5, 0.0, 0.0, 0.0]  # whatever text comes before
