@@ -55,7 +55,7 @@ def named_pages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").selectExpr("page_id", f"{named} AS url", "html")
 
 
-_ENDS = ["''", "' - Premium'", "' | indoor'", "' THCA Flower'", "' (Greenhouse)'", "' tier 12'", "': 3.5 grams'", "' — Best  Seller'", "' Hemp Flower'", "' _ small buds'", "' high thc-a'", "' - 1/8 oz'", "' - half ounce'", "' minis'"]
+_ENDS = ["''", "' - Premium'", "' | indoor'", "' THCA Flower'", "' (Greenhouse)'", "' tier 12'", "': 3.5 grams'", "' — Best  Seller'", "' Hemp Flower'", "' _ small buds'", "' THC-A'", "' - 1/8 oz'", "' - half ounce'", "' minis'"]
 
 
 @query("SELECT p_partkey, p_name || ' No ' || p_size AS name FROM part")
@@ -75,7 +75,7 @@ _PRODUCT = (
 )
 
 
-@query("""WITH v AS (SELECT l_partkey AS k, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) - 1 AS VARCHAR) AS i, l_suppkey, l_quantity, l_linenumber, l_orderkey FROM lineitem),
+@query("""WITH v AS (SELECT l_partkey AS k, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) - 1 AS VARCHAR) AS i, l_suppkey, l_quantity, l_linenumber, l_orderkey FROM lineitem),
 n AS (SELECT p_partkey, p_size, count(k) AS n FROM part LEFT JOIN v ON k = p_partkey GROUP BY p_partkey, p_size)
 SELECT p_partkey, 'id' AS path, 'must be a non-empty ID' AS message FROM part WHERE p_partkey % 7 = 0 UNION ALL SELECT p_partkey, 'vendor', 'must be a vendor object' FROM part WHERE p_partkey % 11 = 0 UNION ALL SELECT p_partkey, 'vendor.url', 'must be an address or null' FROM part WHERE p_partkey % 11 <> 0 AND p_size % 4 = 1
 UNION ALL SELECT p_partkey, 'lineage', 'must be a supported lineage' FROM part WHERE p_size % 5 IN (3, 4) UNION ALL SELECT p_partkey, 'variants', 'must contain a variant' FROM n WHERE n = 0 UNION ALL SELECT k, 'variants[' || i || '].grams', 'must be positive' FROM v WHERE l_quantity % 10 = 0 OR l_suppkey % 13 = 5
@@ -84,8 +84,8 @@ UNION ALL SELECT k, 'variants', 'contains duplicate variant ID s' || l_suppkey F
 def contract_issues(spark: SparkSession, folder: str) -> DataFrame:
     """All issues of nested products, with their paths."""
     price = "CASE WHEN l_linenumber <> 6 THEN named_struct('amount', CASE WHEN l_orderkey % 9 <> 2 THEN l_extendedprice END, 'currency', CASE WHEN l_linenumber = 5 THEN 'EUR' ELSE 'USD' END) END"
-    v = table(spark, folder, "lineitem").selectExpr("l_partkey AS p_partkey", "l_orderkey", "l_linenumber", f"named_struct('id', concat('s', l_suppkey), 'grams', CASE WHEN l_suppkey % 13 <> 5 THEN CAST(l_quantity % 10 AS DOUBLE) END, 'price', {price}) AS v")
-    lists = v.groupBy("p_partkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "v"))).alias("all")).select("p_partkey", F.col("all.v").alias("variants"))
+    v = table(spark, folder, "lineitem").selectExpr("l_partkey AS p_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", f"named_struct('id', concat('s', l_suppkey), 'grams', CASE WHEN l_suppkey % 13 <> 5 THEN CAST(l_quantity % 10 AS DOUBLE) END, 'price', {price}) AS v")
+    lists = v.groupBy("p_partkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "v"))).alias("all")).select("p_partkey", F.col("all.v").alias("variants"))
     p = table(spark, folder, "part").join(lists, "p_partkey", "left").selectExpr(
         "p_partkey", "CASE WHEN p_partkey % 14 = 0 THEN ' ' WHEN p_partkey % 7 <> 0 THEN concat('p', p_partkey) END AS id",
         "CASE WHEN p_partkey % 11 <> 0 THEN named_struct('name', p_brand, 'url', CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN 'ftp://x' ELSE 'https://v.example.com/' END) END AS vendor",
