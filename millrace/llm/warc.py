@@ -17,17 +17,19 @@ columns stay out.
 
 from __future__ import annotations
 
+from os.path import commonprefix
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
+from pyspark.sql.types import IntegralType, StringType
 
 from millrace.functions.addresses import document_address
 
 #: The headers that a not-modified answer may update.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "vary"]
-#: Seconds of a chunk of time, and numbers of a chunk of records without time.
+#: Seconds of a chunk of time; and of records without time the numbers of a chunk, or the characters that tell its texts apart.
 CHUNK = 3_600
-UNTIMED, UNTIMED_CHUNK = -(1 << 62), 1 << 16
+UNTIMED, UNTIMED_CHUNK, UNTIMED_CHARACTERS = -(1 << 62), 1 << 16, 3
 
 
 def resolve(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -35,9 +37,8 @@ def resolve(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
     last_modified, headers, payload); kind is response or revisit, at is in seconds, header names are in lower case."""
     slim = records.select("record_id", document_address("uri").alias("address"), F.coalesce(F.col("at").cast("long"), F.lit(UNTIMED)).alias("at"), "kind", "etag", "last_modified", "headers")
     # Records without time come in order of record_id; chunks rise with both.
-    numbered = isinstance(records.schema["record_id"].dataType, IntegralType)
-    untimed = F.col("record_id") / UNTIMED_CHUNK if numbered else F.lit(0)
-    slim = slim.withColumn("chunk", F.struct(F.floor(F.col("at") / chunk).alias("time"), F.when(F.col("at") == UNTIMED, F.floor(untimed)).otherwise(0).alias("record")))
+    part, none = _record_chunk(records)
+    slim = slim.withColumn("chunk", F.struct(F.floor(F.col("at") / chunk).alias("time"), F.when(F.col("at") == UNTIMED, part).otherwise(none).alias("record")))
     full = F.when(F.col("kind") == "response", F.struct("record_id", "etag", "last_modified", "headers"))
     within = Window.partitionBy("address", "chunk").orderBy("at", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     revisits = slim.where("address <> ''").withColumn("near", F.last(full, ignorenulls=True).over(within)).where("kind = 'revisit'")
@@ -57,6 +58,19 @@ def resolve(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return resolved.select(responses.columns).unionByName(responses).unionByName(lost)
 
 
+def _record_chunk(records: DataFrame) -> tuple[Column, Column]:
+    """What deals records without time to chunks that rise with record_id, and its value for others: numbers by ranges, texts by
+    UNTIMED_CHARACTERS beyond what they all begin with."""
+    kind = records.schema["record_id"].dataType
+    if isinstance(kind, IntegralType):
+        return F.floor(F.col("record_id") / UNTIMED_CHUNK), F.lit(0).cast("long")
+    if not isinstance(kind, StringType):
+        return F.lit(0).cast("long"), F.lit(0).cast("long")
+    ends = records.where("at IS NULL").agg(F.min("record_id"), F.max("record_id")).first()
+    same = len(commonprefix([x or "" for x in ends]))
+    return F.substring("record_id", 1, same + UNTIMED_CHARACTERS), F.lit("")
+
+
 def _status(source: str) -> Column:
     same = F.coalesce(F.col("etag") == F.col(f"{source}.etag"), F.col("last_modified") == F.col(f"{source}.last_modified"))
     return F.when(F.col(source).isNull(), "no_earlier").when(same.isNull(), "no_validator").when(same, "resolved").otherwise("validator_mismatch")

@@ -333,3 +333,19 @@ def test_line_crf_scores_equal_a_plain_version(spark, sf, rows):
 
     measures = crf.measure(pa.record_batch({"text": pa.array(["!!", "!", "", "!"], pa.large_string())}))[0]
     assert measures[:, crf.MEASURES.index("same_bytes")].tolist() == [0.5, 0.0, 0.0, 0.0]  # whatever text comes before
+
+
+def test_revisits_without_time_by_text_ids(spark):
+    """Records without time are dealt to chunks by their text ids, and resolve as those with numbers do."""
+    from millrace.llm import warc
+
+    r = random.Random(4)
+    rows = [(i, f"https://a.example.com/{r.randrange(3)}", r.choice([None, None, None, 50]), r.choice(["response", "revisit", "revisit"]), r.choice(["e1", "e2"]), None, {}, f"p{i}") for i in range(3000)]
+    schema = "uri string, at long, kind string, etag string, last_modified string, headers map<string,string>, payload string"
+    numbers = spark.createDataFrame(rows, "record_id long, " + schema)
+    name = lambda i: None if i is None else f"urn:uuid:{i:08x}"
+    texts = spark.createDataFrame([(name(x[0]), *x[1:]) for x in rows], "record_id string, " + schema)
+    want = sorted((name(x.record_id), x.status, name(x.source_id) or "") for x in warc.resolve(numbers).collect())
+    assert sorted((x.record_id, x.status, x.source_id or "") for x in warc.resolve(texts).collect()) == want
+    part = warc._record_chunk(texts)[0]
+    assert texts.where("at IS NULL").select(part.alias("c")).distinct().count() > 1
