@@ -9,7 +9,7 @@ from millrace.functions import extract, publicity
 from millrace.operators import contracts as c
 from millrace.operators import mapping, reports, verification
 from millrace.plans.registry import query
-from millrace.sources import publication, recovery, sitemaps
+from millrace.sources import evidence, publication, recovery, sitemaps
 from millrace.sources.tables import shared_folder, table
 
 # Of each of 10 hosts the sitemaps 0, 1, 2, ...: each names three more, 25 products (five of them of the one before), and what does not count.
@@ -203,3 +203,31 @@ def document_mapping(spark: SparkSession, folder: str) -> DataFrame:
     documents = o.join(p.select("p_partkey", "p_name"), F.col("p_partkey") == F.col("o_custkey") % 200).selectExpr(*(f"{e} AS {n}" for n, e in _DOCUMENTED.items()))
     found = mapping.decisions(p.selectExpr(*(f"{e} AS {n}" for n, e in _MAPPED.items())), documents, "key").drop("reasons")
     return mapping.placed(found, "key")
+
+
+_EVIDENT = """concat('<html><title>Item ', p_partkey, ' &amp; more</title><meta property="og:title" content="', CASE p_size % 4 WHEN 0 THEN 'THCA Flower' WHEN 1 THEN 'Gummies' ELSE '' END, '"><META name="Description" content="A&nbsp;&lt;b&gt;fine&lt;/b&gt; thing"><meta name="description" content="second">', '<script type="application/ld+json">',
+ CASE p_size % 3 WHEN 0 THEN concat('{"@graph": [{"@type": ["Product"], "name": "P', p_partkey, '", "sku": 7}, {"@type": "Thing", "name": "no"}]}') WHEN 1 THEN '{broken' ELSE concat('{&quot;@type&quot;: &quot;PRODUCT&quot;, &quot;category&quot;: &quot;Smalls&quot;}') END, '</script><style>thca flower</style><p>',
+ CASE p_size % 5 WHEN 0 THEN concat(repeat('x', 800), ' High   THCA buds ', repeat('y ', 20)) WHEN 1 THEN 'nothing' ELSE 'type i' END, '</p></html>')"""
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size, CASE p_size % 4 WHEN 0 THEN 'THCA Flower ' WHEN 1 THEN 'Gummies ' ELSE '' END || 'A fine thing Item ' || p_partkey || ' & more' || CASE p_size % 3 WHEN 0 THEN ' P' || p_partkey || ' 7' WHEN 1 THEN '' ELSE ' Smalls' END || ' /p/blue dream ' || p_partkey AS own FROM part),
+e AS (SELECT *, CASE WHEN p_size % 4 = 0 OR p_size % 5 <> 0 THEN own ELSE own || ' ' || repeat('x', 699) || ' High THCA buds ' || trim(repeat('y ', 20)) END AS evidence FROM p)
+SELECT p_partkey, evidence, p_size % 4 = 0 OR p_size % 5 = 0 AS explicit_thca, p_size % 4 = 0 OR p_size % 3 = 2 OR p_size % 5 = 0 AS explicit_flower, sha256(lower(evidence)) AS evidence_sha256 FROM e""")
+def page_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """What pages say their product is, with windows of their text where metas, structured data and path do not show it."""
+    pages = table(spark, folder, "part").selectExpr("p_partkey", "concat('https://s.example.com/p/blue-dream_', p_partkey, '?x=1') AS url", f"{_EVIDENT} AS html")
+    return evidence.page_evidence(pages, "url", "html", r"(?i)\\bgummies\\b").select("p_partkey", "evidence", "explicit_thca", "explicit_flower", "evidence_sha256")
+
+
+_LINKED = """concat('<A class="x" href="/files/COA-', p_partkey, '.pdf#p">Get&nbsp;<b>it</b></a><a title="terpene" href="/lab_report/', p_size, '?v=1">see</a><a href="/files/COA-', p_partkey, '.pdf">again</a><a href="/results">Lab Results</a><a href="/results/blue-', p_partkey, '">Test  results</a>',
+ '<a href="mailto:coa@x">coa</a><a href="https://LAB.example.com" aria-label="full panel">Terpene &amp; more</a><a data-href="/coa.pdf" href="/about">About</a>', array_join(transform(sequence(1, CAST(p_size % 14 AS INT) + 1), j -> concat('<a href="/d/', j, '.PDF">d', j, '</a>')), ' '))"""
+
+
+@query("""WITH b AS (SELECT p_partkey, p_size, unnest([{'at': 0, 'target': 'https://s.example.com/files/COA-' || p_partkey || '.pdf', 'kind': 'coa', 'label': 'Get it', 'is_pdf': true}, {'at': 1, 'target': 'https://s.example.com/lab_report/' || p_size || '?v=1', 'kind': 'terpene', 'label': 'see terpene', 'is_pdf': false},
+ {'at': 4, 'target': 'https://s.example.com/results/blue-' || p_partkey, 'kind': 'coa', 'label': 'Test results', 'is_pdf': false}, {'at': 6, 'target': 'https://lab.example.com/', 'kind': 'terpene', 'label': 'Terpene & more full panel', 'is_pdf': false}], recursive := true) FROM part),
+a AS (SELECT * EXCLUDE (p_size) FROM b UNION ALL SELECT p_partkey, 10 + j, 'https://s.example.com/d/' || j || '.PDF', 'coa', 'd' || j, true FROM part, range(1, 15) t(j) WHERE j <= p_size % 14 + 1)
+SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY "at") AS INTEGER) AS place, target, kind, label, is_pdf FROM a QUALIFY place <= 12""")
+def product_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The first twelve documents that product pages link to."""
+    pages = table(spark, folder, "part").selectExpr("p_partkey", "concat('https://s.example.com/p/Blue-', p_partkey, '/') AS url", f"{_LINKED} AS html")
+    return evidence.product_documents(pages, "p_partkey", "url", "html")
