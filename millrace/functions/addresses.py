@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.positions import let
 from millrace.functions.text import collapse, column, plain_text
 
 #: Query keys that name a variant.
@@ -101,13 +102,13 @@ def public(c: Column | str) -> Column:
 
 def joined(base: Column | str, link: Column | str) -> Column:
     """A link of a page as a full address: full, //host, /path or path beside the page."""
-    base, link = column(base), plain_text(link)
+    base = column(base)
     root = F.concat(scheme(base), F.lit("://"), part(base, 2))
     beside = F.regexp_replace(part(base, 3), "[^/]*$", "")
-    return (
+    return let(plain_text(link), lambda link: (
         F.when(link.rlike("^(?i)https?://"), link)
         .when(link.startswith("//"), F.concat(scheme(base), F.lit(":"), link))
         .when(link.startswith("/"), F.concat(root, link))
         .when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:|^#|^$"), F.lit(""))
         .otherwise(F.concat(root, F.when(beside == "", F.lit("/")).otherwise(beside), link))
-    )
+    ))

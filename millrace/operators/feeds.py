@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.extract import POUND_GRAMS, POUNDS, WORD_POUNDS, label_grams, lookup, stock, weight
+from millrace.functions.positions import let
 from millrace.functions.text import column, plain_text
 from millrace.operators import gates
 
@@ -19,9 +20,14 @@ def store_price(sale: Column, price: Column, regular: Column, minor_unit: Column
 
 def variation_label(variation: Column, attributes: Column, name: Column, parent: Column) -> Column:
     """The stated label, else the attributes' values, else what the name adds to its parent's."""
-    own, values, n, p = plain_text(variation), F.array_join(F.filter(attributes, lambda v: F.trim(v) != ""), " / "), plain_text(name), plain_text(parent)
-    rest = F.when((p != "") & F.startswith(F.lower(n), F.lower(p)), F.regexp_replace(F.substring(n, F.length(p) + 1, F.length(n)), r"^[ \-–—:]+", "")).otherwise(n)
-    return F.when(own != "", own).when(F.coalesce(values, F.lit("")) != "", values).otherwise(rest)
+    values = F.array_join(F.filter(attributes, lambda v: F.trim(v) != ""), " / ")
+
+    def label(x: Column) -> Column:
+        own, n, p = x["own"], x["name"], x["parent"]
+        rest = F.when((p != "") & F.startswith(F.lower(n), F.lower(p)), F.regexp_replace(F.substring(n, F.length(p) + 1, F.length(n)), r"^[ \-–—:]+", "")).otherwise(n)
+        return F.when(own != "", own).when(F.coalesce(values, F.lit("")) != "", values).otherwise(rest)
+
+    return let(F.struct(plain_text(variation).alias("own"), plain_text(name).alias("name"), plain_text(parent).alias("parent")), label)
 
 
 def store_rows(items: DataFrame) -> DataFrame:
@@ -62,15 +68,15 @@ def flower_rows(df: DataFrame) -> DataFrame:
     kind = F.lower(F.trim(F.coalesce(F.when(F.trim(column("primary_type")) != "", F.col("primary_type")), F.col("evidence_type"), F.lit(""))))
     rows = df.where(kind.isin("", "cannabis_flower"))
     direct = F.coalesce(F.col("grams"), F.col("weight_grams")) if "weight_grams" in df.columns else F.col("grams")
-    tried = []
-    for field in WEIGHT_FIELDS:
-        if field in df.columns:
-            text = plain_text(field)
-            agreed = weight(direct, text)
-            grams = F.coalesce(F.when(agreed["method"].isin("agreed", "label"), agreed["grams"]), pound_repair(direct, text))
-            tried.append(F.when((text != "") & grams.isNotNull(), F.struct(grams.alias("grams"), label_grams(text)["label"].alias("label"))))
+    tried, fields = [], [f for f in WEIGHT_FIELDS if f in df.columns]
+    rows = rows.withColumns({f"__t_{f}": plain_text(f) for f in fields})
+    for field in fields:
+        text = F.col(f"__t_{field}")
+        agreed = weight(direct, text)
+        grams = F.coalesce(F.when(agreed["method"].isin("agreed", "label"), agreed["grams"]), pound_repair(direct, text))
+        tried.append(F.when((text != "") & grams.isNotNull(), F.struct(grams.alias("grams"), label_grams(text)["label"].alias("label"))))
     rows = rows.withColumn("__w", F.coalesce(*tried))
-    return rows.withColumns({"grams": F.coalesce("__w.grams", "grams"), "source_weight_label": F.coalesce("__w.label", "source_weight_label")}).drop("__w")
+    return rows.withColumns({"grams": F.coalesce("__w.grams", "grams"), "source_weight_label": F.coalesce("__w.label", "source_weight_label")}).drop("__w", *(f"__t_{f}" for f in fields))
 
 
 #: Potency methods by how far they are to be trusted.
