@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html.entities
 import json
+import zlib
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,26 +27,31 @@ def _by_number() -> dict[str, str]:
     return table
 
 
-def _map(table: dict[str, str]) -> Column:
-    """A literal map: the optimizer folds it once."""
-    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+def _found(table: dict[str, str], key: Column) -> Column:
+    """A key's value in a literal table, null if it has none. Keys are dealt to buckets by CRC-32, as Spark searches a map from its
+    first entry on; the optimizer folds the table once."""
+    buckets: list[dict[str, str]] = [{} for _ in range(max(1, len(table) // 8))]
+    for k, v in table.items():
+        buckets[zlib.crc32(k.encode()) % len(buckets)][k] = v
+    own = F.get(F.from_json(F.lit(json.dumps(buckets)), "array<map<string,string>>"), (F.crc32(key.cast("binary")) % len(buckets)).cast("int"))
+    return F.try_element_at(own, key)
 
 
 def _character(code: Column) -> Column:
     """The character of a code point; none for those that are no characters, U+FFFD for what is no code point."""
     none = code.between(1, 8) | code.isin(0xB, 0x7F) | code.between(0xE, 0x1F) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE)
     own = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    known = F.try_element_at(_map(_by_number()), code.cast("string"))
+    known = _found(_by_number(), code.cast("string"))
     wrong = code.isNull() | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
     return F.when(wrong, F.lit(_REPLACED)).when(known.isNotNull(), known).when(none, F.lit("")).otherwise(own)
 
 
 def _piece(p: Column) -> Column:
     name = F.substr(p, F.lit(2))
-    whole = F.try_element_at(_map(dict(html.entities.html5)), name)
+    whole = _found(dict(html.entities.html5), name)
     short = F.regexp_extract(name, "^(" + "|".join(_SHORT) + ")", 1)
     rest = F.substr(name, F.length(short) + 1)
-    begun = F.when(short != "", F.concat(F.try_element_at(_map({n: html.entities.html5[n] for n in _SHORT}), short), rest)).otherwise(p)
+    begun = F.when(short != "", F.concat(_found({n: html.entities.html5[n] for n in _SHORT}, short), rest)).otherwise(p)
     digits, digits16 = F.regexp_extract(p, "^&#([0-9]+)", 1), F.regexp_extract(p, "^&#[xX]0*([0-9a-fA-F]+)", 1)
     code16 = F.when(F.length(digits16) <= 8, F.conv(digits16, 16, 10).try_cast("long"))
     return (
