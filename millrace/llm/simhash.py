@@ -10,7 +10,7 @@ A fingerprint is the 64-bit majority of its words' hashes. Fingerprints within R
 RADIUS // 4 in one of four 16-bit blocks at least; each block has a table of all keys within that distance of an item's,
 so all item windows within RADIUS are found. What is found is verified at its place, with a quarter of the item's length to
 both sides: the share, weighted by rarity among all items, of the item's runs of five words that the document has there,
-which must reach 0.8.
+which must reach 0.8. Running sums of the weights of all runs that any item has tell first where the share cannot reach it.
 
 Items are taken in groups of about MOST_WORDS words, so what is sent to the executors is bounded; a larger benchmark takes
 more passes. Rarity is counted over all items first.
@@ -40,6 +40,8 @@ RADIUS = 11
 LONGEST, SHORTEST = 240, 8
 #: Words of the items of one pass.
 MOST_WORDS = 400_000
+#: Weights of runs are summed in whole numbers of 1 / UNIT.
+UNIT = 1 << 20
 
 _SEPARATOR = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 #: The eight bits of a byte, each in a byte of its own.
@@ -117,6 +119,13 @@ class Items:
             self.runs.append(runs)
             self.counts.append(counts)
             self.weights.append(rare)
+        self.full = np.array([(c * w).sum() for c, w in zip(self.counts, self.weights, strict=True)])
+        self.known = {}  # by length of runs: sorted distinct runs of all items of such runs, and their weights, rounded up
+        length = np.minimum(self.sizes, SHINGLE)
+        for k in np.unique(length[length > 0]).tolist():
+            own = np.flatnonzero(length == k).tolist()
+            runs, at = np.unique(np.concatenate([self.runs[i] for i in own]), return_index=True)
+            self.known[k] = runs, np.ceil(np.concatenate([self.weights[i] for i in own])[at] * UNIT).astype(np.int64)
         self.classes = []
         running = sums(hashes)
         steps = RADIUS // 4
@@ -134,7 +143,7 @@ class Items:
                 keys = (keys[:, None] ^ near).ravel()
                 order = np.argsort(keys, kind="stable")
                 firsts = np.searchsorted(keys[order], np.arange((1 << 16) + 1))
-                tables.append((firsts.astype(np.int32), (order // len(near)).astype(np.int32)))
+                tables.append((np.diff(firsts) > 0, firsts.astype(np.int32), (order // len(near)).astype(np.int32)))
             self.classes.append((stride, length, item, offset, prints, tables))
 
     def near(self, running: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -146,9 +155,9 @@ class Items:
                 continue
             starts = np.repeat(bounds[:-1], count) + stride * (np.arange(total) - np.repeat(np.cumsum(count) - count, count))
             own = fingerprints(running, starts, length)
-            for block, (firsts, which) in enumerate(tables):
+            for block, (filled, firsts, which) in enumerate(tables):
                 key = ((own >> U64(16 * block)) & U64(0xFFFF)).astype(np.int64)
-                hit = np.flatnonzero(firsts[key + 1] > firsts[key])
+                hit = np.flatnonzero(filled[key])
                 if not len(hit):
                     continue
                 key = key[hit]
@@ -159,32 +168,50 @@ class Items:
                 close = np.bitwise_count(own[window] ^ prints[other]) <= RADIUS
                 yield item[other[close]], starts[window[close]] - offset[other[close]]
 
+    def shingled(self, hashes: np.ndarray, bounds: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By length of runs: the hash of the run at each word, 0 where its text ends before, and running sums (n + 1) of the
+        weights of those that any item has."""
+        out = {}
+        for k, (runs, weights) in self.known.items():
+            found, places = shingles(hashes, bounds, k)
+            at, held = np.zeros(len(hashes), U64), np.zeros(len(hashes) + 1, np.int64)
+            at[places] = found
+            which = np.minimum(np.searchsorted(runs, found), len(runs) - 1)
+            held[places + 1] = np.where(runs[which] == found, weights[which], 0)
+            out[k] = at, np.cumsum(held)
+        return out
+
+    def possible(self, hashes: np.ndarray, bounds: np.ndarray, shingled: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """(item, where it would begin, text, first run, end of runs), in order, of the window pairs whose runs may reach
+        SIMILARITY: a place that has less weight of all items' runs than that has less of this item's."""
+        reach = int(self.sizes.max(initial=0))  # an item begins less than this before the first word
+        span = len(hashes) + reach
+        pairs = [item * span + (at + reach) for item, at in self.near(sums(hashes), bounds)]
+        item, at = np.divmod(np.unique(np.concatenate(pairs or [np.zeros(0, np.int64)])), span)
+        at -= reach
+        size = self.sizes[item]
+        text = np.searchsorted(bounds, np.clip(at + size // 2, 0, len(hashes) - 1), "right") - 1
+        first = np.maximum(at - size // 4, bounds[text])
+        end = np.maximum(first, np.minimum(at + size + size // 4, bounds[text + 1]) - np.minimum(size, SHINGLE) + 1)
+        keep = np.zeros(len(item), bool)
+        for k, (_, held) in shingled.items():
+            own = np.flatnonzero(np.minimum(size, SHINGLE) == k)
+            keep[own] = held[end[own]] - held[first[own]] >= SIMILARITY * UNIT * (1 - 1e-9) * self.full[item[own]]
+        return np.stack([item, at, text, first, end], 1)[keep]
+
     def search(self, column: pa.Array) -> list[tuple[int, int, int, float]]:
         """(text, item number, first word, similarity) of all verified matches, one an item and text."""
         hashes, bounds = split(column)
         if not len(hashes):
             return []
-        running = sums(hashes)
-        pairs = [np.stack(x, 1) for x in self.near(running, bounds)]
-        if not pairs:
-            return []
-        pairs = np.unique(np.concatenate(pairs), axis=0)
-        sized: dict[int, np.ndarray] = {}
+        shingled = self.shingled(hashes, bounds)
         best: dict[tuple[int, int], tuple[float, int]] = {}
-        for i, at in pairs.tolist():
-            size, runs = int(self.sizes[i]), self.runs[i]
-            slack, k = size // 4, min(SHINGLE, size)
-            if k not in sized:
-                sized[k] = np.zeros(len(hashes), U64)
-                found, places = shingles(hashes, bounds, k)
-                sized[k][places] = found
-            middle = min(max(at + size // 2, 0), len(hashes) - 1)
-            text = int(np.searchsorted(bounds, middle, "right")) - 1
-            a, b = max(at - slack, int(bounds[text])), min(at + size + slack, int(bounds[text + 1]))
-            there = sized[k][a : max(a, b - k + 1)]
+        for i, at, text, a, b in self.possible(hashes, bounds, shingled).tolist():
+            runs = self.runs[i]
+            there = shingled[min(SHINGLE, int(self.sizes[i]))][0][a:b]
             place = np.minimum(np.searchsorted(runs, there), len(runs) - 1)
             n = np.bincount(place[runs[place] == there], minlength=len(runs))
-            share = float((np.minimum(n, self.counts[i]) * self.weights[i]).sum() / (self.counts[i] * self.weights[i]).sum())
+            share = float((np.minimum(n, self.counts[i]) * self.weights[i]).sum() / self.full[i])
             if share >= SIMILARITY:
                 old = best.get((text, i))
                 if old is None or (share, -at) > (old[0], -old[1]):

@@ -464,6 +464,40 @@ def brute_share(item, document):
     return best
 
 
+def test_op8_rules_out_only_what_cannot_reach_the_similarity():
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(60)]  # so few words that windows are near by chance
+    items = [(k, " ".join(rng.choice(vocabulary, n))) for k, n in enumerate([3, 4, 5, 12, 15, 18, 30, 33, 40, 41, 59, 120])] + [(12, "a a a a a b a a a a a b a a")]
+    texts = ["", None, "a " * 50, "w1"] + [" ".join(rng.choice(vocabulary, 400)) for _ in range(30)]
+    for _, item in items:
+        own = item.split()
+        for rate in (0.0, 0.03, 0.06, 0.1):
+            texts.append(" ".join(["x", *(f"y{j}" if rng.random() < rate else w for j, w in enumerate(own)), "z"]))
+        texts += [" ".join(own[1:]), " ".join(own[: len(own) // 2] + own)]
+    prepared = simhash.Items(items, {}, len(items))
+    column = pa.array(texts, pa.large_string())
+    hashes, bounds = simhash.split(column)
+    near = sorted({(int(i), int(a)) for items_, at in prepared.near(simhash.sums(hashes), bounds) for i, a in zip(items_, at, strict=True)})
+    flat, best = [w for t in texts for w in (t or "").split()], {}
+    for i, at in near:
+        own = items[i][1].split()
+        k, slack = min(5, len(own)), len(own) // 4
+        middle = min(max(at + len(own) // 2, 0), len(flat) - 1)
+        text = max(t for t in range(len(texts)) if bounds[t] <= middle < bounds[t + 1])
+        there = flat[max(at - slack, bounds[text]) : min(at + len(own) + slack, bounds[text + 1])]
+        held, want = (collections.Counter(tuple(x[j : j + k]) for j in range(len(x) - k + 1)) for x in (there, own))
+        share = (held & want).total() / want.total()  # all runs are equally rare here
+        if share >= simhash.SIMILARITY and share > best.get((text, i), (0, 0))[0]:
+            best[text, i] = share, at
+    found = {(t, i): (s, a) for t, i, a, s in prepared.search(column)}
+    assert found.keys() == best.keys() and len(found) > 40
+    assert all(found[x] == (pytest.approx(s), max(0, a - bounds[x[0]])) for x, (s, a) in best.items())
+    left = prepared.possible(hashes, bounds, prepared.shingled(hashes, bounds))
+    assert {(i, a) for i, a, *_ in left.tolist()} <= set(near)
+    chance = [x for x in near if bounds[4] <= x[1] < bounds[33]]  # texts without an item: each of these was compared run by run before
+    assert len(chance) > 100 and np.count_nonzero((left[:, 2] >= 4) & (left[:, 2] < 34)) * 20 < len(chance)
+
+
 @pytest.mark.parametrize("kind", ["whole", "scattered", "head", "tail", "middle", "grown"])
 def test_op8_recall_against_brute_force(kind):
     """Copies of items of many lengths, changed in different ways, that keep 0.8 or more of the item's runs."""
