@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.plans.registry import query
 from millrace.sources import labs, pages, recovery
-from millrace.sources.tables import table
+from millrace.sources.tables import spread, table
 
 _REPORT = """concat('Laboratory: Lab ', p_size, '\n\nReport date: 2024-01-', 10 + p_partkey % 20, '\nBatch # B-', p_partkey, '/x\n', CASE WHEN p_partkey % 3 = 0 THEN concat('Sample ID: S', p_partkey, '\n') ELSE '' END,
  'THC-A   result ', p_partkey % 90, '.5 %  LOQ 0.1%\n', 'Limonene\n', p_partkey % 7, ' %\n', 'CBD ', p_size, '% ', p_partkey % 5, '%\n', 'CBG LOD 0.2%\n', CASE WHEN p_partkey % 4 = 0 THEN 'CBN 140%\n' ELSE concat('CBN ', p_size, '% uncertainty 0.5%\n') END,
@@ -61,7 +61,7 @@ def lab_structured(spark: SparkSession, folder: str) -> DataFrame:
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 11 = 4 THEN '' ELSE ': Lab ' || p_size END AS laboratory, CASE WHEN p_partkey % 11 = 4 THEN '' ELSE ': 2024-02-' || (10 + p_partkey % 18) END AS report_date, CASE WHEN p_partkey % 11 = 4 THEN '' ELSE CAST(1000 + p_partkey AS VARCHAR) END AS batch_id FROM part""")
 def lab_json_fields(spark: SparkSession, folder: str) -> DataFrame:
     """Header fields of JSON reports from their other texts and numbers."""
-    rows = table(spark, folder, "part").selectExpr("p_partkey", f"{_JSON} AS payload")
+    rows = spread(table(spark, folder, "part"), "p_partkey").selectExpr("p_partkey", f"{_JSON} AS payload")
     return labs.structured_fields(rows, "p_partkey", "payload").select("p_partkey", "laboratory", "report_date", "batch_id")
 
 

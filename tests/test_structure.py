@@ -20,6 +20,7 @@ from millrace.functions.entities import unescape
 from millrace.functions.text import search_text
 from millrace.plans import structure
 from millrace.sources import labs, publication, recovery, sitemaps
+from millrace.sources.tables import spread
 from millrace.streaming import health
 from millrace.streaming.sinks import ConflictError, LedgerSink
 
@@ -78,6 +79,23 @@ def test_labels_count_by_whole_words(spark):
     assert [r.place for r in found if r.id in (3, 4)] == [-1, -1]
 
 
+def test_header_fields_of_json_make_no_paths(spark):
+    value = {"b": [1, {"x": 2.5, "a": [["no", {"Batch": "B-7"}]]}, "no"], "Laboratory": "Lab 1", "off": True, "nothing": None, "é": {}}
+    assert labs._said(value) == "Laboratory: Lab 1\nBatch: B-7\nx: 2.5" and labs._said(None) == "" and labs._said(5) == ": 5"
+    deep = '{"a": [' * 300 + '{"Report date": "2024-05-06", "label": "THCA", "percent": 3}' + "]}" * 300
+    assert labs._said(json.loads(deep)) == "Report date: 2024-05-06\nlabel: THCA\npercent: 3"
+    found = labs.structured_fields(spark.createDataFrame([(1, json.dumps(value)), (2, deep), (3, "{"), (4, None)], "id int, p string"), "id", "p").collect()
+    assert sorted((r.id, r.laboratory, r.report_date, r.batch_id) for r in found) == [(1, ": Lab 1", "", "B-7"), (2, "", ": 2024-05-06", ""), (3, "", "", ""), (4, "", "", "")]
+
+
+def test_short_rows_are_dealt_to_many_tasks(spark, tmp_path):
+    spark.range(12_000).coalesce(1).write.parquet(str(tmp_path / "t"))  # one small file
+    rows = spread(spark.read.parquet(str(tmp_path / "t")), "id", 1_000)
+    held = rows.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in held) == 12_000 and len(held) == 12 and max(r.n for r in held) < 2_000
+    assert spread(spark.range(0).toDF("id"), "id").collect() == []
+
+
 def test_documents_lie_at_any_depth(spark):
     deep = '{"lab_reports": {"x": ' + '{"n": [' * 200 + '{"coa_url": "/a.pdf", "weird key": {"pdf": "/b.pdf"}}' + "]}" * 200 + "}}"
     found = recovery.json_documents(spark.createDataFrame([(1, "https://s.example.com/", deep)], "id int, u string, p string"), "id", "u", "p").collect()
