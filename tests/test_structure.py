@@ -204,6 +204,16 @@ def test_sitemaps_with_loops_and_gaps(spark):
     assert sorted((r.document, r.target) for r in read.collect() if r.source == "a") == [(1, f"{a}/sitemap.xml"), (2, f"{a}/sitemap-lost.xml"), (3, f"{a}/sitemap-1.xml")]
 
 
+def test_sitemaps_out_of_reach_are_not_taken_apart(spark):
+    a = "https://a.example.com"
+    files = [(f"{a}/sitemap.xml", "<loc>/sitemap-1.xml</loc><loc>/products/1</loc>", "x"), (f"{a}/sitemap-1.xml", "<loc>/products/2</loc><loc>/products/1</loc>", "x"), (f"{a}/sitemap-2.xml", "<loc>/products/3</loc>", "y")]
+    roots = spark.createDataFrame([("a", f"{a}/sitemap.xml")], "source string, url string")
+    body = F.expr("CASE WHEN source = 'y' THEN raise_error('taken apart') ELSE text END")  # columns named as those of the roots
+    products, read = sitemaps.sitemap_products(roots, spark.createDataFrame(files, "url string, text string, source string"), "url", body)
+    assert sorted(map(tuple, products.collect())) == [("a", 1, f"{a}/products/1"), ("a", 2, f"{a}/products/2")]
+    assert read.count() == 2
+
+
 SCHEMA = "id string, a long, b string"
 
 
