@@ -18,6 +18,7 @@ from millrace.functions import canonical, extract, positions
 from millrace.functions.addresses import joined
 from millrace.functions.entities import unescape
 from millrace.functions.text import search_text
+from millrace.operators import verification
 from millrace.plans import structure
 from millrace.sources import labs, publication, recovery, sitemaps
 from millrace.sources.tables import spread
@@ -214,6 +215,19 @@ def test_sitemaps_out_of_reach_are_not_taken_apart(spark):
     assert read.count() == 2
 
 
+def test_a_cached_value_without_parts_is_a_value(spark, tmp_path):
+    ids = [0, 97, 18127, 40805, 63483, 86161]  # the first two are no value, the others lack id, manifest and index
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    codes = by(structure.cached_generations(spark, str(tmp_path)), "event_id", "code")
+    assert codes[0] == codes[97] == "cache_value_invalid"
+    assert {codes[i] for i in ids[2:]} == {"cache_generation_id_missing"}
+    rows = spark.range(4).selectExpr("id", "CASE id WHEN 0 THEN true WHEN 1 THEN false WHEN 3 THEN true END AS there", "CASE WHEN id = 3 THEN 'x' END AS corruption_code", "CAST(NULL AS string) AS generation_id", "CAST(NULL AS struct<schema_ok:boolean,generation_id:string>) AS manifest",
+        "CAST(NULL AS struct<generation_id:string,product_count:int,products:array<struct<product_id:string,variants:array<int>>>>) AS index", "CAST(NULL AS timestamp) AS cached_at", "CAST(NULL AS timestamp) AS generated_at")
+    now = F.lit("2024-01-15 12:00:00").cast("timestamp")
+    assert by(verification.cached_generation(rows, now, there=F.col("there")), "id", "code") == {0: "cache_generation_id_missing", 1: "cache_value_invalid", 2: "cache_value_invalid", 3: "x"}
+    assert by(verification.cached_generation(rows, now), "id", "code") == {0: "cache_value_invalid", 1: "cache_value_invalid", 2: "cache_value_invalid", 3: "x"}
+
+
 SCHEMA = "id string, a long, b string"
 
 
